@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from repograin.functions import paths
 from repograin.functions.constants import (
@@ -71,17 +72,27 @@ def is_ignored_from(patterns: Sequence[str], root: str, cwd: str, path: Column |
     return _matches(full, prefix_closure(bare)) | _matches(named, component_closure(bare))
 
 
-def is_ignored_in_tree(patterns: Sequence[str], path: Column | str = "rel_path") -> Column:
-    """Tree mode for files: folder patterns are root-anchored literals, other patterns are globs."""
-    c = F.col(path) if isinstance(path, str) else path
+def _tree_rule(patterns: Sequence[str], path: Column, inside: Column) -> Column:
     folders = [b for b in (p.rstrip("/") for p in patterns if p.endswith("/")) if b]
     globs = [p for p in patterns if not p.endswith("/")]
-    cond = _matches(c, prefix_closure(globs), component_closure(globs))
+    cond = _matches(path, prefix_closure(globs), component_closure(globs))
     for folder in folders:
-        cond = cond | c.startswith(folder + "/")
+        cond = cond | inside.startswith(folder + "/")
     return cond
 
 
+def is_ignored_in_tree(patterns: Sequence[str], path: Column | str = "rel_path") -> Column:
+    """Tree mode for files: folder patterns are root-anchored literals, other patterns are globs."""
+    c = F.col(path) if isinstance(path, str) else path
+    return _tree_rule(patterns, c, c)
+
+
+def is_folder_hidden_in_tree(patterns: Sequence[str], path: Column | str) -> Column:
+    """Tree mode for a folder: also hidden when it is itself the literal."""
+    c = F.col(path) if isinstance(path, str) else path
+    return _tree_rule(patterns, c, F.concat(c, F.lit("/")))
+
+
 def is_ignored_by_component(patterns: Sequence[str] = COMPONENT_PATTERNS, path: Column | str = "rel_path") -> Column:
     """Component mode: any component or leading sub-path matches, or a component looks like a temporary name."""
     c = F.col(path) if isinstance(path, str) else path
@@ -139,7 +150,7 @@ def _tables(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bare.filter(~wild), bare.filter(wild)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _closure_regex(bare: pd.Series) -> pd.Series:
     """Glob to one regular expression with both closures; runs on the (small) pattern table only."""
 

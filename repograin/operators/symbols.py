@@ -6,6 +6,8 @@ is exploded only after that. Nothing here shuffles before the optional final sor
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -286,6 +288,24 @@ def profile_names(symbols: DataFrame, per_row: int = SYMBOLS_PER_LINE) -> DataFr
     )
 
 
+def delimited_lines(files: DataFrame, delimiter: str = "$$") -> DataFrame:
+    """Lines per file and how many start inside a delimited body (an odd number of delimiters above them).
+
+    The text is cut at the delimiters and every second piece marks the lines it starts, so no window is needed.
+    """
+    cut = f"split(text, {lit(re.escape(delimiter))}, -1)"
+    marked = F.expr(
+        f"array_join(transform({cut}, (p, i) -> if(i % 2 = 1, replace(p, '\\n', concat('\\n', {lit(_MARK)})), p)), "
+        f"{lit(delimiter)})"
+    )
+    return files.select("repo_id", "rel_path", F.split(marked, "\n", -1).alias("_l")).select(
+        "repo_id",
+        "rel_path",
+        F.size("_l").alias("n_lines"),
+        F.size(F.filter("_l", lambda line: line.startswith(_MARK))).alias("n_inside"),
+    )
+
+
 def symbol_totals(symbols: DataFrame, condition: Column) -> DataFrame:
     """Filtered against total, per repository."""
     return symbols.groupBy("repo_id").agg(
