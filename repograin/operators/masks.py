@@ -114,7 +114,7 @@ def mask_text(text: str, lang: str) -> str:
     if lang in TOKENS:
         steps.append(lambda t: blank_tokens(t, TOKENS[lang]))
     if lang in PRELUDE:
-        steps.append(lambda t: rebuild(t, PRELUDE[lang], newlines_of("m")))
+        steps.append(lambda t: rebuild(t, PRELUDE[lang], f"concat('{'{}' if lang == 'c' else ''}', {newlines_of('m')})"))
     if lang in COLLAPSE:
         steps.append(lambda t: collapse_groups(t, COLLAPSE[lang]))
     out = text

@@ -66,7 +66,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "typescript",
         "variable",
-        rf"(?:\b(?:const|let|var)\s+|(?!^)\G\s*(?::\s*[\w.<>|\[\] ]+)?(?:=[^,;(){{}}\[\]]*)?,\s*)"
+        rf"(?:\b(?:const|let|var)\s+|(?!^)\G\s*(?::\s*[\w.|\[\] ]+(?:<[^=;]*>)?[\w.|\[\] ]*)?(?:=[^,;(){{}}\[\]]*)?,\s*)"
         rf"(?!enum\b)({_JS_NAME})(?!\s+(?:of|in)\b)",
     ),
     (
@@ -84,7 +84,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "c",
         "variable",
-        r"(?:^\s*(?!(?:return|else|goto|case|typedef|break|continue|do)\b)(?:[A-Za-z_]\w*+\s++(?=[A-Za-z_]))++|"
+        r"(?:^\s*(?!(?:return|else|goto|case|typedef|break|continue|do)\b|(?:struct|union|enum)\s+\w+\s*;)(?:[A-Za-z_]\w*+\s++(?=[A-Za-z_]))++|"
         r"(?!^)\G\s*,\s*)([A-Za-z_]\w*+)(?=\s*[;,])",
     ),
     (
@@ -114,7 +114,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
         "rust",
         "function",
         rf"(?:^|[;{{}}])\s*(?:pub(?:{PAREN}|\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern|default)\s+)*"
-        r"fn\s+([A-Za-z_]\w*)[^;]*$",
+        r"fn\s+([A-Za-z_]\w*+)(?=[^;{]*(?:\{|$))",
     ),
     (
         "rust",
@@ -129,7 +129,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "c_sharp",
         "function",
-        rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:{_CSHARP})\s+)*(?!(?:{_CSHARP}|{_NOT_TYPE}|record|delegate|event|var)\b)"
+        rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*(?:(?:{_CSHARP})\s+)*(?!(?:{_CSHARP}|{_NOT_TYPE}|record|delegate|event|var)\b)"
         rf"[A-Za-z_][\w<>\[\],.?]*\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?{_OPEN}",
     ),
     ("c_sharp", "class", rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*(?:(?:{_CSHARP})\s+)*(?:class|interface|struct)\s+([A-Za-z_]\w*)"),
