@@ -62,9 +62,9 @@ def is_ignored_from(patterns: Sequence[str], root: str, cwd: str, path: Column |
     named = F.concat(F.lit(posixpath.basename(root) + "/"), c)
     above: list[str] = []
     folder = posixpath.dirname(cwd) if inside else ""
-    while folder:
+    while folder not in ("", "/"):  # the file-system root hides nothing, like the working folder itself
         above.append(folder)
-        folder = posixpath.dirname(folder) if folder != "/" else ""
+        folder = posixpath.dirname(folder)
     for pattern in patterns:
         for parent in above:
             if parent == pattern.rstrip("/") if pattern.endswith("/") else fnmatch.fnmatchcase(parent, pattern):
