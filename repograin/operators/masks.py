@@ -6,9 +6,6 @@ expressions are written as SQL text: nested lambdas parse in one call.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from repograin.operators.rules import PAREN
 
 ROUNDS = 10
@@ -123,9 +120,9 @@ def mask_text(text: str, lang: str) -> str:
     return out
 
 
-def mask_by_language(text: str, lang: str) -> Column:
-    """Masked text for a language column; languages without mask rules keep the text."""
+def mask_by_language(text: str, lang: str) -> str:
+    """SQL expression for the masked text by a language column; other languages keep the text."""
     cases = " ".join(
         f"when '{name}' then {mask_text(text, name)}" for name in sorted({*TOKENS, *COLLAPSE, *PRELUDE})
     )
-    return F.expr(f"case {lang} {cases} else {text} end")
+    return f"case {lang} {cases} else {text} end"

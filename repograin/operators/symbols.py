@@ -1,7 +1,8 @@
 """Symbol extraction as a job over all files at once, and queries over the symbol table.
 
 Files join the broadcast rule table once per file, so consecutive lines share one compiled pattern; a row of lines
-is exploded only after that. Nothing here shuffles before the optional final sort.
+is exploded only after that. Nothing here shuffles before the optional final sort. Masks and units are written as
+SQL text because nested lambdas then parse in one call.
 """
 
 from __future__ import annotations
@@ -13,249 +14,203 @@ from pyspark.sql import functions as F
 
 from repograin.functions import paths
 from repograin.functions.constants import SYMBOLS_PER_LINE
-from repograin.functions.text import lines, newline_count, short_tag, strip_quotes, table_tag
+from repograin.functions.text import short_tag, strip_quotes, table_tag
 from repograin.operators.masks import let, lit, mask_by_language, mask_text, newlines_of, rebuild
 from repograin.operators.ordered import block_row_number
 from repograin.operators.rules import LINE_RULES, rules_frame
 from repograin.schemas import NOTEBOOK
+from repograin.session import checkpoint
 
 KEY = ["repo_id", "file"]
 ORDER = ["type_ord", "line", "pos"]
 MAX_BROADCAST_RULES = 10_000
 _MARK = "\u0003"
+_NUMBER = f"{_MARK}\\d+{_MARK}"
+
+# Markup is cut into tag tokens; the rules of markup languages run on tokens instead of lines. Positions are
+# written into the text as line numbers between marks, so a token carries its own line and those of its attributes.
+_SILENT = r"(?i)<!--[\s\S]*?-->|<(?:script|style)\b[^>]*>[\s\S]*?(?=</(?:script|style))"
+_TAG_TOKEN = rf"""{_NUMBER}</?[A-Za-z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = (
+    rf"""(?<!<)({_NUMBER}(?!<)[^\s=<>"'/{_MARK}]+(?:\s*(?:{_NUMBER})?=\s*(?:{_NUMBER})?"""
+    rf"""(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)"""
+)
+MARKUP_RULES = [
+    ("html", "tag", rf"^({_NUMBER}</?[A-Za-z][^\s/>{_MARK}]*)"),
+    ("html", "attribute", _ATTRIBUTE),
+]
 
 
 def _rules(files: DataFrame, rules: DataFrame | None) -> DataFrame:
     """The rule table, broadcast only when its size is known to be small."""
     if rules is None:
-        return F.broadcast(rules_frame(files.sparkSession))
+        return F.broadcast(rules_frame(files.sparkSession, LINE_RULES + MARKUP_RULES))
     small = len(rules.limit(MAX_BROADCAST_RULES + 1).select("lang").collect()) <= MAX_BROADCAST_RULES
     return F.broadcast(rules) if small else rules
 
 
-def _rows(df: DataFrame, line: Column, extra: dict[str, Column] | None = None) -> DataFrame:
-    extra = extra or {}
-    return df.select(
-        "repo_id",
-        F.col("rel_path").alias("file"),
-        line.cast("int").alias("line"),
-        "type",
-        "name",
-        "type_ord",
-        F.col("pos").cast("int").alias("pos"),
-        extra.get("cell", F.lit(None).cast("int")).alias("cell"),
-        extra.get("block", F.lit(None).cast("string")).alias("block"),
-    )
-
+def _numbered(masked: str) -> str:
+    """Lines of a masked text as ``array<struct<no, cell, text>>``."""
+    return f"transform(split({masked}, '\\n', -1), (t, i) -> struct(i + 1 as no, cast(null as int) as cell, t as text))"
 
-def match_lines(texts: DataFrame, rules: DataFrame, line_array: Column, carry: list[str]) -> DataFrame:
-    """Apply rules to ``(lang, <lines>)`` rows; each line element is a string or a struct with ``cell`` and ``text``.
-
-    Both generators take an expression, not a column: for a plain column the optimizer would add a size filter
-    and push the whole masking expression into it a second time.
-    """
-    is_struct = "cell" in carry
-    carry = [c for c in carry if c != "cell"]
-    keep = ["repo_id", "rel_path", "lang", "type", "type_ord", "rule_no", *carry]
-    numbered = texts.join(rules, "lang").select(
-        *keep, "regex", F.posexplode(line_array).alias("_i", "_line")
-    )
-    text = F.col("_line.text") if is_struct else F.col("_line")
-    return (
-        numbered.select(
-            *keep,
-            (F.col("_i") + 1).alias("_no"),
-            *([F.col("_line.cell").alias("cell")] if is_struct else []),
-            F.posexplode(F.regexp_extract_all(text, F.col("regex"), F.lit(1))).alias("_hit", "_name"),
-        )
-        .withColumn("name", F.when(F.col("lang") == "json", strip_quotes("_name")).otherwise(F.col("_name")))
-        .filter(F.col("name") != "")
-        .withColumn("pos", F.col("_hit") * 16 + F.col("rule_no"))
-    )
 
+def _marked(text: str, where: str) -> str:
+    """Write the line number in front of every position that matches ``where``."""
+    mark = f"concat({lit(_MARK)}, cast(i + 1 as string), {lit(_MARK)})"
+    return f"array_join(transform(split({text}, '\\n', -1), (t, i) -> regexp_replace(t, {lit(where)}, {mark})), '\\n')"
 
-def symbols_by_rule(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Line-rule symbols of every file with a known language.
 
-    ``files`` has ``(repo_id, rel_path, text)``; a ``lang`` column overrides the suffix lookup.
-    """
-    lang = F.col("lang") if "lang" in files.columns else paths.grammar_language("rel_path")
-    known = files.select("repo_id", "rel_path", lang.alias("lang"), "text").filter(
-        F.col("lang").isNotNull() & ~F.col("rel_path").endswith(".ipynb")
-    )
-    texts = known.withColumn("_masked", mask_by_language("text", "lang")).drop("text")
-    hits = match_lines(texts, _rules(files, rules), lines("_masked"), [])
-    return _rows(hits, F.col("_no"))
+def _unmarked(text: str) -> str:
+    return f"regexp_replace({text}, {lit(_NUMBER)}, '')"
 
 
-_SILENT = r"(?i)<!--[\s\S]*?-->|<(?:script|style)\b[^>]*>[\s\S]*?(?=</(?:script|style))"
-_TAG_BODY = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
-_ATTRIBUTE = rf"""{_MARK}\d+{_MARK}(?!<)[^\s=<>"'/{_MARK}]+(?:\s*{_MARK}?\d*{_MARK}?=\s*(?:{_MARK}\d+{_MARK})?(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+def _mark_line(text: str) -> str:
+    return f"cast(regexp_extract({text}, {lit(f'^{_MARK}([0-9]+){_MARK}')}, 1) as int)"
 
 
-def _mask_markup(text: str) -> Column:
-    """Blank comments and the bodies of script and style elements."""
+def _markup_tokens(text: str) -> str:
+    """Tag tokens of markup; comments and the bodies of script and style elements are blank."""
     head = "regexp_extract(m, {}, 1)".format(lit(r"(?i)\A(<(?:script|style)\b[^>]*>)"))
     body = newlines_of("substring(m, char_length(h) + 1)")
-    return F.expr(rebuild(text, _SILENT, let(head, "h", f"concat(h, {body})")))
+    masked = rebuild(text, _SILENT, let(head, "h", f"concat(h, {body})"))
+    tokens = f"regexp_extract_all({_marked('v', r'(?<!\S)(?=\S)|(?=<)')}, {lit(_TAG_TOKEN)}, 0)"
+    return let(masked, "v", f"transform({tokens}, k -> struct({_mark_line('k')} as no, cast(null as int) as cell, k as text))")
 
 
-def _line_marks(text: Column, where: str) -> Column:
-    """Write the line number in front of every position that matches ``where``."""
-    return F.array_join(
-        F.transform(
-            F.split(text, "\n", -1),
-            lambda line, i: F.regexp_replace(
-                line, F.lit(where), F.concat(F.lit(_MARK), (i + 1).cast("string"), F.lit(_MARK))
-            ),
-        ),
-        "\n",
+def _notebook_lines(text: str) -> str:
+    """Lines of the kept code cells in one run; each remembers its cell, counted over all cells."""
+    code = "coalesce(array_join(from_json(c.source, 'array<string>'), ''), c.source)"
+    cells = (
+        f"filter(transform(from_json({text}, '{NOTEBOOK}').cells, "
+        f"(c, i) -> struct(i + 1 as cell, c.cell_type as kind, {code} as code)), "
+        r"c -> c.kind = 'code' and rlike(c.code, '\\S'))"
+    )
+    flat = (
+        f"flatten(transform({cells}, c -> transform(split({mask_text('c.code', 'python')}, '\\n', -1), "
+        "t -> struct(c.cell as cell, t as text))))"
     )
+    return f"transform({flat}, (l, i) -> struct(i + 1 as no, l.cell as cell, l.text as text))"
 
 
-def _unmark(text: Column) -> Column:
-    return F.regexp_replace(text, f"{_MARK}\\d+{_MARK}", "")
+def _blocks(text: str, tag: str) -> str:
+    """Blocks ``<tag ...>...</tag>`` as ``array<struct<base, head, body>>``; ``base`` is the line where the tag ends."""
+    whole = lit(rf"(?is){_NUMBER}<{tag}\b[^>]*>.*?</{tag}>")
+    head = "regexp_extract(m, {}, 1)".format(lit(rf"(?is)(<{tag}\b[^>]*>)"))
+    body = "regexp_extract(m, {}, 1)".format(lit(rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>\z"))
+    found = f"regexp_extract_all({_marked(text, rf'(?i)(?=<{tag}\b)')}, {whole}, 0)"
+    base = f"{_mark_line('m')} - 1 + char_length({newlines_of(head)})"
+    return f"transform({found}, m -> struct({base} as base, {head} as head, {_unmarked(body)} as body))"
 
 
-def _mark_line(text: Column) -> Column:
-    return F.regexp_extract(text, f"^{_MARK}(\\d+){_MARK}", 1).cast("int")
+def _unit(lang: str, block: str, base: str, lines: str) -> str:
+    return f"struct({lang} as lang, {block} as block, {base} as base, {lines} as lines)"
 
 
-def markup_symbols(texts: DataFrame, base: Column | None = None, block: Column | None = None) -> DataFrame:
-    """Tags (opening and closing) and attributes (whole text ``k="v"``) of HTML in ``text``."""
-    base = F.lit(0) if base is None else base
-    marked = texts.withColumn("_base", base).withColumn(
-        "_marked", _line_marks(_mask_markup("text"), r"(?<!\S)(?=\S)|(?=<)")
+def _component_units(text: str, strict: bool) -> str:
+    """Script blocks and the first template block of a single-file component."""
+    wanted = r"""(?i)^<script\s+lang\s*=\s*["'](\w+)["']""" if strict else r"""(?i)\slang\s*=\s*["'](\w+)["']"""
+    typed = f"lower(regexp_extract(b.head, {lit(wanted)}, 1)) in ('ts', 'typescript')"
+    script = (
+        f"if({typed}, {_unit(lit('typescript'), lit('script'), 'b.base', _numbered(mask_text('b.body', 'typescript')))}, "
+        f"{_unit(lit('javascript'), lit('script'), 'b.base', _numbered(mask_text('b.body', 'javascript')))})"
     )
-    tokens = marked.withColumn(
-        "_tags", F.regexp_extract_all("_marked", F.lit(f"{_MARK}\\d+{_MARK}</?[A-Za-z]{_TAG_BODY}>"), F.lit(0))
-    )
-    opening = F.filter("_tags", lambda t: ~t.rlike(f"^{_MARK}\\d+{_MARK}</"))
-    found = tokens.select(
-        *texts.columns,
-        "_base",
-        F.array(
-            F.struct(F.lit("tag").alias("type"), F.lit(0).alias("type_ord"), F.col("_tags").alias("items")),
-            F.struct(
-                F.lit("attribute").alias("type"),
-                F.lit(1).alias("type_ord"),
-                F.flatten(
-                    F.transform(opening, lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0)))
-                ).alias("items"),
-            ),
-        ).alias("_kinds"),
-    )
-    flat = (
-        found.select(*texts.columns, "_base", F.inline("_kinds"))
-        .select(*texts.columns, "_base", "type", "type_ord", F.posexplode(F.coalesce("items", F.array())).alias("pos", "_item"))
-        .withColumn(
-            "name",
-            F.when(
-                F.col("type") == "tag", F.regexp_extract("_item", rf"</?([A-Za-z][^\s/>{_MARK}]*)", 1)
-            ).otherwise(_unmark(F.col("_item"))),
-        )
+    template = _unit(lit("html"), lit("template"), "b.base", _markup_tokens("b.body"))
+    return (
+        f"concat(transform({_blocks(text, 'script')}, b -> {script}), "
+        f"transform(slice({_blocks(text, 'template')}, 1, 1), b -> {template}))"
     )
-    return _rows(flat, _mark_line(F.col("_item")) + F.col("_base"), {"block": block} if block is not None else None)
 
 
-def notebook_symbols(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Python symbols of notebook documents; ``cell`` counts all cells, lines run over the kept code cells.
+def extract_symbols(
+    files: DataFrame, rules: DataFrame | None = None, recursive: bool = True, strict: bool = False
+) -> DataFrame:
+    """All symbols of ``(repo_id, rel_path, text)``, whatever the file kind, in one pass over the texts.
 
-    Broken JSON yields no rows. Source may be a string or a list of strings.
+    A file becomes one or more units (a plain text, a notebook, the blocks of a component) of one language each;
+    units meet the broadcast rules of their language, and only matches are exploded into rows. Nothing shuffles.
+    A ``lang`` column overrides the suffix lookup; ``strict`` reads a script language only as first attribute.
+
+    Generators get expressions, not columns: for a plain column the optimizer would add a size filter and push
+    the whole masking expression into it a second time.
     """
-    cells = files.filter(paths.suffix("rel_path") == ".ipynb").select(
-        "repo_id", "rel_path", F.from_json("text", NOTEBOOK)["cells"].alias("_cells")
+    if not recursive:
+        files = files.filter(~F.col("rel_path").contains("/"))
+    given = "lang" in files.columns
+    known = files.select(
+        "repo_id",
+        "rel_path",
+        (F.col("lang") if given else paths.grammar_language("rel_path")).alias("lang"),
+        (F.lit("") if given else paths.suffix("rel_path")).alias("ext"),
+        "text",
+    ).filter(F.col("lang").isNotNull())
+    nothing = "cast(null as string)"
+    units = f"""case ext
+        when '.ipynb' then array({_unit(lit("python"), nothing, "0", _notebook_lines("text"))})
+        when '.vue' then {_component_units("text", strict)}
+        else array(if(lang = 'html', {_unit("lang", nothing, "0", _markup_tokens("text"))},
+          {_unit("lang", nothing, "0", _numbered(mask_by_language("text", "lang")))})) end"""
+    per_unit = known.select("repo_id", F.col("rel_path").alias("file"), F.expr(f"inline({units})"))
+    lines = per_unit.join(_rules(files, rules), "lang").select(
+        *KEY, "lang", "block", "base", "type", "type_ord", "rule_no", "regex",
+        F.posexplode(F.coalesce("lines", F.array())).alias("_i", "_l"),
     )
-    code = "coalesce(array_join(from_json(c.source, 'array<string>'), ''), c.source)"
-    kept = cells.withColumn(
-        "_code",
-        F.expr(
-            f"filter(transform(_cells, (c, i) -> struct(i + 1 as cell, c.cell_type as kind, {code} as code)), "
-            r"c -> c.kind = 'code' and rlike(c.code, '\\S'))"
-        ),
+    hits = lines.select(
+        *KEY, "lang", "block", "base", "type", "type_ord", "rule_no", "_i",
+        F.col("_l.no").alias("_no"), F.col("_l.cell").alias("cell"),
+        F.posexplode(F.regexp_extract_all(F.col("_l.text"), F.col("regex"), F.lit(1))).alias("_hit", "_name"),
     )
-    numbered = F.expr(
-        f"flatten(transform(_code, c -> transform(split({mask_text('c.code', 'python')}, '\\n', -1), "
-        "l -> struct(c.cell as cell, l as text))))"
+    markup = F.col("lang") == "html"
+    name = (
+        F.when(markup & (F.col("type") == "tag"), F.regexp_extract("_name", r"</?(.*)$", 1))
+        .when(markup, F.expr(_unmarked("_name")))
+        .when(F.col("lang") == "json", strip_quotes("_name"))
+        .otherwise(F.col("_name"))
     )
-    texts = kept.select("repo_id", "rel_path", F.lit("python").alias("lang"), numbered.alias("_numbered"))
-    hits = match_lines(texts, _rules(files, rules), F.coalesce("_numbered", F.array()), ["cell"])
-    return _rows(hits, F.col("_no"), {"cell": F.col("cell")})
-
-
-def _blocks(text: Column, tag: str) -> Column:
-    """Blocks ``<tag ...>...</tag>`` as ``array<struct<base, head, body>>``; ``base`` is the line of the open tag's end."""
-    marked = _line_marks(text, rf"(?i)(?=<{tag}\b)")
-    found = F.regexp_extract_all(
-        marked, F.lit(rf"(?is){_MARK}\d+{_MARK}<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0)
+    line = F.when(markup, F.expr(_mark_line("_name"))).otherwise(F.col("_no")) + F.col("base")
+    place = (
+        F.when(markup & (F.col("type") == "tag"), F.col("_i").cast("bigint"))
+        .when(markup, F.col("_i").cast("bigint") * 1024 + F.col("_hit"))
+        .otherwise(F.col("_hit").cast("bigint") * 16 + F.col("rule_no"))
     )
+    return hits.select(
+        *KEY, line.cast("int").alias("line"), "type", name.alias("name"), "type_ord", place.alias("pos"), "cell", "block"
+    ).filter(F.col("name") != "")
 
-    def block(m: Column) -> Column:
-        head = F.regexp_extract(m, rf"(?is)(<{tag}\b[^>]*>)", 1)
-        body = F.regexp_extract(m, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>\z", 1)
-        return F.struct(
-            (_mark_line(m) - 1 + newline_count(head)).alias("base"),
-            head.alias("head"),
-            _unmark(body).alias("body"),
-        )
 
-    return F.transform(found, block)
+def symbols_by_rule(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Symbols of the line-rule languages only."""
+    return extract_symbols(files.filter(~paths.suffix("rel_path").isin(".ipynb", ".vue", ".html", ".htm")), rules)
 
 
-def component_symbols(files: DataFrame, rules: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Symbols of single-file components: every script block, the first template block.
+def notebook_symbols(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Python symbols of notebook documents; ``cell`` counts all cells, lines run over the kept code cells.
 
-    The script language is read from ``lang`` anywhere in the open tag; ``strict`` accepts it only as the first
-    attribute.
+    Broken JSON yields no rows. Source may be a string or a list of strings.
     """
-    parts = files.filter(paths.suffix("rel_path") == ".vue").select("repo_id", "rel_path", "text")
-    lang_rx = r"""(?i)^<script\s+lang\s*=\s*["'](\w+)["']""" if strict else r"""(?i)\slang\s*=\s*["'](\w+)["']"""
-    scripts = (
-        parts.select("repo_id", "rel_path", F.explode(_blocks(F.col("text"), "script")).alias("_b"))
-        .select(
-            "repo_id",
-            "rel_path",
-            F.col("_b.base").alias("_base"),
-            F.when(
-                F.lower(F.regexp_extract("_b.head", lang_rx, 1)).isin("ts", "typescript"), F.lit("typescript")
-            ).otherwise(F.lit("javascript")).alias("lang"),
-            F.col("_b.body").alias("_body"),
-        )
-        .withColumn("_masked", mask_by_language("_body", "lang"))
-        .drop("_body")
-    )
-    hits = match_lines(scripts, _rules(files, rules), lines("_masked"), ["_base"])
-    in_scripts = _rows(hits, F.col("_no") + F.col("_base"), {"block": F.lit("script")})
-    templates = (
-        parts.select("repo_id", "rel_path", F.try_element_at(_blocks(F.col("text"), "template"), F.lit(1)).alias("_b"))
-        .filter(F.col("_b").isNotNull())
-        .select("repo_id", "rel_path", F.col("_b.base").alias("_from"), F.col("_b.body").alias("text"))
-    )
-    in_templates = markup_symbols(templates, F.col("_from"), F.lit("template"))
-    return in_scripts.unionByName(in_templates)
+    return extract_symbols(files.filter(paths.suffix("rel_path") == ".ipynb"), rules)
 
 
-def extract_symbols(files: DataFrame, rules: DataFrame | None = None, recursive: bool = True) -> DataFrame:
-    """All symbols of a catalog with text, whatever the file kind."""
-    if not recursive:
-        files = files.filter(~F.col("rel_path").contains("/"))
-    files = files.filter(paths.grammar_language("rel_path").isNotNull()).select("repo_id", "rel_path", "text")
-    markup = files.filter(paths.suffix("rel_path").isin(".html", ".htm"))
-    return (
-        symbols_by_rule(files, rules)
-        .unionByName(notebook_symbols(files, rules))
-        .unionByName(component_symbols(files, rules))
-        .unionByName(markup_symbols(markup))
-    )
+def component_symbols(files: DataFrame, rules: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Symbols of single-file components: every script block, the first template block."""
+    return extract_symbols(files.filter(paths.suffix("rel_path") == ".vue"), rules, strict=strict)
+
+
+def markup_symbols(files: DataFrame) -> DataFrame:
+    """Tags (opening and closing) and attributes (whole text ``k="v"``) of HTML files."""
+    return extract_symbols(files.withColumn("lang", F.lit("html")))
 
 
 def sort_symbols(symbols: DataFrame) -> DataFrame:
-    """Total order by file and line; ties by declared type, then position."""
-    return symbols.orderBy("repo_id", "file", "line", "type_ord", "pos")
+    """Total order by file and line; ties by declared type, then position.
+
+    A range sort reads its input twice (sample, then sort), so the rows are checkpointed: texts are parsed once.
+    """
+    return checkpoint(symbols).orderBy("repo_id", "file", "line", "type_ord", "pos")
 
 
 def symbol_sample(symbols: DataFrame, n: int = 5) -> DataFrame:
-    return sort_symbols(symbols).limit(n)
+    """First rows of the total order (a top-n, no sort of the whole table)."""
+    return symbols.orderBy("repo_id", "file", "line", "type_ord", "pos").limit(n)
 
 
 def symbols_by_file(symbols: DataFrame) -> DataFrame:

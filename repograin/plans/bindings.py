@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repograin.session import spread
+
 EXTENSIONS = [".py", ".JS", ".ts", ".md", ".sql", ".html", ".txt", ""]
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
@@ -13,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of one repository per source: ``<lang>/doc_<id><ext>``."""
+def document_files(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Documents as files of one repository per source: ``<lang>/doc_<id><ext>``.
+
+    ``heavy`` spreads a small table over all cores before text work.
+    """
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = spread(rows, "doc_id") if heavy else rows
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return rows.select(
         F.col("source").alias("repo_id"),
         F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("rel_path"),
         "text",
@@ -30,11 +37,13 @@ def files_of(frame: DataFrame, text: str = "text") -> DataFrame:
     return frame.select("repo_id", "rel_path", F.col(text).cast("binary").alias("content"))
 
 
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_files(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Pages as files below their host, one repository per domain: ``<host>/<url path>/p<id>.html``."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = spread(rows, "page_id") if heavy else rows
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), r"/+$", "")
-    return table(spark, sf_dir, "pages").select(
+    return rows.select(
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("repo_id"),
         F.concat(host, path, F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"),
         host.alias("host"),
@@ -115,12 +124,12 @@ def suggestion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Line rules for prose, in the common subset of Java and RE2.
+# Line rules for prose. The SQL check states them without look-behind and possessive loops, which only save steps.
 PROSE_RULES = [
-    ("prose", "function", r"([a-z]+)\."),
+    ("prose", "function", r"(?<![a-z])([a-z]++)\."),
     ("prose", "class", r"^([A-Z][a-z]+)[ ,.]"),
-    ("prose", "variable", r"([a-z]+),"),
-    ("prose", "key", r'([a-z_]+) = "'),
+    ("prose", "variable", r"(?<![a-z])([a-z]++),"),
+    ("prose", "key", r'(?<![a-z_])([a-z_]++) = "'),
 ]
 
 
@@ -161,7 +170,7 @@ SQL_BINDINGS = {
   ('class', 1, '^([A-Z][a-z]+)[ ,.]'), ('variable', 2, '([a-z]+),'), ('key', 3, '([a-z_]+) = "'))""",
     "sym": """sym AS (
   SELECT repo_id, rel_path AS file, CAST(no AS INTEGER) AS line, type, unnest(names) AS name, type_ord,
-    CAST((generate_subscripts(names, 1) - 1) * 16 AS INTEGER) AS pos
+    CAST((generate_subscripts(names, 1) - 1) * 16 AS BIGINT) AS pos
   FROM (SELECT *, regexp_extract_all(line, regex, 1) AS names FROM lines, rules))""",
 }
 

@@ -20,6 +20,7 @@ from repograin.operators.ordered import block_running_sum
 from repograin.operators.rules import rules_frame
 from repograin.plans import bindings as B
 from repograin.plans.bindings import with_bindings as w
+from repograin.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +51,13 @@ def _page_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prose(spark: SparkSession, sf: str) -> DataFrame:
-    files = _docs(spark, sf).withColumn("lang", F.lit("prose"))
-    return symbols.symbols_by_rule(files, rules_frame(spark, B.PROSE_RULES))
+    files = B.document_files(spark, sf, heavy=True).withColumn("lang", F.lit("prose"))
+    return symbols.extract_symbols(files, rules_frame(spark, B.PROSE_RULES))
+
+
+def _prose_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same symbols, written once, for jobs that read them more than once."""
+    return checkpoint(_prose(spark, sf))
 
 
 def _as_of() -> Column:
@@ -387,7 +393,7 @@ def pruned_dirs(spark, sf):
       FROM (SELECT repo_id, trim(line) AS t FROM lines) WHERE t <> '' AND NOT starts_with(t, '#') GROUP BY repo_id"""),
 )
 def pattern_lines(spark, sf):
-    raw = _docs(spark, sf).select("repo_id", F.explode(F.split("text", "\n", -1)).alias("value"))
+    raw = B.document_files(spark, sf, heavy=True).select("repo_id", F.explode(F.split("text", "\n", -1)).alias("value"))
     return ignore.parse_pattern_lines(raw).groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if("is_dir").alias("n_dirs"), F.countDistinct("pattern").alias("n_distinct")
     )
@@ -510,7 +516,7 @@ def file_profile(spark, sf):
         SELECT *, row_number() OVER (PARTITION BY repo_id, file, type ORDER BY line, pos) AS rn FROM sym)) GROUP BY ALL"""),
 )
 def profile_names(spark, sf):
-    return symbols.profile_names(_prose(spark, sf)).withColumn("names", F.array_join("names", " "))
+    return symbols.profile_names(_prose_table(spark, sf)).withColumn("names", F.array_join("names", " "))
 
 
 @register(
@@ -614,11 +620,11 @@ MASKED = """masked AS (SELECT repo_id, rel_path, regexp_replace(regexp_replace(r
 
 @register(
     "html_tags",
-    w("page_files", f"""SELECT repo_id, rel_path AS file, unnest(t) AS name, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos
+    w("page_files", f"""SELECT repo_id, rel_path AS file, unnest(t) AS name, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos
       FROM (WITH {MASKED} SELECT repo_id, rel_path, regexp_extract_all(h, '</?([A-Za-z][^\\s/>]*)', 1) AS t FROM masked)"""),
 )
 def html_tags(spark, sf):
-    found = symbols.markup_symbols(B.page_files(spark, sf).select("repo_id", "rel_path", "text"))
+    found = symbols.markup_symbols(B.page_files(spark, sf, heavy=True).select("repo_id", "rel_path", "text"))
     return found.filter(F.col("type") == "tag").select("repo_id", "file", "name", "pos")
 
 
@@ -630,7 +636,7 @@ def html_tags(spark, sf):
       GROUP BY ALL"""),
 )
 def html_attributes(spark, sf):
-    found = symbols.markup_symbols(B.page_files(spark, sf).select("repo_id", "rel_path", "text"))
+    found = symbols.markup_symbols(B.page_files(spark, sf, heavy=True).select("repo_id", "rel_path", "text"))
     return found.filter(F.col("type") == "attribute").groupBy("repo_id", "file", "name").agg(F.count(F.lit(1)).alias("n_uses"))
 
 
@@ -736,7 +742,7 @@ def symbols_text(spark, sf):
         (PARTITION BY repo_id, file ORDER BY line, type_ord, pos) AS rn FROM sym)) GROUP BY repo_id, file, part"""),
 )
 def symbols_compact(spark, sf):
-    return reports.symbols_compact(_prose(spark, sf))
+    return reports.symbols_compact(_prose_table(spark, sf))
 
 
 @register(

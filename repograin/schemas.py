@@ -6,7 +6,7 @@ FILES = (
 )
 SYMBOLS = (
     "repo_id STRING, file STRING, line INT, type STRING, name STRING, "
-    "type_ord INT, pos INT, cell INT, block STRING"
+    "type_ord INT, pos BIGINT, cell INT, block STRING"
 )
 CONTENT_META = "repo_id STRING, rel_path STRING, hash STRING, last_updated TIMESTAMP, summary STRING"
 CHANGES = "repo_id STRING, rel_path STRING, change STRING, old_hash STRING, new_hash STRING"

@@ -32,3 +32,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="repograin-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Share out a table that arrives in fewer splits than there are cores, before work that is heavy per row.
+
+    A large table has splits enough and passes through without a shuffle. ``scan`` must be a plain table read:
+    counting its splits then runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

@@ -6,7 +6,7 @@ from repograin.operators import history as H
 from repograin.operators import reports as P
 from repograin.operators import symbols as S
 
-SYM = "repo_id string, file string, line int, type string, name string, type_ord int, pos int, cell int, block string"
+SYM = "repo_id string, file string, line int, type string, name string, type_ord int, pos bigint, cell int, block string"
 
 
 def sample(spark, n=450):
