@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograin.session import checkpoint
+
 KEY = ["repo_id", "rel_path"]
 
 
@@ -56,6 +58,17 @@ def files_to_update(files: DataFrame, meta: DataFrame, force: bool = False, retr
     )
 
 
+def only_keys(wide: DataFrame, keys: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows of ``wide`` whose key is listed, without shuffling wide rows while the list is small.
+
+    The list is written out and counted; only a counted list is broadcast. A longer one goes through a shuffled
+    semi join.
+    """
+    listed = checkpoint(keys.select(*KEY))
+    small = listed.count() <= broadcast_rows
+    return wide.join(F.broadcast(listed) if small else listed, KEY, "left_semi")
+
+
 def live_metadata(meta: DataFrame, files: DataFrame) -> DataFrame:
     """Entries whose file still exists."""
     return meta.join(files.select(*KEY), KEY, "left_semi")

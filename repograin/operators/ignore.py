@@ -25,6 +25,7 @@ from repograin.functions.globs import component_closure, prefix_closure
 from repograin.operators.ordered import salted_join
 
 PATTERNS_PER_REGEX = 256
+SALTS = 32
 
 
 def _matches(path: Column, *regexes: str | None) -> Column:
@@ -168,7 +169,7 @@ def ignored_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
     matched in chunks, one alternation per chunk. Neither side pairs every file with every pattern.
     """
     exact, wild = _tables(patterns)
-    keys = files.select("repo_id", "rel_path").distinct()
+    keys = files.select("repo_id", "rel_path")
     candidates = keys.select(
         "repo_id",
         "rel_path",
@@ -178,13 +179,14 @@ def ignored_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
             )
         ).alias("bare"),
     )
-    by_name = candidates.join(exact, ["repo_id", "bare"], "left_semi").select("repo_id", "rel_path")
+    # A folder name can belong to a large share of all files, so the probe side is salted.
+    by_name = salted_join(candidates, exact, ["repo_id", "bare"], F.col("rel_path"), how="left_semi", salts=SALTS)
     chunks = glob_chunks(wild)
     # The chunk table is config-sized; one copy per shuffle task spreads even a dominant repository evenly.
     salts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paired = salted_join(keys, chunks, ["repo_id"], F.col("rel_path"), how="inner", salts=salts)
     by_glob = paired.filter(F.expr("rel_path rlike rx")).select("repo_id", "rel_path")
-    return by_name.unionByName(by_glob).distinct()
+    return by_name.select("repo_id", "rel_path").unionByName(by_glob).distinct()
 
 
 def glob_chunks(wild: DataFrame) -> DataFrame:
@@ -209,8 +211,10 @@ def ignore_audit(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     hits = [
         F.when(is_ignored([p]), F.lit(p)) for p in dict.fromkeys(patterns)
     ]
+    # One combined test first: most files match nothing and skip the per-pattern tests.
     return (
-        files.select("repo_id", "rel_path", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
+        files.filter(is_ignored(patterns))
+        .select("repo_id", "rel_path", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
         if hits
         else files.select("repo_id", "rel_path", F.lit(None).cast("string").alias("pattern")).limit(0)
     )

@@ -18,6 +18,7 @@ from repograin.functions.constants import (
 from repograin.functions.text import summary_from_answer, token_estimate
 from repograin.operators.ordered import sorted_previous, sorted_row_number
 from repograin.schemas import BATCH_ERROR, BATCH_RESULT
+from repograin.session import checkpoint
 
 # Fixed values of the request envelope.
 METHOD = "POST"
@@ -154,14 +155,13 @@ def chunk_sizes(chunked: DataFrame) -> DataFrame:
 
 def job_rows(chunked: DataFrame, created_at: float, window: str = "24h") -> DataFrame:
     """One ``batch_jobs`` row per chunk part; ids are filled in by whoever submits the files."""
-    parts = chunk_sizes(chunked)
-    numbered = sorted_row_number(parts, ["chunk", "part"], "_n", slices=1)
-    total = parts.agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
-    return numbered.crossJoin(F.broadcast(total)).select(  # one row on the right
+    numbered = checkpoint(sorted_row_number(chunk_sizes(chunked), ["chunk", "part"], "_n"))
+    total = numbered.count()
+    return numbered.select(
         F.lit(None).cast("string").alias("batch_id"),
         F.concat_ws("-", "chunk", "part").alias("input_file_id"),
         F.col("_n").cast("int").alias("chunk_index"),
-        "total_chunks",
+        F.lit(total).cast("int").alias("total_chunks"),
         F.lit(created_at).alias("created_at"),
         F.lit(window).alias("completion_window"),
     )
@@ -204,10 +204,11 @@ def merge_results(meta: DataFrame, results: DataFrame, as_of: Column, qualified:
 
 def parse_errors(lines: DataFrame) -> DataFrame:
     """Error rows with default code and message; lines that are not JSON objects give no row."""
+    checked = F.from_json("value", BATCH_ERROR + ", _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
     return (
         lines.filter(F.trim("value") != "")
-        .filter(F.try_parse_json("value").isNotNull())
-        .withColumn("_e", F.from_json("value", BATCH_ERROR))
+        .withColumn("_e", checked)
+        .filter(F.col("_e").isNotNull() & F.col("_e._broken").isNull())
         .select(
             F.col("_e.custom_id").alias("custom_id"),
             F.coalesce("_e.error.code", F.lit("Unknown")).alias("code"),

@@ -51,6 +51,14 @@ def _finish(
     return stats
 
 
+def _changed_texts(files: DataFrame, meta: DataFrame, force: bool) -> DataFrame:
+    """Texts of the files that need work. The comparison runs on keys and hashes alone; texts never shuffle for it."""
+    if force:
+        return with_text(files)
+    keys = C.files_to_update(files.select(*C.KEY, "hash"), meta)
+    return with_text(C.only_keys(files, keys))
+
+
 def update_content(
     spark: SparkSession, landed: DataFrame, store: str, summariser: Summariser, as_of: str, force: bool = False
 ) -> DataFrame:
@@ -58,7 +66,7 @@ def update_content(
     files = build_catalog(landed)
     meta = stores.load_metadata(spark, f"{store}/content")
     stores.backup_content(spark, f"{store}/content", f"{store}/content_history", as_of)
-    todo = C.files_to_update(with_text(files), meta, force)
+    todo = _changed_texts(files, meta, force)
     # Calls to the summariser are costly: their result is written once and read back.
     number = stores.save_table(summarise(todo, summariser), f"{store}/summaries")
     summaries = spark.read.parquet(f"{store}/summaries/v{number}")
@@ -71,7 +79,7 @@ def prepare_batch(
 ) -> DataFrame:
     """First half of the batch form: write request files for what changed; returns size and cost per repository."""
     meta = stores.load_metadata(spark, f"{store}/content")
-    todo = C.files_to_update(with_text(build_catalog(landed)), meta, force)
+    todo = _changed_texts(build_catalog(landed), meta, force)
     requests = R.exclude_types(R.batch_requests(todo, qualified=True), excluded_types)
     stores.write_requests(requests, out, **limits)
     return R.batch_cost(requests)

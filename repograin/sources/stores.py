@@ -70,8 +70,11 @@ def load_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_symbols(symbols: DataFrame, path: str) -> int:
-    """Sorted by repository and file, so that prefix queries skip row groups."""
-    ordered = symbols.repartitionByRange("repo_id", "file", "line").sortWithinPartitions(
+    """Sorted by repository and file, so that prefix queries skip row groups.
+
+    A range partitioning samples its input first; the checkpoint keeps that from parsing every text twice.
+    """
+    ordered = checkpoint(symbols).repartitionByRange("repo_id", "file", "line").sortWithinPartitions(
         "repo_id", "file", "line", "type_ord", "pos"
     )
     return save_table(ordered, path)
@@ -207,7 +210,9 @@ def write_requests(
 ) -> None:
     """JSON-lines files, one folder per chunk. A chunk is bounded in rows and bytes, so one task can write it."""
     lines = request_lines(requests)
-    chunks = chunk_requests(lines.select("repo_id", "custom_id", "bytes"), max_requests=max_requests, max_bytes=max_bytes, max_line=max_line)
+    # Numbering reads its input more than once: the narrow size table is written first.
+    sizes = checkpoint(lines.select("repo_id", "custom_id", "bytes"))
+    chunks = chunk_requests(sizes, max_requests=max_requests, max_bytes=max_bytes, max_line=max_line)
     numbered = lines.join(chunks.select("repo_id", "custom_id", "seq", "chunk", "part"), ["repo_id", "custom_id"])
     (
         numbered.repartition("chunk", "part")
