@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from repograin.operators.rules import PAREN
 
-ROUNDS = 10
+ROUNDS = 4
 
 _DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -41,14 +41,26 @@ TOKENS = {
     "yaml": r"(?m:^[ \t]*#[^\n]*)|(?<=[ \t])#[^\n]*",
 }
 
-# Languages whose parenthesised groups collapse, and the bracket group that collapses for each.
-_PLAIN_PARENS = r"\([^(){};]*\)"
-_ANY_BRACKETS = r"[(\[{][^()\[\]{}]*[)\]}]"
+DEPTH = 8
+
+
+def nested(opening: str, inner: str, closing: str, depth: int = DEPTH) -> str:
+    """Balanced groups up to a depth as one pattern. Possessive loops keep it linear and free of recursion."""
+    group = f"{opening}{inner}*+{closing}"
+    for _ in range(depth - 1):
+        group = f"{opening}(?:{inner}++|{group})*+{closing}"
+    return group
+
+
+# Languages whose groups collapse: any brackets in python, parentheses without statements elsewhere.
+# (within one line, over lines)
+_ANY = [nested(r"[(\[{]", rf"[^{nl}()\[\]{{}}]", r"[)\]}]") for nl in (r"\n", "")]
+_PLAIN = [nested(r"\(", rf"[^{nl}(){{}};]", r"\)") for nl in (r"\n", "")]
 COLLAPSE = {
-    "python": _ANY_BRACKETS,
+    "python": (*_ANY, r"[(\[{]"),
     **dict.fromkeys(
         ["javascript", "typescript", "c", "java", "go", "rust", "php", "c_sharp", "kotlin", "swift", "scala"],
-        _PLAIN_PARENS,
+        (*_PLAIN, r"\([^(){};]*\)"),
     ),
 }
 
@@ -56,7 +68,7 @@ COLLAPSE = {
 PRELUDE = {
     "javascript": r"(?<=\()\s*\{[^{}();]*\}",
     "typescript": r"(?<=\()\s*\{[^{}();]*\}",
-    "c": r"(?<=\b(?:struct|union|enum)\s{1,8}\w{0,64}\s{0,8})\{[^{}]*\}",
+    "c": r"\{(?<=\b(?:struct|union|enum)\s{1,8}\w{0,64}\s{0,8}\{)[^{}]*\}",
 }
 
 
@@ -71,7 +83,7 @@ def let(value: str, name: str, body: str) -> str:
 
 
 def newlines_of(text: str) -> str:
-    return f"regexp_replace({text}, {lit('[^\n]+')}, '')"
+    return f"if(contains({text}, '\\n'), regexp_replace({text}, {lit('[^\\n]+')}, ''), '')"
 
 
 def rebuild(text: str, regex: str, replacement: str) -> str:
@@ -86,23 +98,23 @@ def rebuild(text: str, regex: str, replacement: str) -> str:
 
 def blank_tokens(text: str, regex: str) -> str:
     """Comments become their newlines; string literals become an empty literal plus their newlines."""
-    head = f"if(rlike(m, {lit('^[@\"\'`]')}), {lit('""')}, '')"
+    head = f"if(substr(m, 1, 1) in ({lit('@')}, {lit(chr(34))}, {lit(chr(39))}, {lit('`')}), {lit(chr(34) * 2)}, '')"
     return rebuild(text, regex, f"concat({head}, {newlines_of('m')})")
 
 
-def collapse_groups(text: str, regex: str, rounds: int = ROUNDS) -> str:
-    """Collapse nested groups, innermost first, to ``PAREN``.
+def collapse_groups(text: str, one_line: str, any_lines: str, more: str, rounds: int = ROUNDS) -> str:
+    """Collapse bracket groups to ``PAREN``, whole nests at once; deeper nests take another round.
 
     The newlines inside a group move behind the line that closes it, so a declaration whose parameters span
-    lines becomes one line and every later line keeps its number.
+    lines becomes one line and every later line keeps its number. A round without an open group does nothing.
     """
-    one_line = regex.replace("[^", "[^\\n")
-    rest_of_line = f"regexp_extract(m, {lit(rf'\A{regex}([^\n]*)\z')}, 1)"
+    to_line_end = any_lines + r"[^\n]*"
+    rest_of_line = f"regexp_extract(m, {lit(rf'\A{any_lines}([^\n]*)\z')}, 1)"
     spread = f"concat({lit(PAREN)}, {rest_of_line}, {newlines_of('m')})"
     once = let(
-        f"regexp_replace(acc, {lit(one_line)}, {lit(PAREN)})", "t", rebuild("t", regex + r"[^\n]*", spread)
+        f"regexp_replace(acc, {lit(one_line)}, {lit(PAREN)})", "t", rebuild("t", to_line_end, spread)
     )
-    return f"if(rlike({text}, {lit(regex)}), aggregate(sequence(1, {rounds}), {text}, (acc, n) -> {once}), {text})"
+    return f"aggregate(sequence(1, {rounds}), {text}, (acc, n) -> if(rlike(acc, {lit(more)}), {once}, acc))"
 
 
 def mask_text(text: str, lang: str) -> str:
@@ -113,7 +125,7 @@ def mask_text(text: str, lang: str) -> str:
     if lang in PRELUDE:
         steps.append(lambda t: rebuild(t, PRELUDE[lang], f"concat('{'{}' if lang == 'c' else ''}', {newlines_of('m')})"))
     if lang in COLLAPSE:
-        steps.append(lambda t: collapse_groups(t, COLLAPSE[lang]))
+        steps.append(lambda t: collapse_groups(t, *COLLAPSE[lang]))
     out = text
     for number, step in enumerate(steps):
         out = let(out, f"s{number}", step(f"s{number}"))

@@ -34,7 +34,8 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "python",
         "variable",
-        rf"(?:^|;|^\s*(?:async\s+)?(?:if|elif|else|while|for|with|try|except|finally|def|class)\b[^:=]*:|\G)\s*(?!(?:{_PY_BLOCK})\b)"
+        rf"(?:^|;|^\s*(?:async\s+)?(?:if|elif|else|while|for|with|try|except|finally|def|class)\b[^:]*:|"
+        rf"^\s*\w+[.{PAREN}][\w.{PAREN}]*\s*=(?!=)|\G)\s*(?!(?:{_PY_BLOCK})\b)"
         r"([^\W\d]\w*+)\s*(?:=(?!=)|:\s*[^\s=:;][^=;]*(?:=(?!=)|$))",
     ),
     ("javascript", "function", rf"(?:^|[;{{}}])\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+({_JS_NAME})"),
@@ -78,8 +79,8 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "c",
         "function",
-        rf"^\s*(?!(?:{_NOT_TYPE}|if|while|for|switch|do|sizeof)\b)[A-Za-z_][\w\s*&]*?[\s*&]([A-Za-z_]\w*)\s*{PAREN}"
-        r"\s*(?:\{|;|$)",
+        rf"^\s*(?!(?:{_NOT_TYPE}|if|while|for|switch|do|sizeof)\b)"
+        rf"(?:[A-Za-z_]\w*+[\s*&]++(?=[A-Za-z_]))++([A-Za-z_]\w*+)\s*{PAREN}\s*(?:\{{|;|$)",
     ),
     (
         "c",
@@ -100,7 +101,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
         rf"^\s*(?:@\w+{PAREN}?\s*)*(?=[^;]*\b(?:public|private|protected|static|volatile|transient)\s)(?:(?:{_JAVA})\s+)+"
         rf"(?!(?:{_NOT_TYPE}|{_JAVA})\b)[A-Za-z_][\w.]*(?:<[^;=]*>)?(?:\[\])*\s+([A-Za-z_]\w*)\s*(?:\[\])*\s*[=;,]",
     ),
-    ("json", "key", r'"((?:[^"\\]|\\.)*+)"(?=\s*:)|"(?:[^"\\]|\\.)*+"'),
+    ("json", "key", r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?=\s*:)|"[^"\\]*+(?:\\.[^"\\]*+)*+"'),
     ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+(?!#+[ \t]*$)(.+?)(?:[ \t]+#+)?[ \t]*\r?$"),
     ("go", "function", rf"^func\s+(?:(?:{PAREN}|\([^)]*\))\s*)?([A-Za-z_]\w*)"),
     ("go", "class", r"^\s*type\s+([A-Za-z_]\w*)"),

@@ -119,10 +119,19 @@ def _read_contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["repo_id", "rel_path", "mtime", "content"])
 
 
-def read_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), repo_id: str | None = None) -> DataFrame:
-    """Landed rows ``(repo_id, rel_path, mtime, content)`` of one tree, ready for ``build_catalog``."""
+def read_files(
+    spark: SparkSession, root: str, patterns: Sequence[str] = (), repo_id: str | None = None, tasks: int | None = None
+) -> DataFrame:
+    """Landed rows ``(repo_id, rel_path, mtime, content)`` of one tree, ready for ``build_catalog``.
+
+    The number of reading tasks is given outright: left to itself the engine would merge the tiny listing, and
+    with it all the reading, into one task.
+    """
     listed = list_files(spark, root, patterns, repo_id)
-    spread = listed.repartition(F.xxhash64("rel_path"))
+    default = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism
+    )
+    spread = listed.repartition(tasks or default, F.xxhash64("rel_path"))
     return spread.mapInPandas(
         _read_contents, "repo_id string, rel_path string, mtime timestamp, content binary"
     )
