@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repograin.functions.constants import HISTORY_KEEP
 from repograin.functions.text import snapshot_label
+from repograin.session import checkpoint
 
 
 def snapshots(history: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def retention(history: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:
     The ranking filter runs map-side first (window group limit), so a repository with most of the snapshots
     sends only a few rows per task; the rest is found by an anti join on the unique snapshot key.
     """
-    all_ts = history.filter(F.col("kind") == "snapshot").select("repo_id", "snapshot_ts").distinct()
+    # The distinct snapshots are few and read three times below; the history itself is read once.
+    all_ts = checkpoint(history.filter(F.col("kind") == "snapshot").select("repo_id", "snapshot_ts").distinct())
     order = Window.partitionBy("repo_id").orderBy(F.desc("snapshot_ts"))
     kept = all_ts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= keep).drop("_rn")
     dropped = all_ts.join(kept, ["repo_id", "snapshot_ts"], "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repograin.functions import paths
 from repograin.functions.constants import SYMBOLS_PER_LINE
-from repograin.functions.text import short_tag, strip_quotes, table_tag
+from repograin.functions.text import short_tag, table_tag
 from repograin.operators.masks import let, lit, mask_by_language, mask_text, newlines_of, rebuild
 from repograin.operators.ordered import block_row_number
 from repograin.operators.rules import LINE_RULES, rules_frame
@@ -121,6 +121,27 @@ def _component_units(text: str, strict: bool) -> str:
     )
 
 
+def name_sql(lang: str, kind: str, match: str, line_no: str) -> tuple[str, str]:
+    """Line and clean name of a match: markup matches carry their own line, keys of JSON lose their quotes."""
+    line = f"if({lang} = 'html', {_mark_line(match)}, {line_no})"
+    name = (
+        f"case when {lang} = 'html' and {kind} = 'tag' then regexp_extract({match}, '</?(.*)$', 1) "
+        f"when {lang} = 'html' then {_unmarked(match)} "
+        f"when {lang} = 'json' then trim(both {lit(chr(34))} from {match}) else {match} end"
+    )
+    return line, name
+
+
+def units_sql(text: str, ext: str, lang: str, strict: bool = False) -> str:
+    """Units of one file as ``array<struct<lang, block, base, lines>>``."""
+    nothing = "cast(null as string)"
+    return f"""case {ext}
+        when '.ipynb' then array({_unit(lit("python"), nothing, "0", _notebook_lines(text))})
+        when '.vue' then {_component_units(text, strict)}
+        else array(if({lang} = 'html', {_unit(lang, nothing, "0", _markup_tokens(text))},
+          {_unit(lang, nothing, "0", _numbered(mask_by_language(text, lang)))})) end"""
+
+
 def extract_symbols(
     files: DataFrame, rules: DataFrame | None = None, recursive: bool = True, strict: bool = False
 ) -> DataFrame:
@@ -143,13 +164,7 @@ def extract_symbols(
         (F.lit("") if given else paths.suffix("rel_path")).alias("ext"),
         "text",
     ).filter(F.col("lang").isNotNull())
-    nothing = "cast(null as string)"
-    units = f"""case ext
-        when '.ipynb' then array({_unit(lit("python"), nothing, "0", _notebook_lines("text"))})
-        when '.vue' then {_component_units("text", strict)}
-        else array(if(lang = 'html', {_unit("lang", nothing, "0", _markup_tokens("text"))},
-          {_unit("lang", nothing, "0", _numbered(mask_by_language("text", "lang")))})) end"""
-    per_unit = known.select("repo_id", F.col("rel_path").alias("file"), F.expr(f"inline({units})"))
+    per_unit = known.select("repo_id", F.col("rel_path").alias("file"), F.expr(f"inline({units_sql('text', 'ext', 'lang', strict)})"))
     lines = per_unit.join(_rules(files, rules), "lang").select(
         *KEY, "lang", "block", "base", "type", "type_ord", "rule_no", "regex",
         F.posexplode(F.coalesce("lines", F.array())).alias("_i", "_l"),
@@ -159,14 +174,9 @@ def extract_symbols(
         F.col("_l.no").alias("_no"), F.col("_l.cell").alias("cell"),
         F.posexplode(F.regexp_extract_all(F.col("_l.text"), F.col("regex"), F.lit(1))).alias("_hit", "_name"),
     )
+    line_sql, name_sql_text = name_sql("lang", "type", "_name", "_no")
+    line, name = F.expr(line_sql) + F.col("base"), F.expr(name_sql_text)
     markup = F.col("lang") == "html"
-    name = (
-        F.when(markup & (F.col("type") == "tag"), F.regexp_extract("_name", r"</?(.*)$", 1))
-        .when(markup, F.expr(_unmarked("_name")))
-        .when(F.col("lang") == "json", strip_quotes("_name"))
-        .otherwise(F.col("_name"))
-    )
-    line = F.when(markup, F.expr(_mark_line("_name"))).otherwise(F.col("_no")) + F.col("base")
     place = (
         F.when(markup & (F.col("type") == "tag"), F.col("_i").cast("bigint"))
         .when(markup, F.col("_i").cast("bigint") * 1024 + F.col("_hit"))

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from repograin.functions import paths
 from repograin.functions.constants import COMPONENT_PATTERNS, DEFAULT_PATTERNS
-from repograin.functions.text import (
-    preview,
-    size_label,
-    summary_from_answer,
-    time_label,
-)
+from repograin.functions.text import size_label, summary_from_answer, time_label
 from repograin.operators import catalog, changes, hierarchy, history, ignore, reports, requests, symbols
 from repograin.operators.ordered import block_running_sum
 from repograin.operators.rules import rules_frame
 from repograin.plans import bindings as B
+from repograin.plans import sql_functions
 from repograin.plans.bindings import with_bindings as w
+from repograin.plans.updates import summarise
 from repograin.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +546,19 @@ def keys_by_rule(spark, sf):
     return symbols.symbols_by_rule(files).groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+@register(
+    "sql_symbols",
+    "SELECT event_id, name FROM (SELECT event_id, unnest(regexp_extract_all(props, '\"([^\"]+)\"\\s*:', 1)) AS name FROM events)",
+)
+def sql_symbols(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(
+        "select event_id, found.name from (select event_id, explode(symbols_found) as found from "
+        "(select event_id, symbols_of(concat('e', event_id, '.json'), props) as symbols_found from {events}))",
+        events=B.table(spark, sf, "events"),
+    )
+
+
 def _config_text() -> Column:
     """Parts written as TOML: a comment, root keys, a table with keys."""
     return F.concat(
@@ -734,6 +744,23 @@ def symbols_text(spark, sf):
     return reports.symbols_text(_prose(spark, sf)).select("repo_id", "heading", "value")
 
 
+@register(
+    "symbols_json",
+    w(SYM, """SELECT repo_id, file, pos, '{"file":"' || file || '","line":' || line || ',"type":"' || type || '","name":"' || name || '"}' AS value
+      FROM sym"""),
+)
+def symbols_json(spark, sf):
+    return reports.symbols_json(_prose(spark, sf)).select("repo_id", "file", "pos", "value")
+
+
+@register(
+    "symbols_listing",
+    w(SYM, "SELECT repo_id, file, pos, printf('%-60s %-6d %-10s %s', file, line, type, name) AS value FROM sym"),
+)
+def symbols_listing(spark, sf):
+    return reports.symbols_listing(_prose(spark, sf)).select("repo_id", "file", "pos", "value")
+
+
 @register(
     "symbols_compact",
     w(SYM, """SELECT repo_id, file, part, CAST(count(*) AS INTEGER) AS n_symbols,
@@ -787,6 +814,15 @@ def summary_query(spark, sf):
     return found.filter(F.col("summary") != "").select("repo_id", "rel_path", "summary", _label())
 
 
+@register(
+    "summary_text",
+    w("docs lab page_files meta", f"""SELECT repo_id, rel_path, repeat('=', 60) || chr(10) || 'File: ' || rel_path || chr(10) || 'Last Updated: ' ||
+      {SQL_LABEL} || chr(10) || repeat('=', 60) || chr(10) || summary AS value FROM meta WHERE summary <> ''"""),
+)
+def summary_text(spark, sf):
+    return reports.summary_text(B.stored_metadata(spark, sf))
+
+
 # ---------------------------------------------------------------- hierarchy
 
 
@@ -866,6 +902,52 @@ def batch_requests(spark, sf):
     )
 
 
+@register(
+    "single_prompts",
+    w("docs", f"""SELECT rel_path, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5 FROM (
+      SELECT rel_path, '{requests.PROMPT_HEAD.replace("'", "''")}' || rel_path || coalesce(' (Language: ' || CASE lower({SQL_EXT}) WHEN '.py' THEN 'Python'
+        WHEN '.js' THEN 'JavaScript' WHEN '.ts' THEN 'TypeScript' WHEN '.md' THEN 'Markdown' WHEN '.html' THEN 'HTML' END || ')', '') ||
+        '{requests.PROMPT_TASK.replace("'", "''")}' || substr(text, 1, 2000) ||
+        CASE WHEN length(text) > 2000 THEN chr(10) || '{requests.TRUNCATION_NOTE}' ELSE '' END || '{requests.PROMPT_TAIL.replace("'", "''")}' AS prompt
+      FROM docs)"""),
+)
+def single_prompts(spark, sf):
+    prompt = requests.single_prompt(F.col("rel_path"), paths.display_language("rel_path"), F.col("text"), 2000)
+    return _docs(spark, sf).select(
+        "rel_path", F.char_length(prompt).cast("bigint").alias("prompt_chars"), F.md5(prompt).alias("prompt_md5")
+    )
+
+
+@register(
+    "summarise_changed",
+    w("docs lab page_files meta", f"""SELECT d.repo_id, d.rel_path, coalesce(CASE lower(regexp_extract(d.rel_path, '(\\.[^.]+)$', 1)) WHEN '.py' THEN 'Python'
+        WHEN '.js' THEN 'JavaScript' WHEN '.ts' THEN 'TypeScript' WHEN '.md' THEN 'Markdown' WHEN '.html' THEN 'HTML' END, 'None') || ' ' || length(d.text) AS summary
+      FROM docs d LEFT JOIN meta m ON d.repo_id = m.repo_id AND d.rel_path = m.rel_path
+      WHERE (m.rel_path IS NULL OR m.hash IS DISTINCT FROM md5(d.text)) AND length(d.text) > 0"""),
+)
+def summarise_changed(spark, sf):
+    def describe(path, content, language):
+        return {"summary": f"{language} {len(content)}"}
+
+    files = _doc_catalog(spark, sf)
+    keys = changes.files_to_update(files.select("repo_id", "rel_path", "hash"), B.stored_metadata(spark, sf))
+    return summarise(catalog.with_text(changes.only_keys(files, keys)), describe)
+
+
+@register(
+    "request_chunk_sizes",
+    w("docs", """SELECT chunk, part, count(*) AS n_requests, CAST(sum(b) AS BIGINT) AS bytes FROM (
+      SELECT b, (row_number() OVER (ORDER BY repo_id, rel_path) - 1) // 100 AS chunk,
+        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 60000 AS BIGINT) AS part
+      FROM (SELECT repo_id, rel_path, octet_length(encode(text)) AS b FROM docs)) GROUP BY chunk, part"""),
+)
+def request_chunk_sizes(spark, sf):
+    sizes = _docs(spark, sf).select(
+        "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
+    )
+    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100, max_bytes=60_000))
+
+
 @register(
     "request_type_histogram",
     w("docs", f"SELECT coalesce(nullif({SQL_EXT}, ''), rel_path) AS file_type, count(*) AS n_requests FROM docs GROUP BY 1"),
@@ -1058,4 +1140,4 @@ def history_retention_counts(spark, sf):
     return history.retention_counts(history.retention(B.history_rows(spark, sf)))
 
 
-__all__ = ["ORACLES", "QUERIES", "paths", "preview"]
+__all__ = ["ORACLES", "QUERIES"]

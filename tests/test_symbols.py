@@ -369,3 +369,17 @@ def test_masking_keeps_line_numbers(spark):
     text = "x = (\n1,\n[2,\n3],\n)\ny = '''\n\n'''\nz = 1\n"
     got = [(r.line, r.name) for r in S.extract_symbols(frame(spark, ("r", "a.py", text))).orderBy("line").collect()]
     assert got == [(1, "x"), (6, "y"), (9, "z")]
+
+
+def test_sql_function_gives_the_same_symbols(spark):
+    from repograin.plans.sql_functions import register
+
+    register(spark)
+    rows = [(name, path, dedent(text)) for name, (path, text, _) in CASES.items()]
+    rows += [("vue", "c.vue", COMPONENT), ("html", "p.html", "<a\n b=1>x</a>"), ("none", "x.bin", "y = 1")]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, text string")
+    files.createOrReplaceTempView("some_files")
+    found = spark.sql("select repo_id, inline(found) from (select repo_id, symbols_of(rel_path, text) as found from some_files)").collect()
+    got = sorted((r.repo_id, r.line, r.type, r.name, r.block or "") for r in found)
+    want = sorted((r.repo_id, r.line, r.type, r.name, r.block or "") for r in S.extract_symbols(files).collect())
+    assert got == want
