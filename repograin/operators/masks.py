@@ -16,7 +16,7 @@ _BACKTICK = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
 _TRIPLE = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\''
 _SLASHES = r"//[^\n]*"
-_BLOCK = r"/\*[\s\S]*?\*/"
+_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"  # one that never closes runs to the end: a failed search per opener would be quadratic
 _HASH = r"#[^\n]*"
 
 # Tokens of a language that cannot hold declarations. Alternatives are tried in this order.
@@ -37,7 +37,7 @@ TOKENS = {
     "bash": r"(?m:^[ \t]*#[^\n]*)|(?<=[\s;])#[^\n]*",
     "toml": f"{_TRIPLE}|{_DQ}|'[^'\\n]*+'|{_HASH}",
     "sql": f"\\$\\$[\\s\\S]*?\\$\\$|'[^']*+'|--[^\\n]*|{_BLOCK}",
-    "markdown": r"(?m:^ {0,3}(?:```|~~~)[\s\S]*?(?:^ {0,3}(?:```|~~~)[ \t]*$|\z))|<!--[\s\S]*?-->",
+    "markdown": r"(?m:^ {0,3}(?:```|~~~)[\s\S]*?(?:^ {0,3}(?:```|~~~)[ \t]*$|\z))|<!--[\s\S]*?(?:-->|\z)",
     "yaml": r"(?m:^[ \t]*#[^\n]*)|(?<=[ \t])#[^\n]*",
 }
 

@@ -12,6 +12,7 @@ from repograin.operators.ordered import block_carry_last, block_row_number
 
 SYMBOL_TABLE_HEAD = ["| File | Line | Type | Name |", "|------|------|------|------|"]
 SUMMARY_TABLE_HEAD = ["| File | Summary | Last Updated |", "|------|---------|--------------|"]
+LINE_BLOCK = 4096  # lines per block when symbols of a file are numbered
 COMPACT_TITLE = "Symbols by file, line:tag:name"
 
 
@@ -59,7 +60,7 @@ def symbols_json(symbols: DataFrame) -> DataFrame:
 
 def symbols_compact(symbols: DataFrame, per_line: int = SYMBOLS_PER_LINE) -> DataFrame:
     """Compact lines ``line:tag:name line:tag:name ...``, at most ``per_line`` symbols each, none dropped."""
-    ranked = block_row_number(symbols, ["repo_id", "file"], "line", ["line", "type_ord", "pos"], "_rn")
+    ranked = block_row_number(symbols, ["repo_id", "file"], "line", ["line", "type_ord", "pos"], "_rn", LINE_BLOCK)
     token = F.concat_ws(":", F.col("line").cast("string"), short_tag("type"), F.col("name"))
     return (
         ranked.select(

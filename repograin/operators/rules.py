@@ -27,7 +27,8 @@ _TS_MEMBER = "public|private|protected|static|async|override|readonly|get|set"
 _PY_BLOCK = "if|elif|else|while|for|with|try|except|finally|def|class|lambda|return|async"
 _NOT_TYPE = "return|new|else|throw|await|using|namespace|class|struct|interface|enum|goto|case|typedef|package|import"
 
-# (language, symbol type, pattern). Types keep this order inside a language.
+# (language, symbol type, pattern). Types keep this order inside a language. Repeated groups are possessive
+# throughout: the engine then loops instead of recursing, so a very long line can not overflow the stack.
 LINE_RULES: list[tuple[str, str, str]] = [
     ("python", "function", r"(?:^|[;:])\s*(?:async\s+)?def\s+([^\W\d]\w*)"),
     ("python", "class", r"(?:^|[;:])\s*class\s+([^\W\d]\w*)"),
@@ -49,7 +50,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "typescript",
         "function",
-        rf"(?:^|[{{}},;])\s*(?:@\w+\S*\s+)*(?:(?:{_TS_MEMBER})\s+)*\*?\s*"
+        rf"(?:^|[{{}},;])\s*(?:@\w+\S*\s+)*+(?:(?:{_TS_MEMBER})\s+)*+\*?\s*"
         rf"(?!(?:if|for|while|switch|catch|with|function|return|super|{_TS_MEMBER})\b\s*{_OPEN})"
         rf"#?({_JS_NAME})\s*(?:<[^>]*>)?\s*{PAREN}\s*(?::\s*[^{{;=]+)?\{{",
     ),
@@ -61,7 +62,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "typescript",
         "class",
-        rf"(?:^|[;{{}}])\s*(?:@\w+\S*\s+)*(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?class\s+"
+        rf"(?:^|[;{{}}])\s*(?:@\w+\S*\s+)*+(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?class\s+"
         rf"(?!extends\b|implements\b)({_JS_NAME})",
     ),
     (
@@ -73,7 +74,7 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "typescript",
         "component",
-        rf"\b(?:const|let|var)\s+({_JS_NAME})\s*(?::\s*(?:[^=]|=>)+?)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?"
+        rf"\b(?:const|let|var)\s+({_JS_NAME})\s*(?::[^=]*+(?:=>[^=]*+)*+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?"
         rf"(?:{PAREN}|\([^;]*?\)|{_JS_NAME})\s*(?::[^={{]+)?=>",
     ),
     (
@@ -91,15 +92,15 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "java",
         "function",
-        rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*(?:(?:{_JAVA})\s+)*(?:<[^>]*>\s*)?(?!(?:{_NOT_TYPE}|{_JAVA})\b)"
-        rf"[A-Za-z_][\w.]*(?:<[^;={PAREN}]*>)?(?:\[\])*\s+([A-Za-z_]\w*)\s*{PAREN}\s*(?:throws\s[^{{;]+)?(?:\{{|;|$)",
+        rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*+(?:(?:{_JAVA})\s+)*+(?:<[^>]*>\s*)?(?!(?:{_NOT_TYPE}|{_JAVA})\b)"
+        rf"[A-Za-z_][\w.]*(?:<[^;={PAREN}]*>)?(?:\[\])*+\s+([A-Za-z_]\w*)\s*{PAREN}\s*(?:throws\s[^{{;]+)?(?:\{{|;|$)",
     ),
-    ("java", "class", rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*(?:(?:{_JAVA})\s+)*class\s+([A-Za-z_]\w*)"),
+    ("java", "class", rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*+(?:(?:{_JAVA})\s+)*+class\s+([A-Za-z_]\w*)"),
     (
         "java",
         "variable",
-        rf"^\s*(?:@\w+{PAREN}?\s*)*(?=[^;]*\b(?:public|private|protected|static|volatile|transient)\s)(?:(?:{_JAVA})\s+)+"
-        rf"(?!(?:{_NOT_TYPE}|{_JAVA})\b)[A-Za-z_][\w.]*(?:<[^;=]*>)?(?:\[\])*\s+([A-Za-z_]\w*)\s*(?:\[\])*\s*[=;,]",
+        rf"^\s*(?:@\w+{PAREN}?\s*)*+(?=[^;]*\b(?:public|private|protected|static|volatile|transient)\s)(?:(?:{_JAVA})\s+)++"
+        rf"(?!(?:{_NOT_TYPE}|{_JAVA})\b)[A-Za-z_][\w.]*(?:<[^;=]*>)?(?:\[\])*+\s+([A-Za-z_]\w*)\s*(?:\[\])*+\s*[=;,]",
     ),
     ("json", "key", r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?=\s*:)|"[^"\\]*+(?:\\.[^"\\]*+)*+"'),
     ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+(?!#+[ \t]*$)(.+?)(?:[ \t]+#+)?[ \t]*\r?$"),
@@ -109,12 +110,12 @@ LINE_RULES: list[tuple[str, str, str]] = [
         "go",
         "variable",
         r"(?:^\s*(?:\}\s*else\s+)?(?:(?:if|for|switch)\s+)?|[;{]\s*|\G\s*,\s*)([A-Za-z_]\w*+)"
-        r"(?=(?:\s*,\s*[A-Za-z_]\w*)*\s*:=(?!\s*range\b))",
+        r"(?=(?:\s*,\s*[A-Za-z_]\w*)*+\s*:=(?!\s*range\b))",
     ),
     (
         "rust",
         "function",
-        rf"(?:^|[;{{}}])\s*(?:pub(?:{PAREN}|\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern|default)\s+)*"
+        rf"(?:^|[;{{}}])\s*(?:pub(?:{PAREN}|\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern|default)\s+)*+"
         r"fn\s+([A-Za-z_]\w*+)(?=[^;{]*(?:\{|$))",
     ),
     (
@@ -125,30 +126,30 @@ LINE_RULES: list[tuple[str, str, str]] = [
     ("rust", "variable", r"(?:^|[;{}])\s*let\s+(?:mut\s+)?([a-z_]\w*)\s*[:=;]"),
     ("ruby", "function", r"(?:^|;)\s*(?:(?:private|protected|public|module_function)\s+)?def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"),
     ("ruby", "class", r"(?:^|;)\s*(?:class|module)\s+([A-Z]\w*)"),
-    ("php", "function", r"(?:^|[;{}])\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?([A-Za-z_]\w*)\s*" + _OPEN),
-    ("php", "class", r"(?:^|[;{}])\s*(?:(?:abstract|final|readonly)\s+)*class\s+([A-Za-z_]\w*)"),
+    ("php", "function", r"(?:^|[;{}])\s*(?:(?:public|private|protected|static|abstract|final)\s+)*+function\s+&?([A-Za-z_]\w*)\s*" + _OPEN),
+    ("php", "class", r"(?:^|[;{}])\s*(?:(?:abstract|final|readonly)\s+)*+class\s+([A-Za-z_]\w*)"),
     (
         "c_sharp",
         "function",
-        rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*(?:(?:{_CSHARP})\s+)*(?!(?:{_CSHARP}|{_NOT_TYPE}|record|delegate|event|var)\b)"
+        rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*+(?:(?:{_CSHARP})\s+)*+(?!(?:{_CSHARP}|{_NOT_TYPE}|record|delegate|event|var)\b)"
         rf"[A-Za-z_][\w<>\[\],.?]*\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?{_OPEN}",
     ),
-    ("c_sharp", "class", rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*(?:(?:{_CSHARP})\s+)*(?:class|interface|struct)\s+([A-Za-z_]\w*)"),
-    ("kotlin", "function", rf"(?:^|[;{{}}])\s*(?:(?:{_KOTLIN})\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?([A-Za-z_]\w*)\s*{_OPEN}"),
-    ("kotlin", "class", rf"(?:^|[;{{}}])\s*(?:(?:{_KOTLIN})\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)"),
-    ("swift", "function", rf"(?:^|[;{{}}])\s*(?:@\w+\s+)*(?:(?:{_SWIFT}|class)\s+)*func\s+([A-Za-z_]\w*).*\{{"),
-    ("swift", "class", rf"(?:^|[;{{}}])\s*(?:@\w+\s+)*(?:(?:{_SWIFT})\s+)*(?:class|struct|enum|protocol|actor)\s+(?!func\b|var\b)([A-Za-z_]\w*)"),
-    ("scala", "function", rf"(?:^|[;{{}}])\s*(?:(?:{_SCALA})\s+)*def\s+([A-Za-z_]\w*)[^=]*="),
-    ("scala", "class", rf"(?:^|[;{{}}])\s*(?:(?:{_SCALA})\s+)*(?:class|trait|object)\s+([A-Za-z_]\w*)"),
+    ("c_sharp", "class", rf"(?:^|[;{{}}])\s*(?:\[[^\]]*\]\s*)*+(?:(?:{_CSHARP})\s+)*+(?:class|interface|struct)\s+([A-Za-z_]\w*)"),
+    ("kotlin", "function", rf"(?:^|[;{{}}])\s*(?:(?:{_KOTLIN})\s+)*+fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?([A-Za-z_]\w*)\s*{_OPEN}"),
+    ("kotlin", "class", rf"(?:^|[;{{}}])\s*(?:(?:{_KOTLIN})\s+)*+(?:class|interface|object)\s+([A-Za-z_]\w*)"),
+    ("swift", "function", rf"(?:^|[;{{}}])\s*(?:@\w+\s+)*+(?:(?:{_SWIFT}|class)\s+)*+func\s+([A-Za-z_]\w*).*\{{"),
+    ("swift", "class", rf"(?:^|[;{{}}])\s*(?:@\w+\s+)*+(?:(?:{_SWIFT})\s+)*+(?:class|struct|enum|protocol|actor)\s+(?!func\b|var\b)([A-Za-z_]\w*)"),
+    ("scala", "function", rf"(?:^|[;{{}}])\s*(?:(?:{_SCALA})\s+)*+def\s+([A-Za-z_]\w*)[^=]*="),
+    ("scala", "class", rf"(?:^|[;{{}}])\s*(?:(?:{_SCALA})\s+)*+(?:class|trait|object)\s+([A-Za-z_]\w*)"),
     ("bash", "function", r"(?:^|;)\s*(?:function\s+([A-Za-z_][\w-]*))"),
     ("bash", "function", r"(?:^|;)\s*([A-Za-z_][\w-]*)\s*\(\s*\)"),
     (
         "bash",
         "variable",
-        r"(?:(?:^|;|&&|\|\||\b(?:then|do|else)\s)\s*(?:(?:local|export|declare|readonly|typeset)\s+(?:-\w+\s+)*)?|"
-        r"""(?!^)\G(?:"[^"]*"|'[^']*'|[^\s;|&"'])*\s+)([A-Za-z_]\w*)\+?=(?!=)""",
+        r"(?:(?:^|;|&&|\|\||\b(?:then|do|else)\s)\s*(?:(?:local|export|declare|readonly|typeset)\s+(?:-\w+\s+)*+)?|"
+        r"""(?!^)\G(?:"[^"]*"|'[^']*'|[^\s;|&"'])*+\s+)([A-Za-z_]\w*)\+?=(?!=)""",
     ),
-    ("yaml", "key", r"""^\s*(?:-\s+)*("[^"]*"|'[^']*'|[^\s#:'"\-{\[&*!|>%@`][^:#]*?)\s*:(?:\s|$)"""),
+    ("yaml", "key", r"""^\s*(?:-\s+)*+("[^"]*"|'[^']*'|[^\s#:'"\-{\[&*!|>%@`][^:#]*?)\s*:(?:\s|$)"""),
     ("toml", "key", r"(?:^|[{,])\s*([A-Za-z0-9_-]+)\s*=(?!=)"),
     ("sql", "table", r"(?i)\b(?:table|function|from|join|references|into|update|view)\s+(?:(?:if\s+not\s+exists|if\s+exists|only)\s+)?(?:\w+\.)?([A-Za-z_]\w*)"),
 ]

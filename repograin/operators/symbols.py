@@ -24,12 +24,13 @@ from repograin.session import checkpoint
 KEY = ["repo_id", "file"]
 ORDER = ["type_ord", "line", "pos"]
 MAX_BROADCAST_RULES = 10_000
+LINE_BLOCK = 4096
 _MARK = "\u0003"
 _NUMBER = f"{_MARK}\\d+{_MARK}"
 
 # Markup is cut into tag tokens; the rules of markup languages run on tokens instead of lines. Positions are
 # written into the text as line numbers between marks, so a token carries its own line and those of its attributes.
-_SILENT = r"(?i)<!--[\s\S]*?-->|<(?:script|style)\b[^>]*>[\s\S]*?(?=</(?:script|style))"
+_SILENT = r"(?i)<!--[\s\S]*?(?:-->|\z)|<(?:script|style)\b[^>]*>[\s\S]*?(?=</(?:script|style)|\z)"
 _TAG_TOKEN = rf"""{_NUMBER}</?[A-Za-z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 _ATTRIBUTE = (
     rf"""(?<!<)({_NUMBER}(?!<)[^\s=<>"'/{_MARK}]+(?:\s*(?:{_NUMBER})?=\s*(?:{_NUMBER})?"""
@@ -244,7 +245,7 @@ def file_profile(symbols: DataFrame) -> DataFrame:
 
 def profile_names(symbols: DataFrame, per_row: int = SYMBOLS_PER_LINE) -> DataFrame:
     """Names per file and type in line order, in rows of at most ``per_row`` names."""
-    ranked = block_row_number(symbols, [*KEY, "type"], "line", ["line", "pos"], "_rn")
+    ranked = block_row_number(symbols, [*KEY, "type"], "line", ["line", "pos"], "_rn", LINE_BLOCK)
     return (
         ranked.withColumn("part", F.floor((F.col("_rn") - 1) / per_row).cast("bigint"))
         .groupBy(*KEY, "type", "part")

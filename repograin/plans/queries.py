@@ -553,7 +553,7 @@ def keys_by_rule(spark, sf):
 def sql_symbols(spark, sf):
     sql_functions.register(spark)
     return spark.sql(
-        "select event_id, found.name from (select event_id, explode(symbols_found) as found from "
+        "select event_id, found.name from (select event_id, explode(coalesce(symbols_found, array())) as found from "
         "(select event_id, symbols_of(concat('e', event_id, '.json'), props) as symbols_found from {events}))",
         events=B.table(spark, sf, "events"),
     )

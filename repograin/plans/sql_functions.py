@@ -2,7 +2,10 @@
 
 ``symbols_of(path, text)`` returns the symbols of one text as an array:
 
-    select rel_path, inline(found) from (select rel_path, symbols_of(rel_path, text) as found from files)
+    select rel_path, inline(coalesce(found, array()))
+    from (select rel_path, symbols_of(rel_path, text) as found from files)
+
+(the ``coalesce`` keeps the optimizer from evaluating the array a second time in a size filter).
 """
 
 from __future__ import annotations

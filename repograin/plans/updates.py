@@ -18,10 +18,11 @@ from repograin.sources import stores
 Summariser = Callable[[str, str, str | None], dict]
 
 
-def summarise(todo: DataFrame, summariser: Summariser) -> DataFrame:
+def summarise(todo: DataFrame, summariser: Summariser, tasks: int | None = None) -> DataFrame:
     """Call a user function per non-empty file: ``fn(path, content, language) -> {"summary": text}``.
 
-    It runs on executors; a call that fails gives a null summary and never stops the job.
+    It runs on executors; a call that fails gives a null summary and never stops the job. ``tasks`` spreads slow
+    calls evenly when few files are left over from many splits.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,6 +38,8 @@ def summarise(todo: DataFrame, summariser: Summariser) -> DataFrame:
     inputs = todo.filter(F.char_length("text") > 0).select(
         "repo_id", "rel_path", "text", paths.display_language("rel_path").alias("language")
     )
+    if tasks:
+        inputs = inputs.repartition(tasks, "repo_id", "rel_path")
     return inputs.mapInPandas(run, "repo_id string, rel_path string, summary string")
 
 

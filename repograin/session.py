@@ -17,6 +17,9 @@ def build_session(app: str = "repograin", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints go once nothing refers to them; call sites are not recorded while plans are built.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
