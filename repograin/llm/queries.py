@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograin.llm import exact_dedup, mixing, packing, topk
+from repograin.llm import exact_dedup, language, mixing, packing, ppm, topk, toxicity
+from repograin.llm.sampling import fold
 
 # Production targets of the mix: sources by name, in parts; all others together have ``MIX_REST`` parts.
 MIX_TARGETS = {f"src{i}": float(1 + i % 5) for i in range(20)}
@@ -39,6 +40,54 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = fold("doc_id", 10)
+    scored = ppm.score(_table(spark, sf_dir, "documents"), remainder != 0)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (fold("id", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+TOXIC_AT = 0.3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labelled documents whose fold of 4 is not 2."""
+    known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2) & F.col("toxic").isNotNull())
+    marks = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.train(docs.select("doc_id", "text").join(marks, "doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.tag(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= TOXIC_AT).cast("int").alias("predicted"),
+        F.col("toxic_spans").alias("spans"),
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(fold("doc_id", 3) != 1))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_accepted").alias("accepted"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, MIX_TARGETS, MIX_REST)
@@ -48,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_exact_top_k": op5_exact_top_k,
+    "op7_ppm": op7_ppm,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 
