@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograin.llm import exact_dedup, language, mixing, packing, ppm, topk, toxicity
+from repograin.llm import exact_dedup, language, mixing, near_dedup, packing, ppm, topk, toxicity
 from repograin.llm.sampling import fold
 
 # Production targets of the mix: sources by name, in parts; all others together have ``MIX_REST`` parts.
@@ -35,6 +35,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -96,6 +100,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_ppm": op7_ppm,
     "op8_toxicity": op8_toxicity,
