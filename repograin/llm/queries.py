@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograin.llm import exact_dedup, language, mixing, near_dedup, packing, ppm, topk, toxicity
+from repograin.llm import chat, exact_dedup, language, mixing, near_dedup, packing, ppm, topk, toxicity, warc
 from repograin.llm.sampling import fold
+from repograin.llm.scratch import scratch_path
 
 # Production targets of the mix: sources by name, in parts; all others together have ``MIX_REST`` parts.
 MIX_TARGETS = {f"src{i}": float(1 + i % 5) for i in range(20)}
@@ -35,6 +36,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    revisit = F.col("type") == "revisit"
+    return records.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.when(revisit, F.col("stated_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("stated", ":", -1)).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -44,6 +59,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = fold("doc_id", 10)
     scored = ppm.score(_table(spark, sf_dir, "documents"), remainder != 0)
@@ -100,8 +119,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_chat": op6_chat,
     "op7_ppm": op7_ppm,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
@@ -113,6 +134,27 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS keep FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < keep THEN keep END AS refers_to
+FROM g""",
+    "op6_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>'
+    ELSE '<|user name=' || regexp_replace(replace(speaker, '<|', '<\|'), '\s', '_', 'g') || '|>' END || chr(10) AS head,
+    replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS body
+  FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
+s AS (SELECT *, length(head || body) AS n, coalesce(sum(length(head || body)) OVER (PARTITION BY conv_id, perspective
+    ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
+SELECT conv_id, perspective, turn, speaker, head || body AS segment, CAST(pos AS BIGINT) AS seg_start,
+  CAST(pos + n AS BIGINT) AS seg_end,
+  CASE WHEN speaker = perspective THEN CAST(pos + length(head) AS BIGINT) END AS mask_start,
+  CASE WHEN speaker = perspective THEN CAST(pos + n - 1 AS BIGINT) END AS mask_end
+FROM s""",
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
