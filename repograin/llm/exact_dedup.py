@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograin.llm.columns import guarded
 from repograin.llm.scratch import bucket_of, bucket_table, written
 
 PREFIX_BYTES = 64
@@ -73,6 +74,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         marked.where(~F.col("kept")).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct(),
         "exact-dropped",
     )
-    own = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    return docs.withColumn("_own", own).join(dropped, same, "left_anti").drop("_own")
+
+    def left(rows: DataFrame, key: str, text: str) -> DataFrame:
+        own = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
+        same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+        return rows.withColumn("_own", own).join(dropped, same, "left_anti")
+
+    return guarded(docs, left, id_col, text_col)

@@ -135,8 +135,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """Add ``lang_pred`` and ``lang_score`` (its probability, 0 to 1) and ``lang_accepted`` (not below the threshold).
 
     A text that is null or has no letter gets ``und`` with the score 1, as does every text where there was nothing to
-    learn from (score 0). Texts are read whole.
+    learn from (score 0). Texts are read whole. Columns of ``docs`` that bear the new names are replaced.
     """
+    docs = docs.drop("lang_pred", "lang_score", "lang_accepted", "_lettered")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # fixed size: buckets x labels of a bounded sample
 

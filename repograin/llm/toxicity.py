@@ -224,7 +224,9 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", span_at: float =
 
     Spans are ``struct<start, end, p>`` in characters of the text, end exclusive. Null and empty texts, and texts
     without letters, have no tokens: no spans, and the score of a document with nothing toxic in it. Read whole.
+    Columns of ``docs`` that bear the new names are replaced.
     """
+    docs = docs.drop("toxic_score", "toxic_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 ** BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
