@@ -4,8 +4,8 @@ The stream is cut into slots of one source block each. In a phase, source i has
 so its j-th block of the cycle (from 0) is released at slot floor(j * Q / q_i) and due by slot ceil((j + 1) * Q / q_i).
 Earliest deadline first among released blocks then keeps every source within less than one block of its share at every
 slot, and a cycle ends with no debt. All cycles of a phase are alike: one cycle is scheduled, and every block finds its
-slot by arithmetic. A phase ends when a source runs out; the others go on with their weights scaled up. No row is
-dropped or repeated.
+slot by arithmetic. When a source has less than its part of a cycle left, one shorter cycle uses it up; the others go on
+with their weights scaled up. No row is dropped or repeated.
 
 Size of the parts: a schedule has at most 2 * sources phases of about ``CYCLE`` slots, fixed by the caller's list of
 targets, and is the only thing that is broadcast. Rows are numbered inside hashed chunks of a source, so a source that
@@ -41,10 +41,14 @@ def phases(blocks: Column, weights: list[float], cycle: int = CYCLE) -> Column:
         left = state["left"]
         live = F.zip_with(left, share, lambda n, w: F.when(n > 0, w).otherwise(0.0))
         all_live = F.aggregate(live, F.lit(0.0), lambda s, x: s + x)
-        slots = lambda total: F.zip_with(
+        # A source with less than its part of a cycle left shortens the cycle to what it has.
+        part = lambda total: F.coalesce(
+            F.least(F.lit(1.0), F.array_min(F.zip_with(left, share, lambda n, w: F.when(n > 0, n * total / (w * cycle))))), F.lit(1.0)
+        )
+        even = lambda total, p: F.zip_with(
             left,
             share,
-            lambda n, w: F.when(n > 0, F.least(n, F.greatest(F.lit(1).cast("bigint"), F.round(w / total * cycle).cast("bigint")))).otherwise(
+            lambda n, w: F.when(n > 0, F.least(n, F.greatest(F.round(w / total * cycle * p), F.when(p == 1, 1).otherwise(0)).cast("bigint"))).otherwise(
                 F.lit(0).cast("bigint")
             ),
         )
@@ -55,7 +59,12 @@ def phases(blocks: Column, weights: list[float], cycle: int = CYCLE) -> Column:
             F.zip_with(left, quota, lambda n, q: n - q * c).alias("left"),
             F.concat(state["done"], F.array(F.struct(c.alias("cycles"), quota.alias("quota")))).alias("done"),
         )
-        return _let(all_live, lambda total: _let(slots(total), lambda quota: _let(times(quota), lambda c: after(quota, c))))
+        return _let(
+            all_live,
+            lambda total: _let(
+                part(total), lambda p: _let(even(total, p), lambda quota: _let(times(quota), lambda c: after(quota, c)))
+            ),
+        )
 
     empty = F.from_json(F.lit("[]"), "array<struct<cycles:bigint,quota:array<bigint>>>")
     run = F.aggregate(
@@ -128,7 +137,8 @@ def mix(
 
     ``targets`` are weights by source name, in any scale. Rows of other sources, and of none (null), form one more
     source with the weight ``rest``. Inside a source rows go by a hash of their id; equal ids in any order. Only a
-    source's last block may hold fewer than ``block_rows`` rows. Empty tables give an empty result.
+    source's last block may hold fewer than ``block_rows`` rows. Empty tables give an empty result; input columns that
+    bear the new names are replaced.
     """
     names = list(targets)
     if not names or min(*targets.values(), rest) <= 0:
