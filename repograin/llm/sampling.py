@@ -20,14 +20,15 @@ def labelled_sample(
     above ``most_bytes`` bytes are not sampled, so the sample has at most ``total * most_bytes`` bytes.
     """
     head = F.xxhash64(F.substring(F.col(text_col), 1, 64))
-    usable = rows.where(F.col(label).isNotNull() & (F.octet_length(text_col).between(1, most_bytes)))
-    one = usable.select(label, text_col, F.col(id_col).alias("_id"), head.alias("_head"))
-    order = Window.partitionBy(label).orderBy("_head", "_id")
-    # Ranks are taken on narrow rows with room for copies; Spark cuts each partition to the limit before the shuffle.
-    ranked = one.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= 2 * per_label)
-    first = Window.partitionBy(label, "_head").orderBy("_rank")
-    kept = ranked.withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
-    again = Window.partitionBy(label).orderBy("_rank")
-    kept = kept.withColumn("_rank", F.row_number().over(again)).where(F.col("_rank") <= per_label)
-    found = kept.orderBy("_rank", label, "_head").limit(total).select(label, text_col).collect()
-    return [tuple(r) for r in found]
+    usable = rows.where(F.col(label).isNotNull() & F.octet_length(text_col).between(1, most_bytes)).select(
+        F.col(label).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), head.alias("head")
+    )
+    firsts = usable.groupBy("label", "head").agg(F.min("id").alias("id"))
+    # Spark cuts every partition to the limit before this shuffle.
+    order = Window.partitionBy("label").orderBy("head")
+    ranked = firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    picked = ranked.orderBy("rank", "label", "head").limit(total).withColumnsRenamed({"label": "_label", "head": "_head", "id": "_id"})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("label", "head", "id")]
+    found = usable.join(F.broadcast(picked), same)  # ``total`` rows at most
+    texts = found.groupBy("rank", "label", "head").agg(F.min("text").alias("text"))  # rows repeated with one id count once
+    return [(r["label"], r["text"]) for r in texts.orderBy("rank", "label", "head").collect()]
