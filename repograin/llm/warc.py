@@ -9,8 +9,8 @@ header, if it has one, names the offset of its successor. A record is real if it
 * across splits, pointer jumping over these exits (each round doubles the reach) finds the entry of each split;
 * from its entry, each split marks what is reached. Magic inside a payload never is.
 
-Chunks of a payload that holds the magic are put together again, also across splits. A chain that meets a broken
-record ends there. Memory is bounded by a split and by the longest record; file size is not limited.
+Chunks of a payload that holds the magic are put together again, also across splits, in a second pass that runs only if
+there are any. A chain that meets a broken record ends there. Memory is bounded by a split and by the longest record; file size is not limited.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repograin.llm.scratch import written
+from repograin.llm.scratch import bucket_of, bucket_table, written
 
 MAGIC = "WARC/1."
 STEP = len(MAGIC)
@@ -130,38 +130,50 @@ def _payload(block: bytes) -> bytes:
 
 
 def _chunks(with_payload: bool):
-    names = ["file", "block", "rel", "size", "head", "length", *[f.split()[0] for f in _HEADER.split(", ")], "digest", "bytes", "raw", "payload"]
+    names = ["file", "block", "rel", "size", "head", "length", *[f.split()[0] for f in _HEADER.split(", ")], "digest", "bytes", "whole", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, at, schema = None, 0, None
+        split, at = None, 0
         for batch in batches:
             out: list[tuple] = []
             for value, file, block in zip(*(c.to_pylist() for c in batch.columns)):
                 if (file, block) != split:
                     split, at = (file, block), 0
-                head, length, fields, digest, size, payload, raw = None, None, {}, None, None, None, None
+                head, length, fields, digest, size, payload = None, None, {}, None, None, None
                 if parsed := parse_header(value):
                     head, fields = parsed
                     length = int(fields["length"])
-                if head is None or head + length > len(value):
-                    raw = value  # not whole: perhaps a piece of a payload, or a record whose payload goes on
-                elif fields["type"] != "revisit":
+                whole = head is not None and head + length <= len(value)  # else its payload goes on, or it is a piece of one
+                if whole and fields["type"] != "revisit":
                     payload = _payload(value[head : head + length])
                     digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                 stated = fields.get("stated_bytes", "")
                 out.append(
                     (file, block, at, len(value), head, length)
                     + tuple(fields.get(k) for k in ("type", "record_id", "uri", "page_id", "refers_to", "stated"))
-                    + (int(stated) if stated.isdecimal() else None, digest, size, raw, payload if with_payload else None)
+                    + (int(stated) if stated.isdecimal() else None, digest, size, whole, payload if with_payload else None)
                 )
                 at += len(value) + STEP
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
 
-    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 6, pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-    schema = f"file string, block bigint, rel bigint, size bigint, head bigint, length bigint, {_HEADER}, digest string, bytes bigint, raw binary, payload binary"
+    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 6, pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+    schema = f"file string, block bigint, rel bigint, size bigint, head bigint, length bigint, {_HEADER}, digest string, bytes bigint, whole boolean, payload binary"
     return run, schema
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of every chunk, under the same numbers."""
+    split, at = None, 0
+    for batch in batches:
+        rel = []
+        for size, file, block in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if (file, block) != split:
+                split, at = (file, block), 0
+            rel.append(at)
+            at += size + STEP
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(rel, pa.int64()), batch.column(0)], ["file", "block", "rel", "raw"])
+
+
 def _exits(frame: pd.DataFrame) -> pd.DataFrame:
     """Where the chain from each candidate of a split leaves the split (only chains that do)."""
     known = frame[frame["succ"].notna()].sort_values("start")
@@ -249,24 +261,27 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     )
     fields = [f.split()[0] for f in _HEADER.split(", ")]
     real = marked.where("owner = start").join(chunks, ["file", "block", "rel"])
-    whole = real.where("raw IS NULL").select("file", F.col("start").alias("offset"), *fields, "digest", "bytes", "payload")
+    done = real.where("whole").select("file", F.col("start").alias("offset"), *fields, "digest", "bytes", "payload")
+    broken = written(real.where("NOT whole").select("file", F.col("start").alias("owner"), "head", "length", *fields), "warc-broken")
+    if not broken.take(1):
+        return done
 
     # Records whose payload holds the magic: the chunks up to the next record, in order, with the magic between them.
     lasts = marked.groupBy("file", "block").agg(F.max("owner").alias("_last"))
     carry = lasts.select("file", "block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    pieces = (
-        marked.join(chunks.where("raw IS NOT NULL").select("file", "block", "rel", "raw"), ["file", "block", "rel"])
-        .join(carry, ["file", "block"])
-        .select("file", "start", F.coalesce("owner", "_carry").alias("owner"), "raw")
-    )
-    broken = real.where("raw IS NOT NULL").select("file", F.col("start").alias("owner"), "head", "length", *fields)
+    owned = marked.join(carry, ["file", "block"]).withColumn("owner", F.coalesce("owner", "_carry"))
+    key = ["file", "block", "rel"]
+    needed = written(owned.join(broken.select("file", "owner"), ["file", "owner"], "left_semi").select(*key, "start", "owner"), "warc-needed")
+    # Their bytes come from a second pass; a bounded table of buckets lets few others through to the shuffle.
+    again = lines.withColumn("_n", F.octet_length("value")).mapInArrow(_pieces, "file string, block bigint, rel bigint, raw binary")
+    near = again.withColumn("_bucket", bucket_of(*key)).join(F.broadcast(bucket_table(needed, *key)), "_bucket", "left_semi")
     magic = F.encode(F.lit(MAGIC), "UTF-8")
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("start", "raw"))),
         F.lit(None).cast("binary"),
         lambda s, x: F.when(s.isNull(), x["raw"]).otherwise(F.concat(s, magic, x["raw"])),
     )
-    mended = pieces.join(broken.select("file", "owner"), ["file", "owner"], "left_semi").groupBy("file", "owner").agg(joined.alias("whole"))
+    mended = near.join(needed, key).groupBy("file", "owner").agg(joined.alias("whole"))
     mended = broken.join(mended, ["file", "owner"]).withColumnRenamed("owner", "offset")
-    done = mended.mapInArrow(_assembled(with_payload), f"file string, offset bigint, head bigint, length bigint, {_HEADER}, digest string, bytes bigint, payload binary")
-    return whole.unionByName(done.drop("head", "length"))
+    ends = mended.mapInArrow(_assembled(with_payload), f"file string, offset bigint, head bigint, length bigint, {_HEADER}, digest string, bytes bigint, payload binary")
+    return done.unionByName(ends.drop("head", "length"))
