@@ -145,7 +145,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         # The first bin, from above, with which k scores are reached; the lowest bin where there are fewer.
         reached = summed.withColumn("_above", F.sum("n").over(down) - F.col("n")).where(F.col("_above") < k)
         kth = reached.groupBy("query_id").agg(F.min("bin").alias("bin"))
-        low = F.col("low") + F.coalesce(F.least("bin", F.lit(BINS - 1)), F.lit(0)) * width
+        # The range may be as wide as all longs, so the step is taken in decimals.
+        whole = lambda c: c.cast("decimal(20,0)")
+        step = whole(F.coalesce(F.least("bin", F.lit(BINS - 1)), F.lit(0))) * F.lit(width).cast("decimal(18,0)")
+        low = (whole(F.col("low")) + step).cast("bigint")
         state = written(
             state.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", low.alias("low")),
             "topk-state",
