@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repograin.session import checkpoint
+from repograin.session import written
 
 KEY = ["repo_id", "rel_path"]
 
@@ -58,15 +58,12 @@ def files_to_update(files: DataFrame, meta: DataFrame, force: bool = False, retr
     )
 
 
-def only_keys(wide: DataFrame, keys: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """Rows of ``wide`` whose key is listed, without shuffling wide rows while the list is small.
+def only_keys(wide: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``wide`` whose key is listed.
 
-    The list is written out and counted; only a counted list is broadcast. A longer one goes through a shuffled
-    semi join.
+    The list is written first, so the planner knows its size and keeps wide rows in place where that is small.
     """
-    listed = checkpoint(keys.select(*KEY))
-    small = listed.count() <= broadcast_rows
-    return wide.join(F.broadcast(listed) if small else listed, KEY, "left_semi")
+    return wide.join(written(keys.select(*KEY), "keys"), KEY, "left_semi")
 
 
 def live_metadata(meta: DataFrame, files: DataFrame) -> DataFrame:

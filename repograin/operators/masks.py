@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from repograin.operators.rules import PAREN
 
-ROUNDS = 4
+ROUNDS = 4  # rounds that most texts need; what is deeper goes on until a round changes nothing
 
 _DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _BACKTICK = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-_CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
+_CHAR = r"'(?:[^'\\\n]|\\(?:u\{[0-9A-Fa-f_]++\}|[uU][0-9A-Fa-f]++|x[0-9A-Fa-f]++|[0-7]{1,3}|[^\n]))'"  # escapes by their forms
 _TRIPLE = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\''
 _SLASHES = r"//[^\n]*"
 _BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"  # one that never closes runs to the end: a failed search per opener would be quadratic
@@ -68,7 +68,7 @@ COLLAPSE = {
 PRELUDE = {
     "javascript": r"(?<=\()\s*\{[^{}();]*\}",
     "typescript": r"(?<=\()\s*\{[^{}();]*\}",
-    "c": r"\{(?<=\b(?:struct|union|enum)\s{1,8}\w{0,64}\s{0,8}\{)[^{}]*\}",
+    "c": r"(?:\btypedef\s++)?(?:\b(?:static|const|extern|volatile|register)\s++)*+\b(?:struct|union|enum)\b\s*+\w*+\s*+\{[^{}]*+\}",
 }
 
 
@@ -106,15 +106,28 @@ def collapse_groups(text: str, one_line: str, any_lines: str, more: str, rounds:
     """Collapse bracket groups to ``PAREN``, whole nests at once; deeper nests take another round.
 
     The newlines inside a group move behind the line that closes it, so a declaration whose parameters span
-    lines becomes one line and every later line keeps its number. A round without an open group does nothing.
+    lines becomes one line and every later line keeps its number. Rounds go on, as far as the nesting of the text asks
+    for them, until one finds nothing to collapse.
     """
     to_line_end = any_lines + r"[^\n]*"
     rest_of_line = f"regexp_extract(m, {lit(rf'\A{any_lines}([^\n]*)\z')}, 1)"
     spread = f"concat({lit(PAREN)}, {rest_of_line}, {newlines_of('m')})"
-    once = let(
-        f"regexp_replace(acc, {lit(one_line)}, {lit(PAREN)})", "t", rebuild("t", to_line_end, spread)
+
+    def once(t: str) -> str:
+        return let(f"regexp_replace({t}, {lit(one_line)}, {lit(PAREN)})", "t", rebuild("t", to_line_end, spread))
+
+    first = f"aggregate(sequence(1, {rounds}), {text}, (acc, n) -> if(rlike(acc, {lit(more)}), {once('acc')}, acc))"
+    # How deep the brackets nest that are left (an opener without end counts), from one pass over them.
+    level = "if(c in ('(', '[', '{'), a.d + 1, greatest(a.d - 1, 0))"
+    deepest = (
+        f"aggregate(regexp_extract_all(f, {lit(r'[()\[\]{}]')}, 0), struct(0 as d, 0 as top), "
+        f"(a, c) -> {let(level, 'l', 'struct(l as d, greatest(a.top, l) as top)')}, a -> a.top)"
+    )
+    further = (
+        f"aggregate(sequence(1, 1 + ceil({deepest} / {DEPTH})), struct(f as t, true as go), "
+        f"(a, n) -> if(a.go and rlike(a.t, {lit(more)}), {let(once('a.t'), 'u', 'struct(u as t, u <> a.t as go)')}, a), a -> a.t)"
     )
-    return f"aggregate(sequence(1, {rounds}), {text}, (acc, n) -> if(rlike(acc, {lit(more)}), {once}, acc))"
+    return let(first, "f", f"if(rlike(f, {lit(more)}), {further}, f)")
 
 
 def mask_text(text: str, lang: str) -> str:
@@ -123,7 +136,9 @@ def mask_text(text: str, lang: str) -> str:
     if lang in TOKENS:
         steps.append(lambda t: blank_tokens(t, TOKENS[lang]))
     if lang in PRELUDE:
-        steps.append(lambda t: rebuild(t, PRELUDE[lang], f"concat('{'{}' if lang == 'c' else ''}', {newlines_of('m')})"))
+        # A record's head goes behind its body, next to what is declared with it.
+        head = f"concat(regexp_replace(regexp_extract(m, {lit(r'\A([^{]*)')}, 1), {lit(r'\s+')}, ' '), ' ')" if lang == "c" else "''"
+        steps.append(lambda t: rebuild(t, PRELUDE[lang], f"concat({newlines_of('m')}, {head})"))
     if lang in COLLAPSE:
         steps.append(lambda t: collapse_groups(t, *COLLAPSE[lang]))
     out = text

@@ -64,7 +64,10 @@ def request_id(qualified: bool) -> Column:
 def batch_requests(
     files: DataFrame, model: str = DEFAULT_MODEL, max_chars: int = BATCH_MAX_CHARS, qualified: bool = False
 ) -> DataFrame:
-    """One nested request per non-empty file; ``custom_id`` is the path (see ``request_id``)."""
+    """One nested request per non-empty file; ``custom_id`` is the path (see ``request_id``).
+
+    ``rel_path`` stays beside it: types are read from the path, not from the id.
+    """
     prompt = batch_prompt(F.col("rel_path"), paths.display_language("rel_path"), F.col("text"), max_chars)
     message = [
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT).alias("content")),
@@ -78,6 +81,7 @@ def batch_requests(
     )
     return files.filter(F.char_length("text") > 0).select(
         "repo_id",
+        "rel_path",
         request_id(qualified).alias("custom_id"),
         F.lit(METHOD).alias("method"),
         F.lit(URL).alias("url"),
@@ -93,26 +97,31 @@ def request_lines(requests: DataFrame) -> DataFrame:
     )
 
 
-def type_key(custom_id: Column | str = "custom_id") -> Column:
-    """File type of a request: its extension, or the whole id when it has none."""
-    c = F.col(custom_id) if isinstance(custom_id, str) else custom_id
+def type_key(path: Column | str) -> Column:
+    """File type of a request: the extension of its path, or the whole path when it has none."""
+    c = F.col(path) if isinstance(path, str) else path
     return F.coalesce(F.nullif(paths.split_ext(c), F.lit("")), c)
 
 
+def _path_of(requests: DataFrame) -> str:
+    """The path column of a request table; bare lists of plain ids are their own paths."""
+    return "rel_path" if "rel_path" in requests.columns else "custom_id"
+
+
 def type_histogram(requests: DataFrame) -> DataFrame:
     return (
         requests.filter(F.coalesce(F.col("custom_id"), F.lit("")) != "")
-        .groupBy(type_key().alias("file_type"))
+        .groupBy(type_key(_path_of(requests)).alias("file_type"))
         .agg(F.count(F.lit(1)).alias("n_requests"))
     )
 
 
 def exclude_types(requests: DataFrame, excluded: Sequence[str]) -> DataFrame:
-    """Drop requests of the listed types; ids without an extension are listed and excluded by their full name."""
+    """Drop requests of the listed types; paths without an extension are listed and excluded by their full name."""
     if not excluded:
         return requests
     named = F.coalesce(F.col("custom_id"), F.lit("")) != ""
-    return requests.filter(named & ~type_key().isin(list(excluded)))
+    return requests.filter(named & ~type_key(_path_of(requests)).isin(list(excluded)))
 
 
 def char_totals(files: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -133,14 +142,16 @@ def chunk_requests(
     order: Sequence[str] = ("repo_id", "custom_id"),
     max_requests: int = BATCH_MAX_REQUESTS,
     max_bytes: int = BATCH_MAX_BYTES,
-    max_line: int | None = None,
 ) -> DataFrame:
-    """Chunk numbers for narrow ``(keys, bytes)`` rows in global order.
+    """Chunk numbers for narrow ``(keys, bytes)`` rows in global order; ``sizes`` should be a stored table.
 
-    ``chunk`` counts by requests. ``part`` splits a chunk further by bytes: it steps each time the running size
-    crosses the limit less one line, so no part can exceed the limit (``max_line`` bounds a single line).
+    ``chunk`` counts by requests. ``part`` splits a chunk further by bytes: lines go by where they start, in steps of
+    the limit less the longest line but one byte, so no part exceeds the limit. A line above the limit is an error.
     """
-    room = max_bytes - (max_line or 0)
+    longest = sizes.agg(F.max("bytes")).first()[0] or 1
+    if longest > max_bytes:
+        raise ValueError(f"a request has {longest} bytes; a file may have {max_bytes}")
+    room = max_bytes - longest + 1
     numbered = sorted_row_number(sizes, list(order), "seq", {"start_byte": "bytes"})
     return numbered.withColumn("chunk", F.floor((F.col("seq") - 1) / F.lit(max_requests)).cast("bigint")).withColumn(
         "part", F.floor(F.col("start_byte") / F.lit(room)).cast("bigint")
@@ -190,8 +201,11 @@ def last_summaries(results: DataFrame) -> DataFrame:
     return results.groupBy("custom_id").agg(F.max_by("summary", "line_no").alias("summary"))
 
 
-def merge_results(meta: DataFrame, results: DataFrame, as_of: Column, qualified: bool = False) -> DataFrame:
-    """Metadata with the summaries of known ids replaced; unknown ids are dropped."""
+def merge_results(meta: DataFrame, results: DataFrame, as_of: Column, qualified: bool = True) -> DataFrame:
+    """Metadata with the summaries of known ids replaced; unknown ids are dropped.
+
+    Ids name repository and path. Plain paths (``qualified=False``) only fit metadata of a single repository.
+    """
     fresh = last_summaries(results).select("custom_id", F.col("summary").alias("_s"))
     return meta.withColumn("custom_id", request_id(qualified)).join(fresh, "custom_id", "left").select(
         "repo_id",

@@ -1,6 +1,6 @@
 """Symbol extraction as a job over all files at once, and queries over the symbol table.
 
-Files join the broadcast rule table once per file, so consecutive lines share one compiled pattern; a row of lines
+Files meet the rules of their language once per file, so consecutive lines share one compiled pattern; a row of lines
 is exploded only after that. Nothing here shuffles before the optional final sort. Masks and units are written as
 SQL text because nested lambdas then parse in one call.
 """
@@ -16,14 +16,14 @@ from repograin.functions import paths
 from repograin.functions.constants import SYMBOLS_PER_LINE
 from repograin.functions.text import short_tag, table_tag
 from repograin.operators.masks import let, lit, mask_by_language, mask_text, newlines_of, rebuild
-from repograin.operators.ordered import block_row_number
+from repograin.operators.ordered import block_row_number, sorted_row_number
 from repograin.operators.rules import LINE_RULES, rules_frame
 from repograin.schemas import NOTEBOOK
-from repograin.session import checkpoint
+from repograin.session import written
 
 KEY = ["repo_id", "file"]
 ORDER = ["type_ord", "line", "pos"]
-MAX_BROADCAST_RULES = 10_000
+PLACES = 1 << 31  # positions are pairs of 31-bit numbers
 LINE_BLOCK = 4096
 _MARK = "\u0003"
 _NUMBER = f"{_MARK}\\d+{_MARK}"
@@ -43,11 +43,13 @@ MARKUP_RULES = [
 
 
 def _rules(files: DataFrame, rules: DataFrame | None) -> DataFrame:
-    """The rule table, broadcast only when its size is known to be small."""
-    if rules is None:
-        return F.broadcast(rules_frame(files.sparkSession, LINE_RULES + MARKUP_RULES))
-    small = len(rules.limit(MAX_BROADCAST_RULES + 1).select("lang").collect()) <= MAX_BROADCAST_RULES
-    return F.broadcast(rules) if small else rules
+    """One row per language with its rules: as many rows as there are languages, so it is broadcast.
+
+    Lines stay where they are whatever the number of rules of a language.
+    """
+    listed = rules_frame(files.sparkSession, LINE_RULES + MARKUP_RULES) if rules is None else rules
+    rule = F.struct("type_ord", "rule_no", "type", "regex")
+    return F.broadcast(listed.groupBy("lang").agg(F.array_sort(F.collect_list(rule)).alias("_rules")))
 
 
 def _numbered(masked: str) -> str:
@@ -166,8 +168,9 @@ def extract_symbols(
         "text",
     ).filter(F.col("lang").isNotNull())
     per_unit = known.select("repo_id", F.col("rel_path").alias("file"), F.expr(f"inline({units_sql('text', 'ext', 'lang', strict)})"))
-    lines = per_unit.join(_rules(files, rules), "lang").select(
-        *KEY, "lang", "block", "base", "type", "type_ord", "rule_no", "regex",
+    ruled = per_unit.join(_rules(files, rules), "lang").select(*KEY, "lang", "block", "base", "lines", F.explode("_rules").alias("_r"))
+    lines = ruled.select(
+        *KEY, "lang", "block", "base", "_r.type", "_r.type_ord", "_r.rule_no", "_r.regex",
         F.posexplode(F.coalesce("lines", F.array())).alias("_i", "_l"),
     )
     hits = lines.select(
@@ -180,8 +183,8 @@ def extract_symbols(
     markup = F.col("lang") == "html"
     place = (
         F.when(markup & (F.col("type") == "tag"), F.col("_i").cast("bigint"))
-        .when(markup, F.col("_i").cast("bigint") * 1024 + F.col("_hit"))
-        .otherwise(F.col("_hit").cast("bigint") * 16 + F.col("rule_no"))
+        .when(markup, F.col("_i").cast("bigint") * PLACES + F.col("_hit"))
+        .otherwise(F.col("_hit").cast("bigint") * PLACES + F.col("rule_no"))
     )
     return hits.select(
         *KEY, line.cast("int").alias("line"), "type", name.alias("name"), "type_ord", place.alias("pos"), "cell", "block"
@@ -214,9 +217,14 @@ def markup_symbols(files: DataFrame) -> DataFrame:
 def sort_symbols(symbols: DataFrame) -> DataFrame:
     """Total order by file and line; ties by declared type, then position.
 
-    A range sort reads its input twice (sample, then sort), so the rows are checkpointed: texts are parsed once.
+    A range sort reads its input twice (sample, then sort), so the rows are written first: texts are parsed once.
     """
-    return checkpoint(symbols).orderBy("repo_id", "file", "line", "type_ord", "pos")
+    return written(symbols, "symbols").orderBy("repo_id", "file", "line", "type_ord", "pos")
+
+
+def ranked_symbols(symbols: DataFrame) -> DataFrame:
+    """``place`` of every symbol in the total order of ``sort_symbols``, from 1."""
+    return sorted_row_number(symbols, ["repo_id", "file", "line", "type_ord", "pos"], "place")
 
 
 def symbol_sample(symbols: DataFrame, n: int = 5) -> DataFrame:

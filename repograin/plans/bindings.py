@@ -170,7 +170,7 @@ SQL_BINDINGS = {
   ('class', 1, '^([A-Z][a-z]+)[ ,.]'), ('variable', 2, '([a-z]+),'), ('key', 3, '([a-z_]+) = "'))""",
     "sym": """sym AS (
   SELECT repo_id, rel_path AS file, CAST(no AS INTEGER) AS line, type, unnest(names) AS name, type_ord,
-    CAST((generate_subscripts(names, 1) - 1) * 16 AS BIGINT) AS pos
+    CAST((generate_subscripts(names, 1) - 1) * 2147483648 AS BIGINT) AS pos
   FROM (SELECT *, regexp_extract_all(line, regex, 1) AS names FROM lines, rules))""",
 }
 

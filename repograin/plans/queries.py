@@ -17,7 +17,8 @@ from repograin.plans import bindings as B
 from repograin.plans import sql_functions
 from repograin.plans.bindings import with_bindings as w
 from repograin.plans.updates import summarise
-from repograin.session import checkpoint
+from repograin.session import checkpoint, scratch_path
+from repograin.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -466,9 +467,13 @@ def symbols_by_rule(spark, sf):
     return _prose(spark, sf).drop("cell", "block")
 
 
-@register("symbols_sorted", w(SYM, "SELECT repo_id, file, line, type, name, pos FROM sym ORDER BY repo_id, file, line, type_ord, pos"))
+@register(
+    "symbols_sorted",
+    w(SYM, """SELECT repo_id, file, line, type, name, pos, row_number() OVER (ORDER BY repo_id, file, line, type_ord, pos) AS place FROM sym"""),
+)
 def symbols_sorted(spark, sf):
-    return symbols.sort_symbols(_prose(spark, sf)).select("repo_id", "file", "line", "type", "name", "pos")
+    ranked = symbols.ranked_symbols(_prose(spark, sf))
+    return ranked.select("repo_id", "file", "line", "type", "name", "pos", "place")
 
 
 @register(
@@ -931,21 +936,21 @@ def summarise_changed(spark, sf):
 
     files = _doc_catalog(spark, sf)
     keys = changes.files_to_update(files.select("repo_id", "rel_path", "hash"), B.stored_metadata(spark, sf))
-    return summarise(catalog.with_text(changes.only_keys(files, keys)), describe)
+    return summarise(catalog.with_text(changes.only_keys(files, keys)), describe).drop("error")
 
 
 @register(
     "request_chunk_sizes",
     w("docs", """SELECT chunk, part, count(*) AS n_requests, CAST(sum(b) AS BIGINT) AS bytes FROM (
       SELECT b, (row_number() OVER (ORDER BY repo_id, rel_path) - 1) // 100 AS chunk,
-        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 60000 AS BIGINT) AS part
+        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // (500001 - max(b) OVER ()) AS BIGINT) AS part
       FROM (SELECT repo_id, rel_path, octet_length(encode(text)) AS b FROM docs)) GROUP BY chunk, part"""),
 )
 def request_chunk_sizes(spark, sf):
     sizes = _docs(spark, sf).select(
         "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
     )
-    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100, max_bytes=60_000))
+    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100, max_bytes=500_000))
 
 
 @register(
@@ -982,8 +987,8 @@ def batch_cost(spark, sf):
 
 @register(
     "request_chunks",
-    w("docs", """SELECT repo_id, custom_id, seq, (seq - 1) // 100 AS chunk, CAST(start_byte // 60000 AS BIGINT) AS part FROM (
-      SELECT repo_id, rel_path AS custom_id, row_number() OVER o AS seq,
+    w("docs", """SELECT repo_id, custom_id, seq, (seq - 1) // 100 AS chunk, CAST(start_byte // (500001 - longest) AS BIGINT) AS part FROM (
+      SELECT repo_id, rel_path AS custom_id, row_number() OVER o AS seq, max(octet_length(encode(text))) OVER () AS longest,
         coalesce(sum(octet_length(encode(text))) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_byte
       FROM docs WINDOW o AS (ORDER BY repo_id, rel_path))"""),
 )
@@ -991,16 +996,16 @@ def request_chunks(spark, sf):
     sizes = _docs(spark, sf).select(
         "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
     )
-    return requests.chunk_requests(sizes, max_requests=100, max_bytes=60_000).select("repo_id", "custom_id", "seq", "chunk", "part")
+    return requests.chunk_requests(sizes, max_requests=100, max_bytes=500_000).select("repo_id", "custom_id", "seq", "chunk", "part")
 
 
-def _result_lines(spark, sf):
+def _result_lines(spark, sf, repo=""):
     """Turns as result lines: assistants answer in JSON, system turns in raw text, user turns are broken lines."""
     content = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("summary")))).otherwise(F.col("text"))
     choices = F.array(F.struct(F.struct(content.alias("content")).alias("message")))
     line = F.to_json(
         F.struct(
-            F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".md")).alias("custom_id"),
+            F.concat(F.lit(f"{repo}conv_"), F.col("conv_id").cast("string"), F.lit(".md")).alias("custom_id"),
             F.struct(F.struct(choices.alias("choices")).alias("body")).alias("response"),
         )
     )
@@ -1021,18 +1026,20 @@ def batch_results(spark, sf):
     "summary_merge",
     """WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
        a AS (SELECT conv_id, arg_max(text, turn) AS s FROM conversations WHERE role <> 'user' AND text <> '' GROUP BY conv_id)
-       SELECT 'chat' AS repo_id, 'conv_' || conv_id || '.md' AS rel_path, CAST(n AS VARCHAR) AS hash, coalesce(s, 'none') AS summary,
-         CASE WHEN s IS NULL THEN 'N/A' ELSE '2024-06-01 00:00:00' END AS last_updated FROM m LEFT JOIN a USING (conv_id)""",
+       SELECT repo_id, 'conv_' || conv_id || '.md' AS rel_path, CAST(n AS VARCHAR) AS hash,
+         CASE WHEN repo_id = 'chat' AND s IS NOT NULL THEN s ELSE 'none' END AS summary,
+         CASE WHEN repo_id = 'chat' AND s IS NOT NULL THEN '2024-06-01 00:00:00' ELSE 'N/A' END AS last_updated
+       FROM m LEFT JOIN a USING (conv_id), (VALUES ('chat'), ('copy')) r(repo_id)""",
 )
 def summary_merge(spark, sf):
     meta = B.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("chat").alias("repo_id"),
+        F.explode(F.array(F.lit("chat"), F.lit("copy"))).alias("repo_id"),  # the same paths in two repositories
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".md")).alias("rel_path"),
         F.col("n").cast("string").alias("hash"),
         F.lit(None).cast("timestamp").alias("last_updated"),
         F.lit("none").alias("summary"),
     )
-    merged = requests.merge_results(meta, requests.parse_results(_result_lines(spark, sf)), _as_of())
+    merged = requests.merge_results(meta, requests.parse_results(_result_lines(spark, sf, "chat::")), _as_of())
     return merged.select("repo_id", "rel_path", "hash", "summary", _label())
 
 
@@ -1140,4 +1147,24 @@ def history_retention_counts(spark, sf):
     return history.retention_counts(history.retention(B.history_rows(spark, sf)))
 
 
+@register(
+    "history_purge",
+    w("hist", """, days AS (SELECT repo_id, date_trunc('day', snapshot_ts) AS d, kind FROM hist),
+      ranked AS (SELECT repo_id, d, row_number() OVER (PARTITION BY repo_id ORDER BY d DESC) AS rn
+        FROM (SELECT DISTINCT repo_id, d FROM days WHERE kind = 'snapshot')),
+      rest AS (SELECT repo_id, count(*) AS rows_left FROM days LEFT JOIN ranked USING (repo_id, d) WHERE kind = 'backup' OR rn <= 5 GROUP BY repo_id)
+      SELECT repo_id, count(*) FILTER (rn <= 5) AS n_kept, count(*) FILTER (rn > 5) AS n_deleted, any_value(rows_left) AS rows_left
+      FROM ranked JOIN rest USING (repo_id) GROUP BY repo_id"""),
+)
+def history_purge(spark, sf):
+    """A history on disk, one snapshot a day, and what is left of it after each repository keeps its newest five."""
+    day = F.date_trunc("day", F.col("snapshot_ts"))
+    rows = B.history_rows(spark, sf).withColumn("snapshot_ts", day).withColumn("snapshot", F.date_format(day, "yyyy-MM-dd_HH-mm-ss"))
+    path = scratch_path(spark, "history")
+    rows.repartition("kind", "snapshot").write.partitionBy("kind", "snapshot").parquet(path)
+    counts = stores.delete_old_history(spark, path, 5)
+    left = spark.read.schema("repo_id STRING, kind STRING").parquet(path).groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows_left"))
+    return counts.join(left, "repo_id")
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,8 @@ from repograin.operators import changes as C
 from repograin.operators import requests as R
 from repograin.operators.catalog import build_catalog, with_text
 from repograin.operators.symbols import extract_symbols
+from repograin.schemas import BATCH_ASKED
+from repograin.session import written
 from repograin.sources import stores
 
 Summariser = Callable[[str, str, str | None], dict]
@@ -21,26 +23,29 @@ Summariser = Callable[[str, str, str | None], dict]
 def summarise(todo: DataFrame, summariser: Summariser, tasks: int | None = None) -> DataFrame:
     """Call a user function per non-empty file: ``fn(path, content, language) -> {"summary": text}``.
 
-    It runs on executors; a call that fails gives a null summary and never stops the job. ``tasks`` spreads slow
-    calls evenly when few files are left over from many splits.
+    It runs on executors; a call that fails gives a null summary with its ``error`` and never stops the job. ``tasks``
+    spreads slow calls evenly when few files are left over from many splits.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            out, errors = [], []
             for row in frame.itertuples(index=False):
+                answer, error = None, None
                 try:
-                    out.append((summariser(row.rel_path, row.text, row.language) or {}).get("summary"))
-                except Exception:
-                    out.append(None)
-            yield pd.DataFrame({"repo_id": frame["repo_id"], "rel_path": frame["rel_path"], "summary": out})
+                    answer = (summariser(row.rel_path, row.text, row.language) or {}).get("summary")
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append(answer)
+                errors.append(error)
+            yield pd.DataFrame({"repo_id": frame["repo_id"], "rel_path": frame["rel_path"], "summary": out, "error": errors})
 
     inputs = todo.filter(F.char_length("text") > 0).select(
         "repo_id", "rel_path", "text", paths.display_language("rel_path").alias("language")
     )
     if tasks:
         inputs = inputs.repartition(tasks, "repo_id", "rel_path")
-    return inputs.mapInPandas(run, "repo_id string, rel_path string, summary string")
+    return inputs.mapInPandas(run, "repo_id string, rel_path string, summary string, error string")
 
 
 def _finish(
@@ -80,25 +85,31 @@ def prepare_batch(
     spark: SparkSession, landed: DataFrame, store: str, out: str, excluded_types: Sequence[str] = (),
     force: bool = False, **limits: int,
 ) -> DataFrame:
-    """First half of the batch form: write request files for what changed; returns size and cost per repository."""
+    """First half of the batch form: write request files for what changed; returns size and cost per repository.
+
+    What was asked is stored with the hash of the text that was sent, for ``finish_batch``.
+    """
     meta = stores.load_metadata(spark, f"{store}/content")
     todo = _changed_texts(build_catalog(landed), meta, force)
     requests = R.exclude_types(R.batch_requests(todo, qualified=True), excluded_types)
     stores.write_requests(requests, out, **limits)
+    asked = requests.select(*C.KEY, "custom_id").join(todo.select(*C.KEY, "hash"), C.KEY)
+    earlier = stores.load_table(spark, f"{store}/asked", BATCH_ASKED).join(asked.select("custom_id"), "custom_id", "left_anti")
+    stores.save_table(asked.unionByName(earlier), f"{store}/asked")
     return R.batch_cost(requests)
 
 
 def finish_batch(spark: SparkSession, landed: DataFrame, store: str, results: str, as_of: str) -> DataFrame:
-    """Second half: read result files, keep files that still need an update, merge, drop deleted, snapshot."""
-    files = build_catalog(landed)
+    """Second half: read result files, merge answers with the hashes they were asked for, drop deleted, snapshot.
+
+    A file that changed after its request takes the answer with the old hash and so stays due.
+    """
+    files = written(build_catalog(landed).select(*C.KEY, "hash"), "catalog")
     meta = stores.load_metadata(spark, f"{store}/content")
     answers = R.last_summaries(stores.read_results(spark, results))
-    todo = C.files_to_update(files.select("repo_id", "rel_path", "hash"), meta)
-    summaries = (
-        todo.withColumn("custom_id", R.request_id(qualified=True))
-        .join(answers, "custom_id")
-        .select(*C.KEY, "hash", "summary")
-    )
+    asked = stores.load_table(spark, f"{store}/asked", BATCH_ASKED)
+    asked = C.files_to_update(C.live_metadata(asked, files), meta)
+    summaries = asked.join(answers, "custom_id").select(*C.KEY, "hash", "summary")
     # Only answered files change state in the batch form.
     state = C.upsert(
         C.live_metadata(meta, files),

@@ -19,6 +19,7 @@ BATCH_REQUEST = (
     "body STRUCT<model: STRING, messages: ARRAY<STRUCT<role: STRING, content: STRING>>, "
     "max_tokens: INT, temperature: DOUBLE>"
 )
+BATCH_ASKED = "custom_id STRING, repo_id STRING, rel_path STRING, hash STRING"
 BATCH_RESULT = (
     "custom_id STRING, "
     "response STRUCT<body: STRUCT<choices: ARRAY<STRUCT<message: STRUCT<content: STRING>>>>>"

@@ -1,23 +1,27 @@
 """Versioned tables and text artefacts.
 
-A table is a folder of complete versions. A writer adds the next version and never touches an earlier one, so a
-lost executor, a retry or a concurrent reader can not see half a state; readers take the newest finished version.
+A table is a folder of complete versions. A writer prepares a version under a name of its own, claims the next free
+number by renaming it and never touches an earlier one, so a lost executor, a retry, a second writer or a concurrent
+reader can not see half a state; readers take the newest version.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograin.functions.constants import BATCH_MAX_BYTES, BATCH_MAX_REQUESTS
 from repograin.functions.text import snapshot_label
+from repograin.operators.history import retention, retention_counts
 from repograin.operators.hierarchy import tree_lines, tree_text
 from repograin.operators.ignore import parse_pattern_lines, sort_patterns
 from repograin.operators.ordered import sorted_row_number
 from repograin.operators.reports import compact_text, parse_compact
 from repograin.operators.requests import chunk_requests, parse_errors, parse_results, request_lines
 from repograin.schemas import BATCH_JOBS, CONTENT_HISTORY, CONTENT_META, IGNORE_PATTERNS, SYMBOL_HISTORY, SYMBOLS
-from repograin.session import checkpoint
+from repograin.session import checkpoint, scratch_path, written
 
 PATTERN_FILE_HEAD = ["# Files and folders to leave out of the analysis", ""]
 
@@ -33,20 +37,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions (a listing of one folder)."""
+    """Numbers of the versions (a listing of one folder; a version has its number only once it is complete)."""
     fs, hadoop = _fs(spark, path)
     if not fs.exists(hadoop):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
 
 def save_table(df: DataFrame, path: str) -> int:
     """Write the whole next version and return its number."""
     spark = df.sparkSession
-    number = (_versions(spark, path) or [0])[-1] + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{number}")
-    return number
+    name = f"_new-{uuid.uuid4().hex}"
+    fs, mine = _fs(spark, f"{path}/{name}")
+    df.write.parquet(f"{path}/{name}")
+    number = (_versions(spark, path) or [0])[-1]
+    while True:
+        number += 1
+        _, claimed = _fs(spark, f"{path}/v{number}")
+        if fs.exists(claimed) or not fs.rename(mine, claimed):
+            continue
+        # A writer that takes the number between the two calls turns the rename into a move below its folder.
+        _, below = _fs(spark, f"{path}/v{number}/{name}")
+        if not fs.exists(below):
+            return number
+        fs.rename(below, mine)
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove all but the newest versions of a table; returns how many went. Readers of those must have ended."""
+    old = _versions(spark, path)[:-keep] if keep > 0 else []
+    for number in old:
+        fs, hadoop = _fs(spark, f"{path}/v{number}")
+        fs.delete(hadoop, True)
+    return len(old)
 
 
 def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,21 +96,34 @@ def load_symbols(spark: SparkSession, path: str) -> DataFrame:
 def save_symbols(symbols: DataFrame, path: str) -> int:
     """Sorted by repository and file, so that prefix queries skip row groups.
 
-    A range partitioning samples its input first; the checkpoint keeps that from parsing every text twice.
+    A range partitioning samples its input first; the written table keeps that from parsing every text twice.
     """
-    ordered = checkpoint(symbols).repartitionByRange("repo_id", "file", "line").sortWithinPartitions(
+    ordered = written(symbols, "symbols").repartitionByRange("repo_id", "file", "line").sortWithinPartitions(
         "repo_id", "file", "line", "type_ord", "pos"
     )
     return save_table(ordered, path)
 
 
+def _label(spark: SparkSession, as_of: str) -> str:
+    return spark.range(1).select(snapshot_label(F.lit(as_of).cast("timestamp"))).first()[0]
+
+
 def _append_history(rows: DataFrame, path: str, as_of: str, kind: str) -> None:
     """Snapshots are partitioned by kind and time; writing the same snapshot again replaces it."""
     ts = F.lit(as_of).cast("timestamp")
-    tagged = rows.withColumn("snapshot_ts", ts).withColumn("kind", F.lit(kind)).withColumn("snapshot", snapshot_label(ts))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    spark = rows.sparkSession
+    label = _label(spark, as_of)
+    # The folder stands for the snapshot: an empty one is recorded, too, and leaves nothing of an earlier one behind.
+    fs, folder = _fs(spark, f"{path}/kind={kind}/snapshot={label}")
+    staged = scratch_path(spark, "snapshot")
+    rows.withColumn("snapshot_ts", ts).withColumn("kind", F.lit(kind)).withColumn("snapshot", F.lit(label)).write.partitionBy(
         "kind", "snapshot"
-    ).parquet(path)
+    ).parquet(staged)
+    ready = spark.read.schema(f"{rows.schema.toDDL()}, snapshot_ts TIMESTAMP, kind STRING, snapshot STRING").parquet(staged)
+    if fs.exists(folder):
+        fs.delete(folder, True)
+    ready.write.mode("append").partitionBy("kind", "snapshot").parquet(path)
+    fs.mkdirs(folder)
 
 
 def _load_history(spark: SparkSession, path: str, schema: str, as_of: str | None) -> DataFrame:
@@ -97,7 +134,7 @@ def _load_history(spark: SparkSession, path: str, schema: str, as_of: str | None
     rows = spark.read.schema(schema + ", snapshot STRING").parquet(path)
     if as_of is None:
         return rows.drop("snapshot")
-    label = rows.sparkSession.sql(f"select date_format(timestamp'{as_of}', 'yyyy-MM-dd_HH-mm-ss') as l").first()["l"]
+    label = _label(spark, as_of)
     if not _exists(spark, f"{path}/kind=snapshot/snapshot={label}"):
         raise FileNotFoundError(f"no snapshot {as_of} in {path}")
     return rows.filter((F.col("kind") == "snapshot") & (F.col("snapshot") == label)).drop("snapshot")
@@ -134,15 +171,26 @@ def backup_content(spark: SparkSession, table: str, history: str, as_of: str) ->
     return True
 
 
-def delete_old_history(spark: SparkSession, path: str, keep: int) -> int:
-    """Remove all but the newest ``keep`` snapshots of a history folder (a folder listing, no data is read)."""
-    fs, hadoop = _fs(spark, f"{path}/kind=snapshot")
-    if not fs.exists(hadoop):
-        return 0
-    folders = sorted((s.getPath() for s in fs.listStatus(hadoop)), key=lambda p: p.getName(), reverse=True)
-    for folder in folders[keep:]:
-        fs.delete(folder, True)
-    return max(0, len(folders) - keep)
+def delete_old_history(spark: SparkSession, path: str, keep: int) -> DataFrame:
+    """Remove each repository's rows from all but its newest ``keep`` snapshots; returns ``repo_id, n_kept, n_deleted``.
+
+    Only snapshots that lose rows are rewritten, from a copy that is complete before they are touched.
+    """
+    if not _exists(spark, f"{path}/kind=snapshot"):
+        return spark.createDataFrame([], "repo_id STRING, n_kept BIGINT, n_deleted BIGINT")
+    keys = spark.read.schema("repo_id STRING, snapshot_ts TIMESTAMP, kind STRING, snapshot STRING").parquet(path)
+    marked = written(retention(keys, keep), "retention")
+    gone = marked.filter(~F.col("keep")).select("repo_id", "snapshot_ts")
+    labels = [r[0] for r in gone.select(snapshot_label("snapshot_ts")).distinct().collect()]  # one per snapshot folder
+    if labels:
+        rows = spark.read.parquet(path).filter((F.col("kind") == "snapshot") & F.col("snapshot").isin(labels))
+        same = [rows["repo_id"].eqNullSafe(gone["repo_id"]), rows["snapshot_ts"] == gone["snapshot_ts"]]
+        left = written(rows.join(gone, same, "left_anti"), "history")
+        for label in labels:
+            fs, folder = _fs(spark, f"{path}/kind=snapshot/snapshot={label}")
+            fs.delete(folder, True)
+        left.write.mode("append").partitionBy("kind", "snapshot").parquet(path)
+    return retention_counts(marked)
 
 
 def read_text_lines(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -206,13 +254,12 @@ def write_trees(files: DataFrame, path: str, ignore: list[str]) -> dict[str, str
 
 def write_requests(
     requests: DataFrame, path: str, max_requests: int = BATCH_MAX_REQUESTS, max_bytes: int = BATCH_MAX_BYTES,
-    max_line: int = 1 << 20,
 ) -> None:
     """JSON-lines files, one folder per chunk. A chunk is bounded in rows and bytes, so one task can write it."""
     lines = request_lines(requests)
     # Numbering reads its input more than once: the narrow size table is written first.
-    sizes = checkpoint(lines.select("repo_id", "custom_id", "bytes"))
-    chunks = chunk_requests(sizes, max_requests=max_requests, max_bytes=max_bytes, max_line=max_line)
+    sizes = written(lines.select("repo_id", "custom_id", "bytes"), "request-sizes")
+    chunks = chunk_requests(sizes, max_requests=max_requests, max_bytes=max_bytes)
     numbered = lines.join(chunks.select("repo_id", "custom_id", "seq", "chunk", "part"), ["repo_id", "custom_id"])
     (
         numbered.repartition("chunk", "part")
@@ -246,7 +293,7 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "load_content_history", "load_jobs",
+    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "drop_old_versions", "load_content_history", "load_jobs",
     "load_metadata", "load_symbol_history", "load_symbols", "load_table", "read_compact", "read_errors",
     "read_patterns", "read_results", "read_text_lines", "save_content_history", "save_metadata",
     "save_symbol_history", "save_symbols", "save_table", "sort_patterns", "write_compact", "write_lines",

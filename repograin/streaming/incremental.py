@@ -21,20 +21,29 @@ LANDED = "repo_id STRING, rel_path STRING, mtime TIMESTAMP, content BINARY"
 def newest_per_path(batch: DataFrame) -> DataFrame:
     """One row per path when a file landed more than once in a batch.
 
-    The newest version is chosen on narrow columns; contents join back by a row id made of time and hash.
+    The newest version is chosen on narrow columns; contents join back by time and hash. Files without a time or
+    without content (unreadable ones) keep their row, too.
     """
     hashed = batch.withColumn("_h", F.md5("content"))
     top = hashed.groupBy("repo_id", "rel_path").agg(F.max(F.struct("mtime", "_h")).alias("_top"))
     keyed = top.select("repo_id", "rel_path", F.col("_top.mtime").alias("mtime"), F.col("_top._h").alias("_h"))
-    picked = hashed.join(keyed, ["repo_id", "rel_path", "mtime", "_h"], "left_semi").drop("_h")
+    keyed = keyed.toDF("_repo", "_path", "_time", "_hash")
+    same = [F.col("repo_id") == F.col("_repo"), F.col("rel_path") == F.col("_path"), F.col("mtime").eqNullSafe(F.col("_time")), F.col("_h").eqNullSafe(F.col("_hash"))]
+    picked = hashed.join(keyed, same, "left_semi").drop("_h")
     return picked.dropDuplicates(["repo_id", "rel_path"])
 
 
+def not_older(files: DataFrame, meta: DataFrame) -> DataFrame:
+    """Files that are not older than what the state already has of their path; a file without a time may be newer."""
+    seen = meta.select(*C.KEY, F.col("last_updated").alias("_seen"))
+    return files.join(seen, C.KEY, "left").filter(F.coalesce(F.col("mtime") >= F.col("_seen"), F.lit(True))).drop("_seen")
+
+
 def apply_batch(batch: DataFrame, store: str, summariser: Summariser | None) -> None:
     """Upsert one micro-batch. Running it twice gives the same state, so replays after a failure are safe."""
     spark = batch.sparkSession
-    files = build_catalog(newest_per_path(batch))
     meta = stores.load_metadata(spark, f"{store}/content")
+    files = not_older(build_catalog(newest_per_path(batch)), meta)
     todo = C.files_to_update(files.withColumn("text", decode("content")).drop("content"), meta)
     if summariser is None:
         summaries = todo.select(*C.KEY, F.lit("").alias("summary"))

@@ -90,7 +90,8 @@ def test_incremental_content_run(spark, tmp_path):
     assert stores.load_content_history(spark, f"{store}/content_history", "2024-01-01").count() == 5
     with pytest.raises(FileNotFoundError):
         stores.load_content_history(spark, f"{store}/content_history", "1999-01-01")
-    assert stores.delete_old_history(spark, f"{store}/content_history", 1) == 1
+    purged = {r.repo_id: (r.n_kept, r.n_deleted) for r in stores.delete_old_history(spark, f"{store}/content_history", 1).collect()}
+    assert purged == {"r": (1, 1), "q": (1, 1)}
     assert stores.load_content_history(spark, f"{store}/content_history", "2025-01-01").count() == 4
 
 
@@ -112,6 +113,48 @@ def test_batch_run(spark, tmp_path):
     assert state["q", "f1.py"] == ("new q::f1.py", 2024) and len(state) == 26
 
 
+def test_batch_answer_keeps_the_hash_it_was_asked_for(spark, tmp_path):
+    store, out = str(tmp_path / "store"), str(tmp_path / "requests")
+    before = landed(spark, [("r", "a.py", "old"), ("r", "b.py", "same"), ("r", "gone.py", "x"), ("q", "README.md", "one"), ("r", "Makefile", "all:")])
+    U.prepare_batch(spark, before, store, out, ["Makefile"]).collect()
+    ids = ["r::a.py", "r::b.py", "r::gone.py", "q::README.md"]
+    answers = [json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": json.dumps({"summary": "of " + i})}}]}}}) for i in ids]
+    (tmp_path / "results.jsonl").write_text("\n".join(answers) + "\n")
+    after = landed(spark, [("r", "a.py", "new"), ("r", "b.py", "same"), ("q", "README.md", "one"), ("r", "README.md", "two")])
+    U.finish_batch(spark, after, store, str(tmp_path / "results.jsonl"), "2024-05-05").collect()
+    state = {(r.repo_id, r.rel_path): (r.hash, r.summary) for r in stores.load_metadata(spark, f"{store}/content").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert state == {("r", "a.py"): (md5("old"), "of r::a.py"), ("r", "b.py"): (md5("same"), "of r::b.py"), ("q", "README.md"): (md5("one"), "of q::README.md")}
+    from repograin.operators import changes
+
+    due = changes.files_to_update(build_catalog(after).select("repo_id", "rel_path", "hash"), stores.load_metadata(spark, f"{store}/content"))
+    assert {(r.repo_id, r.rel_path) for r in due.collect()} == {("r", "a.py"), ("r", "README.md")}
+
+
+def test_history_is_kept_per_repository_and_empty_snapshots_count(spark, tmp_path):
+    path = str(tmp_path / "h")
+    meta = lambda rows: spark.createDataFrame([(r, p, "h", None, "s") for r, p in rows], "repo_id string, rel_path string, hash string, last_updated timestamp, summary string")
+    stores.save_content_history(meta([("old", "a"), ("busy", "a")]), path, "2020-01-01")
+    for year in (2021, 2022, 2023):
+        stores.save_content_history(meta([("busy", "a"), ("busy", "b")]), path, f"{year}-01-01")
+    stores.save_content_history(meta([]), path, "2024-01-01")
+    assert stores.load_content_history(spark, path, "2024-01-01").count() == 0
+    counts = {r.repo_id: (r.n_kept, r.n_deleted) for r in stores.delete_old_history(spark, path, 2).collect()}
+    assert counts == {"old": (1, 0), "busy": (2, 2)}
+    left = {(r.repo_id, r.snapshot_ts.year) for r in stores.load_content_history(spark, path).collect()}
+    assert left == {("old", 2020), ("busy", 2022), ("busy", 2023)}
+    stores.save_content_history(meta([]), path, "2020-01-01")
+    assert stores.load_content_history(spark, path, "2020-01-01").count() == 0
+
+
+def test_old_versions_go_on_request(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = spark.range(3)
+    assert [stores.save_table(rows, table) for _ in range(4)] == [1, 2, 3, 4]
+    assert stores.drop_old_versions(spark, table, keep=2) == 2
+    assert stores.load_table(spark, table, "id bigint").count() == 3 and stores.save_table(rows, table) == 5
+
+
 def test_symbol_update_and_text_store(spark, tmp_path):
     store = str(tmp_path / "store")
     rows = [("r", "a.py", "def f():\n    x = 1\n"), ("r", "d/b.sql", "create table t (id int)"), ("q", "c.ipynb", "{bad")]
@@ -153,6 +196,17 @@ def test_jobs_table_and_versions(spark, tmp_path):
     assert stores.load_metadata(spark, table).first().summary == "t"
 
 
+def test_stream_keeps_unreadable_files_and_never_goes_back(spark, tmp_path):
+    store = str(tmp_path / "store")
+    batch = lambda rows: spark.createDataFrame(rows, "repo_id string, rel_path string, t string, content binary").withColumn("mtime", F.col("t").cast("timestamp")).drop("t")
+    incremental.apply_batch(batch([("r", "a.py", "2024-01-01", b"new"), ("r", "no.py", "2024-01-01", None), ("r", "un.py", None, b"x")]), store, talk)
+    got = {r.rel_path: r.hash for r in stores.load_metadata(spark, f"{store}/content").collect()}
+    assert got.keys() == {"a.py", "no.py", "un.py"} and got["no.py"] is None
+    incremental.apply_batch(batch([("r", "a.py", "2023-01-01", b"older")]), store, talk)
+    kept = {r.rel_path: r.hash for r in stores.load_metadata(spark, f"{store}/content").collect()}
+    assert kept == got
+
+
 def test_streaming_form_matches_and_is_idempotent(spark, tmp_path):
     landing, store, state = (str(tmp_path / d) for d in ("landing", "store", "state"))
     schema_rows = lambda rows: spark.createDataFrame(

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from repograin.functions.paths import split_ext, suffix
@@ -43,7 +45,7 @@ def test_suffix_and_split_ext(spark):
 def test_chunks_respect_both_limits(spark):
     rows = [("hot" if i % 3 else f"r{i}", f"f{i:05d}", 10 + (i * 7) % 90) for i in range(1000)]
     sizes = spark.createDataFrame(rows, "repo_id string, custom_id string, bytes bigint").repartition(5)
-    chunked = R.chunk_requests(sizes, max_requests=64, max_bytes=2000, max_line=100)
+    chunked = R.chunk_requests(sizes, max_requests=64, max_bytes=2000)
     got = chunked.collect()
     assert sorted(r.seq for r in got) == list(range(1, 1001))
     order = sorted(got, key=lambda r: (r.repo_id, r.custom_id))
@@ -54,6 +56,20 @@ def test_chunks_respect_both_limits(spark):
     assert sorted(j.chunk_index for j in jobs) == list(range(1, jobs[0].total_chunks + 1)) and len(jobs) == jobs[0].total_chunks
 
 
+def test_a_line_above_the_limit_is_an_error(spark):
+    sizes = spark.createDataFrame([("r", "a", 50), ("r", "b", 61)], "repo_id string, custom_id string, bytes bigint")
+    with pytest.raises(ValueError):
+        R.chunk_requests(sizes, max_bytes=60)
+    assert {r.bytes for r in R.chunk_sizes(R.chunk_requests(sizes, max_bytes=61)).collect()} == {50, 61}
+
+
+def test_types_come_from_the_path(spark):
+    rows = [("my.repo", "Makefile", "my.repo::Makefile"), ("my.repo", "a.py", "my.repo::a.py")]
+    df = spark.createDataFrame(rows, "repo_id string, rel_path string, custom_id string")
+    assert {r.file_type for r in R.type_histogram(df).collect()} == {"Makefile", ".py"}
+    assert [r.rel_path for r in R.exclude_types(df, ["Makefile"]).collect()] == ["a.py"]
+
+
 def test_answers(spark):
     cases = {
         '{"summary": "a"}': ("a", "a", "a"),

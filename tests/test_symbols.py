@@ -383,3 +383,38 @@ def test_sql_function_gives_the_same_symbols(spark):
     got = sorted((r.repo_id, r.line, r.type, r.name, r.block or "") for r in found)
     want = sorted((r.repo_id, r.line, r.type, r.name, r.block or "") for r in S.extract_symbols(files).collect())
     assert got == want
+
+
+def _names(spark, files):
+    frame = spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo_id string, rel_path string, text string")
+    return {(r.file, r.line, r.type, r.name) for r in S.extract_symbols(frame).collect()}
+
+
+def test_nests_of_any_depth_and_names_of_any_length(spark):
+    lines = lambda n: "x = " + "f(\n" * n + "inner=1" + ")" * n + "\ny = 2\n"
+    long = "S" * 200
+    got = _names(
+        spark,
+        {
+            "a.py": lines(200),
+            "b.py": "x = " + "f(" * 300 + "inner=1" + ")" * 300 + "\ny = 2\n",
+            "open.py": "(" * 3000 + "\nz = 1\n",
+            "c.c": f"struct {long} {{\n int hidden;\n}};\nstruct P {{ int q; }} v, w;\ntypedef struct {{ int z;\n}} T;\nint after;\nenum E {{A, B}} e;\n",
+            "d.rs": "fn a() {\n let c = '\\u{10FFFF}';\n let d = '{';\n}\nfn b() {\n}\n",
+        },
+    )
+    assert {g for g in got if g[0] == "a.py"} == {("a.py", 1, "variable", "x"), ("a.py", 202, "variable", "y")}
+    assert {g for g in got if g[0] == "b.py"} == {("b.py", 1, "variable", "x"), ("b.py", 2, "variable", "y")}
+    assert {g for g in got if g[0] == "open.py"} == {("open.py", 2, "variable", "z")}
+    assert {g[1:] for g in got if g[0] == "c.c"} == {(4, "variable", "v"), (4, "variable", "w"), (7, "variable", "after"), (8, "variable", "e")}
+    assert {g[1:] for g in got if g[0] == "d.rs" and g[2] == "function"} == {(1, "function", "a"), (5, "function", "b")}
+
+
+def test_positions_stay_apart(spark):
+    text = "<a " + " ".join(f"k{i}=1" for i in range(5000)) + "><b k=1 l=2>"
+    rows = S.extract_symbols(spark.createDataFrame([("r", "p.html", text)], "repo_id string, rel_path string, text string")).filter("type = 'attribute'")
+    assert rows.count() == rows.select("pos").distinct().count() == 5002
+    rules = S.rules_frame(spark, [("many", "word", f"(w{i}) ") for i in range(20)])
+    files = spark.createDataFrame([("r", "t", "w0 w1 w2 w19 w5 w0 ", "many")], "repo_id string, rel_path string, text string, lang string")
+    found = S.extract_symbols(files, rules)
+    assert found.count() == found.select("pos").distinct().count() == 6
