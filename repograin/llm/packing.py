@@ -24,44 +24,62 @@ WINDOW = 1024
 END_ID = 0
 BLOCK_PIECES = 1 << 14
 LEAST_PIECES = 256  # small inputs: no more blocks than give each this many pieces
-CACHE_WORDS = 1 << 20  # words whose ids a worker remembers; a full cache starts anew
+CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers; a full cache starts anew
 
-# The split rule of the byte-level vocabulary, and its one special token.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
+SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary never merges across the pieces of its split rule, so each distinct piece is encoded once and
-    remembered. Texts that spell the special token out go through the tokenizer whole.
+    The vocabulary never merges across the pieces of its split rule, and a single space always goes to what follows
+    it. So a text is cut at its spaces, and each distinct stretch, with its space, is encoded once and remembered. Where
+    white space meets a space the rule looks farther; such texts, and those that spell the special token out, are
+    encoded by themselves.
     """
 
     def __init__(self, file: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.split = regex.compile(SPLIT).findall
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}  # by stretch, for " " + stretch; None where it may not be cut out
+        # Tokens of a byte-level vocabulary are spelled with one character per byte.
+        size = self.tokenizer.get_vocab_size()
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _learn(self, stretches: set[str]) -> None:
+        """Encode all stretches as one text; the bytes of its tokens tell where each stretch ends."""
+        new = [x for x in stretches if x == x.strip() != "" and SPECIAL not in x]
+        self.known.update(dict.fromkeys(stretches))
+        if new:
+            ids = self._whole([" " + " ".join(new)])[0]
+            token_ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
+            ends = np.cumsum([len(x.encode()) + 1 for x in new])
+            cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
+            self.known.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        special = [SPECIAL in t for t in texts]
-        pieces = [[] if s else self.split(t) for t, s in zip(texts, special)]
-        new = list(set().union(*pieces) - self.known.keys())
+        cut = [t.split(" ") for t in texts]
+        new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(set().union(*pieces))
-        self.known.update(zip(new, self._whole(new)))
-        known = self.known
-        return [
-            self._whole([t])[0] if s else b"".join([known[x] for x in p]) for t, s, p in zip(texts, special, pieces)
-        ]
+            new = set().union(*cut)
+        self._learn(new)
+        known, heads = self.known, self._whole([c[0] for c in cut])
+        out = []
+        for text, stretches, head in zip(texts, cut, heads):
+            ids = [known[x] for x in stretches]
+            ids[0] = head
+            plain = None not in ids and stretches[0] == stretches[0].rstrip() and SPECIAL not in stretches[0]
+            out.append(b"".join(ids) if plain else self._whole([text])[0])
+        return out
+
+
+_encoders: dict[str, Encoder] = {}  # of this worker process, which Spark keeps for later tasks
 
 
 def _pieces(file: str, window: int, end_id: int, with_ids: bool):
@@ -71,7 +89,8 @@ def _pieces(file: str, window: int, end_id: int, with_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task; Spark runs the tasks
-        encoder = Encoder(file)
+        encoder = _encoders.setdefault(file, None) or Encoder(file)
+        _encoders[file] = encoder
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
