@@ -34,7 +34,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which the sources meet their target weights."""
     targets, rest = queries.MIX_TARGETS, queries.MIX_REST
-    return guarded(docs, lambda rows, key, source: mixing.mixed(rows, targets, rest, source, key), "doc_id", "source")
+    order = lambda rows, key, source: mixing.mixed(rows, targets, rest, source_col=source, id_col=key)
+    return guarded(docs, order, "doc_id", "source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
