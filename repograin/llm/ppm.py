@@ -29,9 +29,9 @@ from repograin.llm.scratch import written
 
 ORDER = 5
 BEFORE, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: stand before a text, and for its end
-SHARD_GRAMS = 1 << 21
-TOP_WORDS = 1 << 20
-HOLD = 1 << 21  # rows a task holds back before it adds up what it has counted
+SHARD_GRAMS = 1 << 20
+TOP_WORDS = 1 << 18
+HOLD = 1 << 20  # rows a task holds back before it adds up what it has counted
 
 _WORD = ~words.SPACE
 
