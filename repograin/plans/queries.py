@@ -308,13 +308,29 @@ def ignore_filter(spark, sf):
     return B.page_files(spark, sf).filter(~ignore.is_ignored(PAGE_PATTERNS)).select("repo_id", "rel_path")
 
 
+# Patterns that only mean something from the working folder, and absolute ones.
+EXTRACT_PATTERNS = [*PAGE_PATTERNS, "site/*/p1?.html", "/data/crawl/*/p2?.html", "/data/crawl/www*"]
+
+
+def _extract_sql(mode: str, lead: str) -> str:
+    """Every path counts as it is seen from the working folder: below it with its folders, outside of it in full."""
+    inner = _closure_sql("seen", EXTRACT_PATTERNS, "SELECT repo_id, rel_path FROM seen ANTI JOIN hit USING (repo_id, rel_path)")
+    return f"""SELECT '{mode}' AS mode, repo_id, substr(rel_path, {len(lead) + 1}) AS rel_path
+      FROM (WITH seen AS (SELECT repo_id, '{lead}' || rel_path AS rel_path FROM page_files) {inner})"""
+
+
 @register(
     "ignore_extract_mode",
-    w("page_files", _closure_sql("page_files", PAGE_PATTERNS, "SELECT repo_id, rel_path FROM page_files ANTI JOIN hit USING (repo_id, rel_path)")),
+    w("page_files", _extract_sql("below", "site/") + " UNION ALL " + _extract_sql("outside", "/data/crawl/")),
 )
 def ignore_extract_mode(spark, sf):
-    hidden = ignore.is_ignored_from(PAGE_PATTERNS, root="/work/site", cwd="/work/site")
-    return B.page_files(spark, sf).filter(~hidden).select("repo_id", "rel_path")
+    """The same files scanned below the working folder and outside of it."""
+    pages = B.page_files(spark, sf)
+    kept = [
+        pages.filter(~ignore.is_ignored_from(EXTRACT_PATTERNS, root, "/work")).select(F.lit(mode).alias("mode"), "repo_id", "rel_path")
+        for mode, root in (("below", "/work/site"), ("outside", "/data/crawl"))
+    ]
+    return kept[0].unionByName(kept[1])
 
 
 @register(
