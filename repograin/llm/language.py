@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from repograin.llm import words
 from repograin.llm.sampling import labelled_sample
+from repograin.llm.ship import ship
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -139,6 +140,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_accepted", "_lettered")
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: buckets x labels of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from repograin.llm import words
 from repograin.llm.columns import guarded
 from repograin.llm.components import components
 from repograin.llm.scratch import bucket_of, bucket_table, written
+from repograin.llm.ship import ship
 
 SHINGLE = 5
 PERCENT = 80
@@ -183,7 +184,7 @@ def near_duplicates(
     component is the smallest id reachable, and the row with that id is kept. A row without id links with nothing and
     is kept, with no component. ``percent`` of 80 or more; rows repeated with the same id are one document.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(
         texts.mapInArrow(_sketches(shingle), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"),

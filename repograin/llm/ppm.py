@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from repograin.llm import words
 from repograin.llm.scratch import written
+from repograin.llm.ship import ship
 
 ORDER = 5
 BEFORE, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: stand before a text, and for its end
@@ -299,6 +300,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     their own. ``docs`` is read several times and must be a stored table.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), learn_from.alias("_learn"))
     counted = texts.where("_learn").select("text").mapInArrow(_count, "kind tinyint, key bigint, n bigint")
     counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograin.llm.scratch import written
+from repograin.llm.ship import ship
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
@@ -115,6 +116,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     fewer than ``k`` candidates all are returned; no queries give an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     size = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     candidate_blocks, query_blocks = max(1, -(-size[0] // CANDIDATE_BLOCK)), max(1, -(-size[1] // QUERY_BLOCK))
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))

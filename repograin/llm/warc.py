@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repograin.llm.scratch import bucket_of, bucket_table, written
+from repograin.llm.ship import ship
 
 MAGIC = "WARC/1."
 STEP = len(MAGIC)
@@ -236,6 +237,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     and ``digest`` (hex SHA-1), ``bytes``, ``payload`` of what is stored: null for revisits and for a record that its
     file cuts off. ``payload`` is null unless asked for. A folder without records gives an empty result.
     """
+    ship(spark)
     source = spark.read.option("lineSep", MAGIC).text(path)
     scan, schema = _chunks(with_payload)
     lines = source.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
