@@ -1,42 +1,13 @@
-"""Tables that cut lineage: Parquet in the folder all executors share."""
+"""Tables that cut lineage, and bucket tables with a fixed row bound."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16  # proven row bound of a bucket table; see ``bucket_table``
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or the folder set on its context.
-
-    Where neither is set, a local session (one machine) gets a temporary folder; a cluster session is an error,
-    as executors could not see each other's files.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="repograin-"))
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place below the shared folder, under the application's own id so that it can be removed as a whole."""
-    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
+from repograin.session import scratch_path, shared_folder, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and go on from the files: lost executors never recompute what lies before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BUCKETS = 1 << 16  # proven row bound of a bucket table; see ``bucket_table``
 
 
 def bucket_of(*columns) -> F.Column:
@@ -49,3 +20,6 @@ def bucket_table(keys: DataFrame, *columns: str) -> DataFrame:
     A row whose bucket is absent surely has no partner in ``keys``; a row whose bucket is present may have one.
     """
     return keys.select(bucket_of(*columns).alias("_bucket")).distinct()
+
+
+__all__ = ["BUCKETS", "bucket_of", "bucket_table", "scratch_path", "shared_folder", "written"]
