@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograin.llm.scratch import written
+from repograin.llm.ship import ship
 
 WINDOW = 1024
 END_ID = 0
@@ -125,6 +126,7 @@ def document_pieces(
     Null text is empty: such a document is its end id alone.
     """
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids), schema)
 
@@ -178,6 +180,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (gapless from 0 in each sequence) to written pieces."""
+    ship(pieces.sparkSession)
     total = pieces.count()
     parallel = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-total // BLOCK_PIECES), min(parallel, total // LEAST_PIECES))
