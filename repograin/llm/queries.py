@@ -84,7 +84,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the labelled documents whose fold of 4 is not 2."""
     known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2) & F.col("toxic").isNotNull())
     marks = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.train(docs.select("doc_id", "text").join(marks, "doc_id"))
+    return toxicity.train(docs.select("doc_id", "text"), marks)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

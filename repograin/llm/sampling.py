@@ -12,23 +12,33 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def labelled_sample(
-    rows: DataFrame, label: str, text_col: str, id_col: str, per_label: int, total: int, most_bytes: int
+    docs: DataFrame,
+    label: str,
+    text_col: str,
+    id_col: str,
+    per_label: int,
+    total: int,
+    most_bytes: int,
+    labels: DataFrame | None = None,
 ) -> list[tuple]:
     """``(label, text)`` of at most ``per_label`` rows of each label and ``total`` rows, in a fixed order.
 
-    Rows come in the order of a hash of their text's head and length, one row per such hash: copies count once. Texts
-    above ``most_bytes`` bytes are not sampled, so the sample has at most ``total * most_bytes`` bytes.
+    The label is a column of ``docs``, or of ``labels``, which has one row per id. Rows come in the order of a hash of
+    their text's head, one row per such hash: copies count once. Texts above ``most_bytes`` bytes are not sampled, so
+    the sample has at most ``total * most_bytes`` bytes. Choosing moves ids and hashes only, never texts.
     """
-    head = F.xxhash64(F.substring(F.col(text_col), 1, 64))
-    usable = rows.where(F.col(label).isNotNull() & F.octet_length(text_col).between(1, most_bytes)).select(
-        F.col(label).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), head.alias("head")
-    )
-    firsts = usable.groupBy("label", "head").agg(F.min("id").alias("id"))
+    head = F.xxhash64(F.substring(F.col(text_col), 1, 64)).alias("head")
+    key = F.col(id_col).alias("id")
+    given = [F.col(label).alias("label")] if labels is None else []
+    narrow = docs.where(F.octet_length(text_col).between(1, most_bytes)).select(key, head, *given)
+    if labels is not None:
+        narrow = narrow.join(labels.select(key, F.col(label).alias("label")), "id")
+    firsts = narrow.where("label IS NOT NULL").groupBy("label", "head").agg(F.min("id").alias("id"))
     # Spark cuts every partition to the limit before this shuffle.
     order = Window.partitionBy("label").orderBy("head")
     ranked = firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
-    picked = ranked.orderBy("rank", "label", "head").limit(total).withColumnsRenamed({"label": "_label", "head": "_head", "id": "_id"})
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("label", "head", "id")]
-    found = usable.join(F.broadcast(picked), same)  # ``total`` rows at most
+    picked = ranked.orderBy("rank", "label", "head").limit(total).select("label", "rank", F.col("head").alias("_head"), F.col("id").alias("_id"))
+    same = [F.col("id").eqNullSafe(F.col("_id")), F.col("head") == F.col("_head")]
+    found = docs.select(key, head, F.col(text_col).alias("text")).join(F.broadcast(picked), same)  # ``total`` rows at most
     texts = found.groupBy("rank", "label", "head").agg(F.min("text").alias("text"))  # rows repeated with one id count once
     return [(r["label"], r["text"]) for r in texts.orderBy("rank", "label", "head").collect()]

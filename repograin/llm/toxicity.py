@@ -17,9 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repograin.llm import words
 from repograin.llm.sampling import labelled_sample
+from repograin.llm.ship import ship
 
 BITS = 20
 KINDS = 7  # feature kinds: word, heads of 3, 4, 5 and 6 bytes, previous and next word
@@ -130,19 +132,29 @@ def _summary(marginals: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log(1e-3 + expected), np.log1p(expected)], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+#: What the curve is without evidence: the largest marginal is the score.
+CURVE = np.array([0.0, 1.0, 0.0, 0.0])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Logistic weights, drawn towards ``prior`` where there are few rows."""
+    w, loss = prior.copy(), lambda v: (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + ridge / 2 * ((v - prior) ** 2).sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(bend, slope)
+        slope = x.T @ (weight * (p - y)) + ridge * (w - prior)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w - step
     return w
 
 
-def fit(sample: list[tuple], most_tokens: int = 600_000, rounds: int = 40, least_share: float = 0.03, ratio: float = 30.0) -> Model:
+def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int = 600_000, rounds: int = 40, least_share: float = 0.03, ratio: float = 30.0) -> Model:
     """Train on ``(label, text)`` rows, label 1 for toxic. Rows beyond ``most_tokens`` tokens are left out.
 
+    ``toxic_share`` is the share of toxic rows that scores are to reflect, where it differs from the sample's.
+
     With no rows, or of one label only, the model gives every document the score that this label has (0 without rows).
     """
     weights = np.zeros(1 << BITS)
@@ -191,8 +203,11 @@ def fit(sample: list[tuple], most_tokens: int = 600_000, rounds: int = 40, least
     weights[used] = w
     model = Model(weights, other[0] - 3.0, other[1:5].reshape(2, 2), float(other[5]), np.zeros(4))
     p, _ = chain_marginals(weights[features].sum(axis=0) + model.bias, first, model.move, model.start)
+    # The sample has as many rows of either label; weights bring back the share of toxic rows among all.
+    share = np.array([(~toxic).mean(), toxic.mean()])
+    weight = (np.array([1 - toxic_share, toxic_share]) / share)[toxic.astype(int)] if toxic_share else np.ones(len(parts))
     rest = held if held.any() and len(set(toxic[held])) == 2 else np.ones(len(parts), bool)
-    model.curve = _logistic(_summary(p, text, len(parts))[rest], toxic[rest].astype(float))
+    model.curve = _logistic(_summary(p, text, len(parts))[rest], toxic[rest].astype(float), weight[rest], CURVE)
     return model
 
 
@@ -208,15 +223,21 @@ def _telling_words(parts: list[Tokens], toxic: np.ndarray, least_share: float, r
 
 
 def train(
-    rows: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame | None = None,
     label_col: str = "toxic",
     text_col: str = "text",
     id_col: str = "doc_id",
     per_label: int = 1500,
     most_bytes: int = 1 << 14,
 ) -> Model:
-    """Fit on a sample of ``rows``: ``per_label`` rows of each label, of up to ``most_bytes`` bytes each, at most."""
-    return fit(labelled_sample(rows, label_col, text_col, id_col, per_label, 2 * per_label, most_bytes))
+    """Fit on a sample of ``docs``: ``per_label`` rows of each label, of up to ``most_bytes`` bytes each, at most.
+
+    Labels are a column of ``docs``, or of ``labels`` with one row per id.
+    """
+    rows = docs if labels is None else labels
+    share = rows.where(F.col(label_col).isNotNull()).agg(F.avg((F.col(label_col) != 0).cast("double"))).first()[0]
+    return fit(labelled_sample(docs, label_col, text_col, id_col, per_label, 2 * per_label, most_bytes, labels), share)
 
 
 def tag(docs: DataFrame, model: Model, text_col: str = "text", span_at: float = 0.5) -> DataFrame:
@@ -227,6 +248,7 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", span_at: float =
     Columns of ``docs`` that bear the new names are replaced.
     """
     docs = docs.drop("toxic_score", "toxic_spans")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 ** BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
