@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repograin.llm import exact_dedup, mixing, near_dedup, packing, queries, toxicity
 from repograin.llm.columns import guarded
-from repograin.llm.scratch import written
+from repograin.llm.scratch import stored_places, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in windows of 1024 tokens."""
-    return packing.pack_documents(docs.select("doc_id", "text"), queries.tokenizer_file())
+    """The pieces of all documents with their places in windows of 1024 tokens; windows follow the stored mixed order."""
+    placed = stored_places(docs.select("doc_id", "text"), "place")
+    return packing.pack_documents(placed, queries.tokenizer_file(), place_col="place")
 
 
 STAGES = [

@@ -6,6 +6,9 @@
 
 A block holds about ``BLOCK_PIECES`` pieces (fewer on small inputs, so that all cores work), whatever the corpus size.
 Blocks depend on document ids only, so a lost task packs the same pieces the same way again.
+
+Where the documents have an order to keep (``place_col``), blocks are ranges of ``RANGE_PIECES`` pieces of it instead,
+sequences are numbered in block order, and in a block by their earliest piece: no piece moves farther than its range.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import functions as F
 
 from repograin.llm.scratch import written
 from repograin.llm.ship import ship
+from repograin.operators.ordered import block_running_sum
 
 WINDOW = 1024
 END_ID = 0
 BLOCK_PIECES = 1 << 14
+RANGE_PIECES = 1 << 10  # pieces of a block that is a range of a given order
+PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
 LEAST_PIECES = 256  # small inputs: no more blocks than give each this many pieces
 CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers; a full cache starts anew
 
@@ -83,7 +89,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}  # of this worker process, which Spark keeps for later tasks
 
 
-def _pieces(file: str, window: int, end_id: int, with_ids: bool):
+def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,16 +103,17 @@ def _pieces(file: str, window: int, end_id: int, with_ids: bool):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                heads = list(zip(*(part.column(i).to_pylist() for i in (0, 2)[: 1 + placed])))
+                for head, ids in zip(heads, encoder.encode(texts)):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
                         own = ids[4 * start : 4 * (start + window)]
-                        row = (doc, start, len(own) // 4, zlib.crc32(own), total)
+                        row = (head[0], start, len(own) // 4, zlib.crc32(own), total, *head[1:])
                         out.append((*row, np.frombuffer(own, "<u4").astype(np.int32)) if with_ids else row)
                 columns = list(zip(*out))
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+                kinds = [pa.int64()] * (5 + placed) + [pa.list_(pa.int32())] * with_ids
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["place"] * placed + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     return run
@@ -120,15 +127,19 @@ def document_pieces(
     window: int = WINDOW,
     end_id: int = END_ID,
     with_ids: bool = False,
+    place_col: str | None = None,
 ) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) per piece: full windows, then the tail.
+    """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``place``, ``ids``) per piece: full windows, then the tail.
 
     Null text is empty: such a document is its end id alone.
     """
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
+    placed = place_col is not None
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    schema += ", place bigint" * placed + ", ids array<int>" * with_ids
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids), schema)
+    place = [F.col(place_col).cast("bigint")] if placed else []
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *place)
+    return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids, placed), schema)
 
 
 class BestFit:
@@ -206,10 +217,47 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, **options) -> DataFrame:
-    """Pack whole documents. ``with_ids=True`` keeps the token ids with each piece; see ``sequences``."""
-    pieces = written(document_pieces(docs, tokenizer_file, window=window, **options), "pieces")
-    return pack_pieces(pieces, window)
+def pack_placed_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Like ``pack_pieces``, but along ``place``, the row numbers of the documents; ``place`` is left out."""
+    ship(pieces.sparkSession)
+    count = F.ceil(F.col("doc_tokens") / window)
+    counts = pieces.where("start = 0").select("place", count.alias("_n"))
+    before = written(block_running_sum(counts, [], "place", F.col("_n"), "_before", PLACE_BLOCK).drop("_n"), "pieces-before")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(np.lexsort((table.column("_piece").to_numpy(), -table.column("length").to_numpy())))
+        numbers, offsets = best_fit_decreasing(table.column("length").to_pylist(), window)
+        piece = table.column("_piece").to_numpy()
+        first = np.full(max(numbers) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, numbers, piece)
+        rank = np.argsort(np.argsort(first))
+        base = piece // RANGE_PIECES * RANGE_PIECES  # a range has no more sequences than pieces
+        return (
+            table.drop_columns(["_block", "_piece"])
+            .append_column("sequence_id", pa.array(base + rank[numbers]))
+            .append_column("offset", pa.array(offsets, pa.int64()))
+        )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "place")
+    return (
+        pieces.join(before, "place")
+        .withColumn("_piece", F.col("_before") + F.floor(F.col("start") / window))
+        .withColumn("_block", F.floor(F.col("_piece") / RANGE_PIECES))
+        .drop("place", "_before")
+        .groupBy("_block")
+        .applyInArrow(pack, f"{fields}, sequence_id bigint, offset bigint")
+    )
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer_file: str, window: int = WINDOW, place_col: str | None = None, **options
+) -> DataFrame:
+    """Pack whole documents. ``with_ids=True`` keeps the token ids with each piece; see ``sequences``.
+
+    ``place_col`` has the row number of each document, from 0 without gaps, in an order that sequences are to follow.
+    """
+    pieces = written(document_pieces(docs, tokenizer_file, window=window, place_col=place_col, **options), "pieces")
+    return pack_pieces(pieces, window) if place_col is None else pack_placed_pieces(pieces, window)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) -> DataFrame:

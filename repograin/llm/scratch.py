@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograin.session import scratch_path, shared_folder, written
@@ -22,4 +22,19 @@ def bucket_table(keys: DataFrame, *columns: str) -> DataFrame:
     return keys.select(bucket_of(*columns).alias("_bucket")).distinct()
 
 
-__all__ = ["BUCKETS", "bucket_of", "bucket_table", "scratch_path", "shared_folder", "written"]
+def stored_places(docs: DataFrame, out: str) -> DataFrame:
+    """``docs``, a plain read of Parquet files that Spark wrote, with the row number in the order of writing, from 0.
+
+    Files go by the number of the task that wrote them. One row per file is broadcast.
+    """
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+    number = lambda pattern: F.regexp_extract("_file", pattern, 1).try_cast("bigint")
+    in_order = Window.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/-]*$"), "_file")
+    earlier = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = written(rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")), "stored-files")
+    bases = sizes.select("_file", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(bases), "_file").withColumn(out, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
+
+
+__all__ = ["BUCKETS", "bucket_of", "bucket_table", "scratch_path", "shared_folder", "stored_places", "written"]

@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 
 from repograin.llm import mixing, queries
+from repograin.llm.scratch import stored_places
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -80,6 +81,25 @@ def test_mixed_order_is_the_row_order(spark):
     assert [r.doc_id for r in mixing.mixed(docs, targets, rest).collect()] == want
 
 
+def test_sequences_follow_the_mixed_order(spark, pipeline, tmp_path):
+    n = 3000  # weights of src0 and src4 are 1 and 5; src4 runs out after 3,600 rows
+    docs = spark.range(2 * n).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'src0' ELSE 'src4' END AS source", "repeat('word ', cast(id % 400 AS int)) AS text"
+    )
+    pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    places = {r.doc_id: r.place for r in stored_places(mixed, "place").collect()}
+    targets, rest = queries.MIX_TARGETS, queries.MIX_REST
+    want = [r.doc_id for r in sorted(mixing.mix(docs, targets, rest).collect(), key=lambda r: r.mix_position)]
+    assert sorted(places, key=places.get) == want and sorted(places.values()) == list(range(2 * n))
+    packed = sorted(pipeline.pack(spark, mixed, SF).collect(), key=lambda r: r.sequence_id)
+    assert len(packed) == 2 * n
+    share = lambda run: sum(r.doc_id % 2 for r in run) / len(run)
+    runs = [packed[at : at + 1024] for at in range(0, len(packed), 1024)]
+    assert all(abs(share(run) - 5 / 6) < 0.02 for run in runs[:3]) and share(runs[4]) == share(runs[5]) == 0
+    assert [places[r.doc_id] // 1024 for r in packed] == [i // 1024 for i in range(2 * n)]
+
+
 @pytest.fixture(scope="module")
 def check():
     return module("check_oracle", ROOT / "tools" / "check_oracle.py")
