@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repograin.llm.scratch import written
+
+RANGE_BITS = 12  # equal ranges of a 64-bit hash, as a power of two
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def first_ranges(heads: DataFrame, per_label: int) -> DataFrame:
+    """The rows of stored ``heads`` (``label, head``) among which are the ``per_label`` smallest heads of each label.
+
+    Counts of equal ranges of the hash tell where a label has enough. So one task orders a label's range counts, and
+    later ``per_label`` rows and those of one range at most, and not all rows of a label.
+    """
+    part = F.shiftright("head", 64 - RANGE_BITS)  # keeps the sign, and so the order
+    counts = heads.groupBy("label", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("before") < per_label)
+    last = needed.groupBy("label").agg(F.max("part").alias("last"))
+    return heads.join(F.broadcast(last), "label").where(part <= F.col("last")).drop("last")  # one row per label
+
+
 def labelled_sample(
     docs: DataFrame,
     label: str,
@@ -34,9 +51,9 @@ def labelled_sample(
     if labels is not None:
         narrow = narrow.join(labels.select(key, F.col(label).alias("label")), "id")
     firsts = narrow.where("label IS NOT NULL").groupBy("label", "head").agg(F.min("id").alias("id"))
-    # Spark cuts every partition to the limit before this shuffle.
     order = Window.partitionBy("label").orderBy("head")
-    ranked = firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    few = first_ranges(written(firsts, "sample-heads"), per_label)
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
     picked = ranked.orderBy("rank", "label", "head").limit(total).select("label", "rank", F.col("head").alias("_head"), F.col("id").alias("_id"))
     same = [F.col("id").eqNullSafe(F.col("_id")), F.col("head") == F.col("_head")]
     found = docs.select(key, head, F.col(text_col).alias("text")).join(F.broadcast(picked), same)  # ``total`` rows at most

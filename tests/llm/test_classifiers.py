@@ -104,3 +104,17 @@ def test_sample_is_bounded_and_counts_copies_once(spark):
     assert len(got) == 8 and len(set(got)) == 8
     fold = {r[0]: r[1] for r in frame.select("doc_id", sampling.fold("doc_id", 10)).collect()}
     assert all(fold[i] == zlib.crc32(str(i).encode()) % 10 for i in range(400)) and fold[None] == 0
+
+
+def test_sample_ranks_few_rows_above_the_planners_limit(spark):
+    n, most = 30000, 1500  # Spark cuts partitions before a window for limits of up to 1,000 only
+    docs = spark.range(n).selectExpr("id AS doc_id", "cast(id AS string) AS text", "cast(id % 100 = 0 AS int) AS toxic")
+    heads = docs.selectExpr("toxic AS label", "xxhash64(text) AS head", "doc_id AS id", "text").localCheckpoint()
+    first = {x: sorted(r.head for r in heads.where(f"label = {x}").collect())[:most] for x in (0, 1)}
+    kept = sampling.first_ranges(heads, most).collect()
+    for x in (0, 1):
+        own = sorted(r.head for r in kept if r.label == x)
+        assert own[: len(first[x])] == first[x] and len(own) <= most + 4 * n / 2**sampling.RANGE_BITS
+    text = {r.head: r.text for r in heads.collect()}
+    got = sampling.labelled_sample(docs, "toxic", "text", "doc_id", most, 2 * most, 1 << 14)
+    assert {x: [t for label, t in got if label == x] for x in (0, 1)} == {x: [text[h] for h in first[x]] for x in (0, 1)}
