@@ -21,7 +21,7 @@ from repograin.llm.scratch import written
 
 CYCLE = 1000  # slots of a cycle: weights are met to a thousandth
 BLOCK_ROWS = 8
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 10  # of all sources; results depend on it, and so it follows no setting
 
 
 def _let(value: Column, use) -> Column:
@@ -146,9 +146,7 @@ def mix(
     weights = [*targets.values(), rest]
     number = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
     source = F.coalesce(F.try_element_at(number, F.col(source_col).cast("string")), F.lit(len(names)))
-    total = docs.count()
-    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, -(-total // CHUNK_ROWS), min(4 * parallel, total // 512))
+    chunks = max(1, -(-docs.count() // CHUNK_ROWS))
     rows = (
         docs.withColumn("mix_source", source)
         .withColumn("_mix_hash", F.xxhash64(F.col(id_col)))

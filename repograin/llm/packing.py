@@ -4,10 +4,10 @@
 2. Write the pieces, deal them out to blocks by hash and pack each block on its own: tails in decreasing length, each
    into the tightest open window. A segment tree over the remaining capacities finds that window in log(window) steps.
 
-A block holds about ``BLOCK_PIECES`` pieces (fewer on small inputs, so that all cores work), whatever the corpus size.
+A block holds about ``BLOCK_PIECES`` pieces, whatever the corpus size and the number of tasks that Spark makes of them.
 Blocks depend on document ids only, so a lost task packs the same pieces the same way again.
 
-Where the documents have an order to keep (``place_col``), blocks are ranges of ``RANGE_PIECES`` pieces of it instead,
+Where the documents have an order to keep (``place_col``), blocks are ranges of ``BLOCK_PIECES`` pieces of it instead,
 sequences are numbered in block order, and in a block by their earliest piece: no piece moves farther than its range.
 """
 
@@ -27,10 +27,8 @@ from repograin.operators.ordered import block_running_sum
 
 WINDOW = 1024
 END_ID = 0
-BLOCK_PIECES = 1 << 14
-RANGE_PIECES = 1 << 10  # pieces of a block that is a range of a given order
+BLOCK_PIECES = 1 << 10  # results depend on it, and so it follows no setting
 PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
-LEAST_PIECES = 256  # small inputs: no more blocks than give each this many pieces
 CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers; a full cache starts anew
 
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
@@ -192,9 +190,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (gapless from 0 in each sequence) to written pieces."""
     ship(pieces.sparkSession)
-    total = pieces.count()
-    parallel = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-total // BLOCK_PIECES), min(parallel, total // LEAST_PIECES))
+    blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
 
     def pack(table: pa.Table) -> pa.Table:
         length, start = (table.column(c).to_numpy() for c in ("length", "start"))
@@ -231,7 +227,7 @@ def pack_placed_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         first = np.full(max(numbers) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, numbers, piece)
         rank = np.argsort(np.argsort(first))
-        base = piece // RANGE_PIECES * RANGE_PIECES  # a range has no more sequences than pieces
+        base = piece // BLOCK_PIECES * BLOCK_PIECES  # a range has no more sequences than pieces
         return (
             table.drop_columns(["_block", "_piece"])
             .append_column("sequence_id", pa.array(base + rank[numbers]))
@@ -242,7 +238,7 @@ def pack_placed_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         pieces.join(before, "place")
         .withColumn("_piece", F.col("_before") + F.floor(F.col("start") / window))
-        .withColumn("_block", F.floor(F.col("_piece") / RANGE_PIECES))
+        .withColumn("_block", F.floor(F.col("_piece") / BLOCK_PIECES))
         .drop("place", "_before")
         .groupBy("_block")
         .applyInArrow(pack, f"{fields}, sequence_id bigint, offset bigint")

@@ -50,3 +50,15 @@ def test_ties_names_and_empty(spark):
     assert mixing.mix(docs.limit(0), {"a": 1.0}, 1.0).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 0.0}, 1.0)
+
+
+def test_settings_do_not_change_the_mix(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(tuple, mixing.mix(docs, {"a": 1.0}, 1.0).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]

@@ -78,3 +78,15 @@ def test_sequences_are_padded_except_at_powers_of_two(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string"), FILE).count() == 0
+
+
+def test_settings_do_not_change_the_packing(spark):
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 1024 AS length").localCheckpoint()
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(tuple, packing.pack_pieces(pieces).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
