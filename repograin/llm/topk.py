@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from repograin.llm.scratch import written
 from repograin.llm.ship import ship
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 1 << 16
 CANDIDATE_BLOCK = 8192
 BINS = 1 << 12
 EXACT = float(1 << 53)
 LONG = 1 << 63
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
-    """``vec_id, v array<double>``: floor(scale * x) of each component x as double.
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0, **more: Column) -> DataFrame:
+    """``vec_id, v array<double>``: floor(scale * x) of each component x as double; ``more`` names further columns.
 
     Vectors that are null, or hold null or non-finite components, are left out; so are null ids.
     """
@@ -36,7 +36,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 2
     scaled = F.transform(wide, lambda x: F.floor(x * F.lit(scale)).cast("double"))
     # floor() of a double is a long in Spark and saturates at the ends of its range.
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
-        F.col(id_col).cast("bigint").alias("vec_id"), scaled.alias("v")
+        F.col(id_col).cast("bigint").alias("vec_id"), scaled.alias("v"), *[c.alias(name) for name, c in more.items()]
     )
 
 
@@ -119,15 +119,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ship(spark)
     size = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     candidate_blocks, query_blocks = max(1, -(-size[0] // CANDIDATE_BLOCK)), max(1, -(-size[1] // QUERY_BLOCK))
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidate_blocks = max(candidate_blocks, min(spread, size[0] // 512))  # small inputs still use all cores
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    candidates = written(
-        vectors.withColumn("cb", block(candidate_blocks))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .select("qb", "cb", "vec_id", "v"),
-        "topk-candidates",
-    )
+    # Written once; each round deals them to the blocks of queries as it reads them. Row numbers keep repeated ids apart.
+    stored = written(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("_row")), "topk-candidates")
+    own_block = F.pmod(F.xxhash64("_row"), F.lit(candidate_blocks)).cast("int").alias("cb")
+    candidates = stored.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), own_block, "vec_id", "v")
     queries = vectors.where(is_query).dropDuplicates(["vec_id"]).withColumn("qb", block(query_blocks))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     # By Cauchy-Schwarz no score is farther from zero than the product of the largest norms.

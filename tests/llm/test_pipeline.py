@@ -123,4 +123,4 @@ def test_everything_is_registered(pipeline):
     sys.path.insert(0, str(ROOT))
     entry = module("__spark_entry__", ROOT / "__spark_entry__.py")
     names = entry.queries().keys()
-    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)}
