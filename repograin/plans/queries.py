@@ -19,6 +19,7 @@ from repograin.plans.bindings import with_bindings as w
 from repograin.plans.updates import summarise
 from repograin.session import checkpoint, scratch_path
 from repograin.sources import stores
+from repograin.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1175,12 +1176,60 @@ def history_retention_counts(spark, sf):
 def history_purge(spark, sf):
     """A history on disk, one snapshot a day, and what is left of it after each repository keeps its newest five."""
     day = F.date_trunc("day", F.col("snapshot_ts"))
-    rows = B.history_rows(spark, sf).withColumn("snapshot_ts", day).withColumn("snapshot", F.date_format(day, "yyyy-MM-dd_HH-mm-ss"))
     path = scratch_path(spark, "history")
-    rows.repartition("kind", "snapshot").write.partitionBy("kind", "snapshot").parquet(path)
+    stores.import_history(B.history_rows(spark, sf).withColumn("snapshot_ts", day), path)
     counts = stores.delete_old_history(spark, path, 5)
-    left = spark.read.schema("repo_id STRING, kind STRING").parquet(path).groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows_left"))
+    left = stores.load_history(spark, path, "repo_id STRING, kind STRING").groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows_left"))
     return counts.join(left, "repo_id")
 
 
+@register(
+    "history_saved",
+    w("docs page_files lab meta", """, snaps AS (
+        SELECT repo_id, rel_path, hash, TIMESTAMP '2024-01-01 00:00:00' AS snapshot_ts FROM meta WHERE hash < 'c'
+        UNION ALL SELECT repo_id, rel_path, hash, TIMESTAMP '2024-02-01 00:00:00' FROM meta WHERE repo_id < 'src5'),
+      ranked AS (SELECT *, dense_rank() OVER (PARTITION BY repo_id ORDER BY snapshot_ts DESC) AS rn FROM snaps)
+      SELECT repo_id, rel_path, hash, strftime(snapshot_ts, '%Y-%m-%d') AS day FROM ranked WHERE rn = 1"""),
+)
+def history_saved(spark, sf):
+    """Two saved snapshots, the first of them saved twice; each repository keeps its newest one; the store is read back."""
+    path = scratch_path(spark, "history")
+    meta = B.stored_metadata(spark, sf)
+    stores.save_content_history(meta, path, "2024-01-01")
+    stores.save_content_history(meta.filter("hash < 'c'"), path, "2024-01-01")
+    stores.save_content_history(meta.filter("repo_id < 'src5'"), path, "2024-02-01")
+    stores.delete_old_history(spark, path, 1)
+    kept = stores.load_content_history(spark, path)
+    return kept.select("repo_id", "rel_path", "hash", F.date_format("snapshot_ts", "yyyy-MM-dd").alias("day"))
+
+
+@register(
+    "stream_state",
+    w("", """landed AS (SELECT 'u' || user_id AS repo_id, event_type || '.json' AS rel_path, ts, md5(props) AS hash, event_id % 2 AS part FROM events),
+      newest AS (SELECT * FROM landed QUALIFY row_number() OVER (
+        PARTITION BY repo_id, rel_path, part ORDER BY ts DESC NULLS LAST, hash DESC NULLS LAST) = 1),
+      a AS (SELECT * FROM newest WHERE part = 0), b AS (SELECT * FROM newest WHERE part = 1)
+      SELECT repo_id, rel_path, CASE WHEN later THEN h1 ELSE h0 END AS hash,
+        strftime(CASE WHEN later THEN t1 ELSE t0 END, '%Y-%m-%d %H:%M:%S') AS last_updated
+      FROM (SELECT repo_id, rel_path, a.hash AS h0, b.hash AS h1, a.ts AS t0, b.ts AS t1, a.part IS NULL
+          OR (b.part IS NOT NULL AND coalesce(b.ts >= a.ts, true) AND b.hash IS DISTINCT FROM a.hash) AS later
+        FROM a FULL JOIN b USING (repo_id, rel_path))"""),
+)
+def stream_state(spark, sf):
+    """Events as files that land twice: user = repository, event type = path, properties = content. The state after both runs."""
+    home = scratch_path(spark, "stream")
+    landed = B.table(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repo_id"),
+        F.concat("event_type", F.lit(".json")).alias("rel_path"),
+        F.col("ts").cast("timestamp").alias("mtime"),
+        F.col("props").cast("binary").alias("content"),
+        (F.col("event_id") % 2).alias("part"),
+    )
+    for part in (0, 1):
+        landed.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{home}/landing")
+        incremental.start(spark, f"{home}/landing", f"{home}/store", f"{home}/state").awaitTermination()
+    state = stores.load_metadata(spark, f"{home}/store/content")
+    return state.select("repo_id", "rel_path", "hash", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,8 +1,9 @@
-"""Versioned tables and text artefacts.
+"""Versioned tables, metadata in buckets, snapshots and text artefacts.
 
 A table is a folder of complete versions. A writer prepares a version under a name of its own, claims the next free
 number by renaming it and never touches an earlier one, so a lost executor, a retry, a second writer or a concurrent
-reader can not see half a state; readers take the newest version.
+reader can not see half a state; readers take the newest version. The content metadata (``buckets``) and the history are
+folders with a commit log (``commits``): an update writes only what it changes and becomes visible by one rename.
 """
 
 from __future__ import annotations
@@ -21,72 +22,48 @@ from repograin.operators.ordered import sorted_row_number
 from repograin.operators.reports import compact_text, parse_compact
 from repograin.operators.requests import chunk_requests, parse_errors, parse_results, request_lines
 from repograin.schemas import BATCH_JOBS, CONTENT_HISTORY, CONTENT_META, IGNORE_PATTERNS, SYMBOL_HISTORY, SYMBOLS
-from repograin.session import checkpoint, scratch_path, written
+from repograin.session import checkpoint, written
+from repograin.sources import buckets, commits
+from repograin.sources.commits import claim, exists, file_system, numbers
 
 PATTERN_FILE_HEAD = ["# Files and folders to leave out of the analysis", ""]
 
 
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop = _fs(spark, path)
-    return fs.exists(hadoop)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions (a listing of one folder; a version has its number only once it is complete)."""
-    fs, hadoop = _fs(spark, path)
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
-
-
 def save_table(df: DataFrame, path: str) -> int:
     """Write the whole next version and return its number."""
     spark = df.sparkSession
-    name = f"_new-{uuid.uuid4().hex}"
-    fs, mine = _fs(spark, f"{path}/{name}")
-    df.write.parquet(f"{path}/{name}")
-    number = (_versions(spark, path) or [0])[-1]
-    while True:
+    mine = f"{path}/_new-{uuid.uuid4().hex}"
+    df.write.parquet(mine)
+    number = (numbers(spark, path) or [0])[-1] + 1
+    while not claim(spark, mine, f"{path}/v{number}"):
         number += 1
-        _, claimed = _fs(spark, f"{path}/v{number}")
-        if fs.exists(claimed) or not fs.rename(mine, claimed):
-            continue
-        # A writer that takes the number between the two calls turns the rename into a move below its folder.
-        _, below = _fs(spark, f"{path}/v{number}/{name}")
-        if not fs.exists(below):
-            return number
-        fs.rename(below, mine)
+    return number
 
 
 def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Remove all but the newest versions of a table; returns how many went. Readers of those must have ended."""
-    old = _versions(spark, path)[:-keep] if keep > 0 else []
+    old = numbers(spark, path)[:-keep] if keep > 0 else []
     for number in old:
-        fs, hadoop = _fs(spark, f"{path}/v{number}")
+        fs, hadoop = file_system(spark, f"{path}/v{number}")
         fs.delete(hadoop, True)
     return len(old)
 
 
 def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Newest finished version; an empty table when there is none."""
-    found = _versions(spark, path)
+    found = numbers(spark, path)
     if not found:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/v{found[-1]}")
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return load_table(spark, path, CONTENT_META)
+    return buckets.load(spark, path, CONTENT_META)
 
 
-def save_metadata(meta: DataFrame, path: str) -> int:
-    return save_table(meta.sortWithinPartitions("repo_id", "rel_path"), path)
+def save_metadata(meta: DataFrame, path: str, n_buckets: int | None = None) -> int:
+    """The whole state, in buckets that the continuous form rewrites one by one; returns the number of the state."""
+    return buckets.save(meta, path, n_buckets)
 
 
 def load_symbols(spark: SparkSession, path: str) -> DataFrame:
@@ -109,35 +86,57 @@ def _label(spark: SparkSession, as_of: str) -> str:
 
 
 def _append_history(rows: DataFrame, path: str, as_of: str, kind: str) -> None:
-    """Snapshots are partitioned by kind and time; writing the same snapshot again replaces it."""
-    ts = F.lit(as_of).cast("timestamp")
+    """Write a snapshot, then name it in the commit log; saving the same snapshot again replaces it, an empty one counts too."""
     spark = rows.sparkSession
-    label = _label(spark, as_of)
-    # The folder stands for the snapshot: an empty one is recorded, too, and leaves nothing of an earlier one behind.
-    fs, folder = _fs(spark, f"{path}/kind={kind}/snapshot={label}")
-    staged = scratch_path(spark, "snapshot")
-    rows.withColumn("snapshot_ts", ts).withColumn("kind", F.lit(kind)).withColumn("snapshot", F.lit(label)).write.partitionBy(
-        "kind", "snapshot"
-    ).parquet(staged)
-    ready = spark.read.schema(f"{rows.schema.toDDL()}, snapshot_ts TIMESTAMP, kind STRING, snapshot STRING").parquet(staged)
-    if fs.exists(folder):
-        fs.delete(folder, True)
-    ready.write.mode("append").partitionBy("kind", "snapshot").parquet(path)
-    fs.mkdirs(folder)
-
-
-def _load_history(spark: SparkSession, path: str, schema: str, as_of: str | None) -> DataFrame:
-    if not _exists(spark, path):
-        if as_of is not None:
-            raise FileNotFoundError(f"no snapshot {as_of} in {path}")
+    stamped = rows.withColumn("kind", F.lit(kind)).withColumn("snapshot_ts", F.lit(as_of).cast("timestamp"))
+    entry = {"kind": kind, "label": _label(spark, as_of), "data": commits.write_data(stamped, path)}
+
+    def put(content: dict) -> dict:
+        others = [e for e in content.get("snapshots", []) if (e["kind"], e["label"]) != (kind, entry["label"])]
+        return {**content, "snapshots": [*others, entry]}
+
+    commits.update(spark, path, put)
+
+
+def import_history(rows: DataFrame, path: str) -> None:
+    """Load many snapshots at once, in one commit: ``rows`` have ``kind`` and ``snapshot_ts`` (to the second)."""
+    spark = rows.sparkSession
+    folders = {"_kind": F.col("kind"), "_label": snapshot_label("snapshot_ts")}
+    data = commits.write_data(rows.withColumns(folders).repartition("_kind", "_label"), path, "_kind", "_label")
+    new = []
+    for kind in commits.children(spark, f"{path}/data/{data}"):
+        for label in commits.children(spark, f"{path}/data/{data}/{kind}") if kind.startswith("_kind=") else ():
+            names = [x.partition("=")[2] for x in (kind, label)]
+            new.append({"kind": names[0], "label": names[1], "data": f"{data}/{kind}/{label}"})
+    replaced = {(e["kind"], e["label"]) for e in new}
+
+    def put(content: dict) -> dict:
+        others = [e for e in content.get("snapshots", []) if (e["kind"], e["label"]) not in replaced]
+        return {**content, "snapshots": [*others, *new]}
+
+    commits.update(spark, path, put)
+
+
+def _snapshots(spark: SparkSession, path: str, *kinds: str) -> list[dict]:
+    """Entries of the newest state: one per snapshot."""
+    return [e for e in commits.read(spark, path).content.get("snapshots", []) if not kinds or e["kind"] in kinds]
+
+
+def _rows_of(spark: SparkSession, path: str, schema: str, entries: list[dict]) -> DataFrame:
+    if not entries:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema + ", snapshot STRING").parquet(path)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{e['data']}" for e in entries])
+
+
+def load_history(spark: SparkSession, path: str, schema: str, as_of: str | None = None) -> DataFrame:
+    """All snapshots and backups, or the one snapshot of ``as_of``, whose files alone are read."""
     if as_of is None:
-        return rows.drop("snapshot")
+        return _rows_of(spark, path, schema, _snapshots(spark, path))
     label = _label(spark, as_of)
-    if not _exists(spark, f"{path}/kind=snapshot/snapshot={label}"):
+    found = [e for e in _snapshots(spark, path, "snapshot") if e["label"] == label]
+    if not found:
         raise FileNotFoundError(f"no snapshot {as_of} in {path}")
-    return rows.filter((F.col("kind") == "snapshot") & (F.col("snapshot") == label)).drop("snapshot")
+    return _rows_of(spark, path, schema, found)
 
 
 def save_symbol_history(symbols: DataFrame, path: str, as_of: str) -> None:
@@ -149,23 +148,23 @@ def save_content_history(meta: DataFrame, path: str, as_of: str) -> None:
 
 
 def load_symbol_history(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
-    return _load_history(spark, path, SYMBOL_HISTORY, as_of)
+    return load_history(spark, path, SYMBOL_HISTORY, as_of)
 
 
 def load_content_history(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
-    return _load_history(spark, path, CONTENT_HISTORY, as_of)
+    return load_history(spark, path, CONTENT_HISTORY, as_of)
 
 
 def backup_symbols(spark: SparkSession, table: str, history: str, as_of: str) -> bool:
     """Copy the current state into the history as a backup; False when there is nothing to copy."""
-    if not _versions(spark, table):
+    if not numbers(spark, table):
         return False
     _append_history(load_symbols(spark, table), history, as_of, "backup")
     return True
 
 
 def backup_content(spark: SparkSession, table: str, history: str, as_of: str) -> bool:
-    if not _versions(spark, table):
+    if not commits.read(spark, table).number:
         return False
     _append_history(load_metadata(spark, table), history, as_of, "backup")
     return True
@@ -174,25 +173,46 @@ def backup_content(spark: SparkSession, table: str, history: str, as_of: str) ->
 def delete_old_history(spark: SparkSession, path: str, keep: int) -> DataFrame:
     """Remove each repository's rows from all but its newest ``keep`` snapshots; returns ``repo_id, n_kept, n_deleted``.
 
-    Only snapshots that lose rows are rewritten, from a copy that is complete before they are touched.
+    Only snapshots that lose rows are rewritten, as new data. One commit exchanges all of them, so a run that is lost
+    before it leaves the whole history; a snapshot that was saved again meanwhile stays as it was saved. The data that went out of
+    use is removed by ``vacuum_history``.
     """
-    if not _exists(spark, f"{path}/kind=snapshot"):
-        return spark.createDataFrame([], "repo_id STRING, n_kept BIGINT, n_deleted BIGINT")
-    keys = spark.read.schema("repo_id STRING, snapshot_ts TIMESTAMP, kind STRING, snapshot STRING").parquet(path)
+    entries = {e["label"]: e for e in _snapshots(spark, path, "snapshot")}
+    keys = _rows_of(spark, path, "repo_id STRING, snapshot_ts TIMESTAMP, kind STRING", list(entries.values()))
     marked = written(retention(keys, keep), "retention")
     gone = marked.filter(~F.col("keep")).select("repo_id", "snapshot_ts")
-    labels = [r[0] for r in gone.select(snapshot_label("snapshot_ts")).distinct().collect()]  # one per snapshot folder
+    labels = [r[0] for r in gone.select(snapshot_label("snapshot_ts")).distinct().collect()]  # at most one per entry
     if labels:
-        rows = spark.read.parquet(path).filter((F.col("kind") == "snapshot") & F.col("snapshot").isin(labels))
+        rows = spark.read.parquet(*[f"{path}/data/{entries[label]['data']}" for label in labels])
         same = [rows["repo_id"].eqNullSafe(gone["repo_id"]), rows["snapshot_ts"] == gone["snapshot_ts"]]
-        left = written(rows.join(gone, same, "left_anti"), "history")
-        for label in labels:
-            fs, folder = _fs(spark, f"{path}/kind=snapshot/snapshot={label}")
-            fs.delete(folder, True)
-        left.write.mode("append").partitionBy("kind", "snapshot").parquet(path)
+        left = rows.join(gone, same, "left_anti").withColumn("snapshot", snapshot_label("snapshot_ts"))
+        data = commits.write_data(left, path, "snapshot")
+        found = {n.partition("=")[2] for n in commits.children(spark, f"{path}/data/{data}")}
+
+        def exchange(content: dict) -> dict:
+            out = []
+            for e in content.get("snapshots", []):
+                if e["label"] not in labels or e != entries[e["label"]]:
+                    out.append(e)
+                elif e["label"] in found:
+                    out.append({**e, "data": f"{data}/snapshot={e['label']}"})
+            return {**content, "snapshots": out}
+
+        commits.update(spark, path, exchange)
     return retention_counts(marked)
 
 
+def vacuum_history(spark: SparkSession, path: str, keep: int = 2, older_than_s: float = 86400) -> int:
+    """Remove data of snapshots that were replaced or purged; see ``commits.vacuum``."""
+    used = lambda content: {e["data"].partition("/")[0] for e in content.get("snapshots", [])}
+    return commits.vacuum(spark, path, used, keep, older_than_s)
+
+
+def vacuum_metadata(spark: SparkSession, path: str, keep: int = 2, older_than_s: float = 86400) -> int:
+    """Remove buckets that were rewritten; see ``commits.vacuum``."""
+    return commits.vacuum(spark, path, buckets.used, keep, older_than_s)
+
+
 def read_text_lines(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Lines of text files with a global, gap-free ``line_no`` in file order; ``keys`` are partition folders."""
     reader = spark.read
@@ -211,7 +231,7 @@ def read_text_lines(spark: SparkSession, path: str, keys: tuple[str, ...] = ())
 
 def read_patterns(spark: SparkSession, path: str, repo_id: str, source: str = "file") -> DataFrame:
     """Patterns of one ignore file; an absent file gives none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], IGNORE_PATTERNS)
     parsed = parse_pattern_lines(spark.read.text(path))
     return parsed.select(F.lit(repo_id).alias("repo_id"), "pattern", "is_dir", F.lit(source).alias("source"))
@@ -282,7 +302,7 @@ def append_jobs(jobs: DataFrame, path: str) -> None:
 
 
 def load_jobs(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], BATCH_JOBS)
     return spark.read.schema(BATCH_JOBS).parquet(path)
 
@@ -293,9 +313,10 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "drop_old_versions", "load_content_history", "load_jobs",
+    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "drop_old_versions", "import_history", "load_content_history",
+    "load_history", "load_jobs",
     "load_metadata", "load_symbol_history", "load_symbols", "load_table", "read_compact", "read_errors",
     "read_patterns", "read_results", "read_text_lines", "save_content_history", "save_metadata",
-    "save_symbol_history", "save_symbols", "save_table", "sort_patterns", "write_compact", "write_lines",
-    "write_patterns", "write_requests", "write_trees",
+    "save_symbol_history", "save_symbols", "save_table", "sort_patterns", "vacuum_history", "vacuum_metadata", "write_compact",
+    "write_lines", "write_patterns", "write_requests", "write_trees",
 ]

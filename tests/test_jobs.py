@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repograin.operators import requests as R
 from repograin.operators.catalog import build_catalog
 from repograin.plans import updates as U
-from repograin.sources import stores, tree
+from repograin.sources import buckets, commits, stores, tree
 from repograin.streaming import incremental
 
 
@@ -221,3 +221,126 @@ def test_streaming_form_matches_and_is_idempotent(spark, tmp_path):
     assert state_of(spark, store) == want
     incremental.apply_batch(schema_rows([("r", "b.py", "bbb", "2026-01-01")]), store, talk)
     assert state_of(spark, store) == want
+
+
+BATCH = "repo_id string, rel_path string, t string, content binary"
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, BATCH).withColumn("mtime", F.col("t").cast("timestamp")).drop("t")
+
+
+def data_folders(spark, path):
+    return commits.read(spark, path).content["folders"]
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    path = f"{store}/content"
+    rows = [(f"r{i}", f"f{j}.py", "2024-01-01", f"{i} {j}".encode()) for i in range(12) for j in range(12)]
+    first = incremental.apply_batch(batch_of(spark, rows), store, None)
+    before = data_folders(spark, path)
+    assert len(before) == len(first) > 20
+    changed = [("r3", "f1.py", "2024-02-01", b"new"), ("r3", "f2.py", "2024-02-01", b"3 2")]  # the second one is as it was
+    assert len(incremental.apply_batch(batch_of(spark, changed), store, None)) == 1
+    after = data_folders(spark, path)
+    assert sum(after[b] != before[b] for b in before) == 1 and after.keys() == before.keys()
+    assert incremental.apply_batch(batch_of(spark, changed), store, None) == []  # nothing is written twice
+    assert commits.read(spark, path).number == 2
+    state = {(r.repo_id, r.rel_path): r for r in stores.load_metadata(spark, path).collect()}
+    assert len(state) == 144 and state["r3", "f1.py"].hash == hashlib.md5(b"new").hexdigest()
+    assert (state["r3", "f1.py"].last_updated.month, state["r3", "f2.py"].last_updated.month) == (2, 1)
+    assert len(list((tmp_path / "store" / "content" / "data").iterdir())) == 2
+    assert stores.vacuum_metadata(spark, path, keep=1, older_than_s=0) == 0  # all but one bucket still live in the first data
+    stores.save_metadata(stores.load_metadata(spark, path), path, 4)
+    assert stores.vacuum_metadata(spark, path, keep=1, older_than_s=0) == 2 and len(data_folders(spark, path)) == 4
+    assert stores.load_metadata(spark, path).count() == 144
+
+
+def test_stream_replays_a_batch_that_was_lost_before_its_commit(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    incremental.apply_batch(batch_of(spark, [("r", "a.py", "2024-01-01", b"one")]), store, talk, "s", 0)
+    before = state_of(spark, store)
+    rows = [("r", "a.py", "2024-02-01", b"three"), ("r", "b.py", "2024-02-01", b"x"), ("r", "b.py", "2024-02-01", b"x")]
+    with monkeypatch.context() as m:
+
+        def lost(*_):
+            raise OSError("the driver is gone")
+
+        m.setattr(commits, "claim", lost)
+        with pytest.raises(OSError):
+            incremental.apply_batch(batch_of(spark, rows), store, talk, "s", 1)
+    assert state_of(spark, store) == before and commits.read(spark, f"{store}/content").number == 1
+    assert incremental.apply_batch(batch_of(spark, rows), store, talk, "s", 1)
+    want = {("r", "a.py"): ("a.py [Python] 5", 2024), ("r", "b.py"): ("b.py [Python] 1", 2024)}
+    assert state_of(spark, store) == want
+    # A replay after the commit is left out, whatever it holds; another stream is not.
+    late = batch_of(spark, [("r", "a.py", "2025-01-01", b"late")])
+    assert incremental.apply_batch(late, store, talk, "s", 1) == [] and state_of(spark, store) == want
+    assert len(incremental.apply_batch(late, store, talk, "other", 1)) == 1
+
+
+def test_stream_meets_another_writer(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    path = f"{store}/content"
+    incremental.apply_batch(batch_of(spark, [("r", "a.py", "2024-01-01", b"one")]), store, None)
+    real, once = buckets.rewrite, []
+
+    def rewrite(*args, **marks):
+        if not once:
+            once.append(1)
+            incremental.apply_batch(batch_of(spark, [("r", "a.py", "2024-03-01", b"newest"), ("q", "z", None, None)]), store, None)
+        return real(*args, **marks)
+
+    monkeypatch.setattr(buckets, "rewrite", rewrite)
+    incremental.apply_batch(batch_of(spark, [("r", "a.py", "2024-02-01", b"older"), ("r", "b.py", "2024-02-01", b"b")]), store, None)
+    got = {(r.repo_id, r.rel_path): r.hash for r in stores.load_metadata(spark, path).collect()}
+    md5 = lambda t: hashlib.md5(t).hexdigest()
+    assert got == {("r", "a.py"): md5(b"newest"), ("r", "b.py"): md5(b"b"), ("q", "z"): None}
+    with pytest.raises(commits.Conflict):
+        commits.commit(spark, path, {}, 1)
+
+
+def test_history_survives_a_driver_that_is_lost_between_write_and_commit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "h")
+    meta = lambda rows: spark.createDataFrame([(r, p, "h", None, "s") for r, p in rows], "repo_id string, rel_path string, hash string, last_updated timestamp, summary string")
+    for year in (2021, 2022, 2023):
+        stores.save_content_history(meta([("busy", "a"), ("busy", "b")] + [("old", "a")] * (year == 2021)), path, f"{year}-01-01")
+    read = lambda: sorted((r.repo_id, r.rel_path, r.snapshot_ts.year) for r in stores.load_content_history(spark, path).collect())
+    before = read()
+    with monkeypatch.context() as m:
+
+        def lost(*_):
+            raise OSError("the driver is gone")
+
+        m.setattr(commits, "claim", lost)
+        with pytest.raises(OSError):
+            stores.delete_old_history(spark, path, 1)
+        with pytest.raises(OSError):
+            stores.save_content_history(meta([]), path, "2021-01-01")
+    assert read() == before
+    # A snapshot that is saved again while the purge runs stays as it was saved.
+    real = commits.update
+
+    def meanwhile(spark, path, change):
+        monkeypatch.setattr(commits, "update", real)
+        stores.save_content_history(meta([("busy", "again")]), path, "2022-01-01")
+        return real(spark, path, change)
+
+    monkeypatch.setattr(commits, "update", meanwhile)
+    counts = {r.repo_id: (r.n_kept, r.n_deleted) for r in stores.delete_old_history(spark, path, 1).collect()}
+    assert counts == {"busy": (1, 2), "old": (1, 0)}
+    want = [("busy", "a", 2023), ("busy", "again", 2022), ("busy", "b", 2023), ("old", "a", 2021)]
+    assert read() == want
+    # Data without a state goes on request, and nothing else.
+    assert stores.vacuum_history(spark, path, keep=1) == 0
+    assert stores.vacuum_history(spark, path, keep=1, older_than_s=0) > 0 and read() == want
+
+
+def test_history_import_is_one_commit(spark, tmp_path):
+    path = str(tmp_path / "h")
+    rows = spark.createDataFrame([("r", "2024-01-01", "snapshot"), ("q", "2024-01-02", "snapshot"), ("r", "2024-01-02", "backup")], "repo_id string, t string, kind string")
+    stores.import_history(rows.withColumn("snapshot_ts", F.col("t").cast("timestamp")).drop("t"), path)
+    assert commits.read(spark, path).number == 1
+    assert stores.load_content_history(spark, path, "2024-01-02").first().repo_id == "q"
+    assert stores.load_content_history(spark, path).count() == 3
