@@ -23,9 +23,11 @@ from repograin.functions.constants import (
 )
 from repograin.functions.globs import component_closure, prefix_closure
 from repograin.operators.ordered import salted_join
+from repograin.session import written
 
-PATTERNS_PER_REGEX = 256
-SALTS = 32
+PATTERNS_PER_PART = 512
+BROADCAST_BYTES = 8 << 20  # of a pattern table that is sent to every task; its size is measured first
+SALTS = 16
 
 
 def _matches(path: Column, *regexes: str | None) -> Column:
@@ -137,73 +139,84 @@ def with_default_fallback(patterns: DataFrame, repos: DataFrame) -> DataFrame:
     return patterns.select("repo_id", "pattern", "is_dir", "source").unionByName(default_patterns(bare))
 
 
-def _tables(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-repository patterns split into exact names and chunks of wildcard patterns.
+@F.pandas_udf(StringType())
+def _closure_regex(globs: pd.Series) -> pd.Series:
+    """Globs to one regular expression with both closures; runs on the (small) pattern table only."""
+
+    def one(own: list[str]) -> str | None:
+        both = [prefix_closure(sorted(own)), component_closure(sorted(own))]
+        return "|".join(r for r in both if r is not None) if len(own) else None
+
+    return globs.map(one)
+
+
+def pattern_parts(patterns: DataFrame) -> DataFrame:
+    """``(repo_id, part, names, rx, bytes)``: each repository's patterns as exact names and one expression for its globs.
 
-    A chunk holds at most ``PATTERNS_PER_REGEX`` patterns, spread by hash, so no group grows with the table.
+    A repository has one part for about every ``PATTERNS_PER_PART`` patterns, dealt by hash, so no group grows with the table.
+    The table is written: its size decides how it meets the files.
     """
-    bare = (
-        patterns.select("repo_id", F.rtrim(F.col("pattern"), F.lit("/")).alias("bare"))
-        .filter(F.col("bare") != "")
-        .distinct()
-    )
+    bare = patterns.select("repo_id", F.rtrim(F.col("pattern"), F.lit("/")).alias("bare")).filter("bare <> ''")
+    sized = bare.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sized.filter(F.col("_n") > PATTERNS_PER_PART), "large-pattern-sets")
+    part = F.coalesce(F.pmod(F.xxhash64("bare"), F.ceil(F.col("_n") / PATTERNS_PER_PART)), F.lit(0))
     wild = F.col("bare").rlike(r"[*?\[]")
-    return bare.filter(~wild), bare.filter(wild)
-
+    grouped = (
+        bare.join(large, "repo_id", "left")
+        .select("repo_id", part.alias("part"), F.when(~wild, F.col("bare")).alias("name"), F.when(wild, F.col("bare")).alias("glob"))
+        .groupBy("repo_id", "part")
+        .agg(F.collect_set("name").alias("names"), _closure_regex(F.collect_set("glob")).alias("rx"))
+    )
+    size = F.octet_length(F.array_join("names", "/")) + F.coalesce(F.octet_length("rx"), F.lit(0))
+    return written(grouped.withColumn("bytes", size.cast("bigint")), "pattern-parts")
 
-@F.pandas_udf(StringType())
-def _closure_regex(bare: pd.Series) -> pd.Series:
-    """Glob to one regular expression with both closures; runs on the (small) pattern table only."""
 
-    def one(glob: str) -> str:
-        both = [prefix_closure([glob]), component_closure([glob])]
-        return "|".join(r for r in both if r is not None)
+def _hit(own: Column, names: Column, rx: Column, path: Column) -> Column:
+    # Unlike rlike, regexp_instr keeps the last expression it compiled, so neighbours of one repository share it.
+    return F.arrays_overlap(names, own) | F.coalesce(F.regexp_instr(path, rx) > 0, F.lit(False))
 
-    return bare.map(one)
 
+def _own_names(path: str) -> Column:
+    """All an exact name can hide a path by: its leading sub-paths and its components."""
+    return F.array_distinct(F.concat(paths.ancestors(path, include_self=True), paths.components(path)))
 
-def ignored_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Keys ``(repo_id, rel_path)`` that the patterns of their own repository hide (monitor mode).
 
-    Exact names go through a hash join on the leading sub-paths and components of each path. Wildcards are
-    matched in chunks, one alternation per chunk. Neither side pairs every file with every pattern.
-    """
-    exact, wild = _tables(patterns)
-    keys = files.select("repo_id", "rel_path")
-    candidates = keys.select(
-        "repo_id",
-        "rel_path",
-        F.explode(
-            F.array_distinct(
-                F.concat(paths.ancestors("rel_path", include_self=True), paths.components("rel_path"))
-            )
-        ).alias("bare"),
-    )
-    # A folder name can belong to a large share of all files, so the probe side is salted.
-    by_name = salted_join(candidates, exact, ["repo_id", "bare"], F.col("rel_path"), how="left_semi", salts=SALTS)
-    chunks = glob_chunks(wild)
-    # The chunk table is config-sized; one copy per shuffle task spreads even a dominant repository evenly.
-    salts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paired = salted_join(keys, chunks, ["repo_id"], F.col("rel_path"), how="inner", salts=salts)
-    by_glob = paired.filter(F.expr("rel_path rlike rx")).select("repo_id", "rel_path")
-    return by_name.select("repo_id", "rel_path").unionByName(by_glob).distinct()
-
-
-def glob_chunks(wild: DataFrame) -> DataFrame:
-    """``(repo_id, chunk, rx)``: alternations of at most about ``PATTERNS_PER_REGEX`` wildcard patterns each."""
-    sized = wild.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"))
-    chunk = F.pmod(F.xxhash64("bare"), F.greatest(F.lit(1), F.ceil(F.col("_n") / PATTERNS_PER_REGEX)))
+def _in_memory(files: DataFrame, parts: DataFrame) -> DataFrame | None:
+    """``files`` with ``_ignored``, decided next to a broadcast pattern table; None when that is too large."""
+    if (parts.agg(F.sum("bytes")).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    whole = parts.groupBy("repo_id").agg(F.collect_list(F.struct("names", "rx")).alias("_parts"))
+    tested = F.exists("_parts", lambda p: _hit(F.col("_own"), p["names"], p["rx"], F.col("rel_path")))
     return (
-        salted_join(wild, sized, ["repo_id"], F.col("bare"), how="inner")
-        .select("repo_id", chunk.alias("chunk"), _closure_regex("bare").alias("_rx"))
-        .groupBy("repo_id", "chunk")
-        .agg(F.array_join(F.array_sort(F.collect_set("_rx")), "|").alias("rx"))
+        files.join(F.broadcast(whole), "repo_id", "left")
+        .withColumn("_own", _own_names("rel_path"))
+        .withColumn("_ignored", F.coalesce(tested, F.lit(False)))
+        .drop("_own", "_parts")
     )
 
 
+def _apart(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """Ignored keys by a join of narrow rows, for pattern tables of any size; a repository may hold most of all files."""
+    keys = files.select("repo_id", "rel_path", _own_names("rel_path").alias("_own"))
+    paired = salted_join(keys, parts, ["repo_id"], F.col("rel_path"), how="inner", salts=SALTS)
+    hit = _hit(F.col("_own"), F.col("names"), F.col("rx"), F.col("rel_path"))
+    return paired.filter(hit).select("repo_id", "rel_path").distinct()
+
+
+def ignored_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Keys ``(repo_id, rel_path)`` that the patterns of their own repository hide (monitor mode)."""
+    parts = pattern_parts(patterns)
+    flagged = _in_memory(files.select("repo_id", "rel_path"), parts)
+    return _apart(files, parts) if flagged is None else flagged.filter("_ignored").select("repo_id", "rel_path").distinct()
+
+
 def kept_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Files that no pattern of their own repository hides."""
-    return files.join(ignored_by_table(files, patterns), ["repo_id", "rel_path"], "left_anti")
+    """Files that no pattern of their own repository hides. With a small pattern table no file moves."""
+    parts = pattern_parts(patterns)
+    flagged = _in_memory(files, parts)
+    if flagged is None:
+        return files.join(_apart(files, parts), ["repo_id", "rel_path"], "left_anti")
+    return flagged.filter(~F.col("_ignored")).select(files.columns)
 
 
 def ignore_audit(files: DataFrame, patterns: Sequence[str]) -> DataFrame:

@@ -123,7 +123,11 @@ def test_name_set_mode(spark):
     assert kept(df, I.is_ignored_by_name()) == {"src/a.py", "env", "q.sublime-project", "build"}
 
 
-def test_table_mode_equals_monitor_mode_per_repo(spark):
+@pytest.mark.parametrize("apart", [False, True])
+def test_table_mode_equals_monitor_mode_per_repo(spark, monkeypatch, apart):
+    if apart:  # patterns in many parts, too large to be sent to every task
+        monkeypatch.setattr(I, "PATTERNS_PER_PART", 2)
+        monkeypatch.setattr(I, "BROADCAST_BYTES", 0)
     rng = random.Random(4)
     rows, patterns, want = [], [], set()
     for repo in ["r1", "r2", "r3", "none"]:
@@ -136,6 +140,9 @@ def test_table_mode_equals_monitor_mode_per_repo(spark):
     files = spark.createDataFrame(rows, "repo_id string, rel_path string")
     table = spark.createDataFrame(patterns, "repo_id string, pattern string, is_dir boolean, source string")
     assert {(r.repo_id, r.rel_path) for r in I.kept_by_table(files, table).collect()} == want
+    ignored = I.ignored_by_table(files, table.unionByName(table)).collect()
+    assert {(r.repo_id, r.rel_path) for r in ignored} == set(rows) - want and len(ignored) == len(set(rows) - want)
+    assert I.ignored_by_table(files, table.limit(0)).count() == 0
 
 
 def test_pruned_dirs(paths):
