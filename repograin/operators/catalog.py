@@ -18,22 +18,28 @@ def content_hash(content: Column | str) -> Column:
 
 
 def build_catalog(landed: DataFrame, with_hash: bool = True) -> DataFrame:
-    """Catalog rows from landed ``(repo_id, rel_path, content[, mtime])``.
+    """Catalog rows from landed ``(repo_id, rel_path[, content, length, mtime, hash])``.
 
-    Without the hash the content column is never read from a columnar source.
+    A length or hash that comes with the rows is taken as it is; else it is that of the content. What is not used is
+    never read from a columnar source. Without a content column the catalog has none either.
     """
-    mtime = F.col("mtime") if "mtime" in landed.columns else F.lit(None).cast("timestamp")
-    out = landed.select(
+    has = set(landed.columns)
+    content = F.col("content") if "content" in has else F.lit(None).cast("binary")
+    length = F.col("length") if "length" in has else F.octet_length(content)
+    if "hash" in has:
+        hashed = F.col("hash")
+    else:
+        hashed = content_hash(content) if with_hash else F.lit(None).cast("string")
+    return landed.select(
         "repo_id",
         "rel_path",
         paths.base_name("rel_path").alias("name"),
         paths.suffix("rel_path").alias("ext"),
-        F.octet_length("content").cast("bigint").alias("length"),
-        mtime.alias("mtime"),
-        (content_hash("content") if with_hash else F.lit(None).cast("string")).alias("hash"),
-        "content",
+        length.cast("bigint").alias("length"),
+        (F.col("mtime") if "mtime" in has else F.lit(None).cast("timestamp")).alias("mtime"),
+        hashed.alias("hash"),
+        *(["content"] if "content" in has else []),
     )
-    return out
 
 
 def with_text(files: DataFrame) -> DataFrame:

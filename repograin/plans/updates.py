@@ -14,7 +14,6 @@ from repograin.operators import requests as R
 from repograin.operators.catalog import build_catalog, with_text
 from repograin.operators.symbols import extract_symbols
 from repograin.schemas import BATCH_ASKED
-from repograin.session import written
 from repograin.sources import stores
 
 Summariser = Callable[[str, str, str | None], dict]
@@ -59,22 +58,29 @@ def _finish(
     return stats
 
 
-def _changed_texts(files: DataFrame, meta: DataFrame, force: bool) -> DataFrame:
-    """Texts of the files that need work. The comparison runs on keys and hashes alone; texts never shuffle for it."""
-    if force:
-        return with_text(files)
-    keys = C.files_to_update(files.select(*C.KEY, "hash"), meta)
-    return with_text(C.only_keys(files, keys))
+def _catalog(spark: SparkSession, landed: DataFrame, store: str) -> DataFrame:
+    """The narrow catalog of this run, stored: everything but the changed texts comes from it."""
+    stores.save_catalog(landed, f"{store}/catalog")
+    return stores.load_catalog(spark, f"{store}/catalog")
+
+
+def _changed_texts(landed: DataFrame, files: DataFrame, meta: DataFrame, force: bool) -> DataFrame:
+    """Texts of the files that need work, with the hash of what was read.
+
+    The comparison runs on keys and hashes alone; texts never shuffle for it.
+    """
+    rows = landed if force else C.only_keys(landed, C.files_to_update(files.select(*C.KEY, "hash"), meta))
+    return with_text(build_catalog(rows))
 
 
 def update_content(
     spark: SparkSession, landed: DataFrame, store: str, summariser: Summariser, as_of: str, force: bool = False
 ) -> DataFrame:
     """Incremental content update: hash, compare, summarise what changed, merge, drop deleted, snapshot."""
-    files = build_catalog(landed)
+    files = _catalog(spark, landed, store)
     meta = stores.load_metadata(spark, f"{store}/content")
     stores.backup_content(spark, f"{store}/content", f"{store}/content_history", as_of)
-    todo = _changed_texts(files, meta, force)
+    todo = _changed_texts(landed, files, meta, force)
     # Calls to the summariser are costly: their result is written once and read back.
     number = stores.save_table(summarise(todo, summariser), f"{store}/summaries")
     summaries = spark.read.parquet(f"{store}/summaries/v{number}")
@@ -90,7 +96,7 @@ def prepare_batch(
     What was asked is stored with the hash of the text that was sent, for ``finish_batch``.
     """
     meta = stores.load_metadata(spark, f"{store}/content")
-    todo = _changed_texts(build_catalog(landed), meta, force)
+    todo = _changed_texts(landed, _catalog(spark, landed, store), meta, force)
     requests = R.exclude_types(R.batch_requests(todo, qualified=True), excluded_types)
     stores.write_requests(requests, out, **limits)
     asked = requests.select(*C.KEY, "custom_id").join(todo.select(*C.KEY, "hash"), C.KEY)
@@ -104,7 +110,7 @@ def finish_batch(spark: SparkSession, landed: DataFrame, store: str, results: st
 
     A file that changed after its request takes the answer with the old hash and so stays due.
     """
-    files = written(build_catalog(landed).select(*C.KEY, "hash"), "catalog")
+    files = _catalog(spark, landed, store)
     meta = stores.load_metadata(spark, f"{store}/content")
     answers = R.last_summaries(stores.read_results(spark, results))
     asked = stores.load_table(spark, f"{store}/asked", BATCH_ASKED)

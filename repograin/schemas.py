@@ -1,24 +1,14 @@
 """Fixed schemas (as DDL) of the tables the library reads and writes. ``repo_id`` leads every key."""
 
-FILES = (
-    "repo_id STRING, rel_path STRING, name STRING, ext STRING, length BIGINT, "
-    "mtime TIMESTAMP, hash STRING, content BINARY"
-)
+CATALOG = "repo_id STRING, rel_path STRING, name STRING, ext STRING, length BIGINT, mtime TIMESTAMP, hash STRING"
 SYMBOLS = (
     "repo_id STRING, file STRING, line INT, type STRING, name STRING, "
     "type_ord INT, pos BIGINT, cell INT, block STRING"
 )
 CONTENT_META = "repo_id STRING, rel_path STRING, hash STRING, last_updated TIMESTAMP, summary STRING"
-CHANGES = "repo_id STRING, rel_path STRING, change STRING, old_hash STRING, new_hash STRING"
 IGNORE_PATTERNS = "repo_id STRING, pattern STRING, is_dir BOOLEAN, source STRING"
-SUGGESTION_RUN = "run STRING, ignore_files ARRAY<STRING>, ignore_folders ARRAY<STRING>"
 LANG_RULES = "lang STRING, type STRING, type_ord INT, regex STRING, rule_no INT"
 NOTEBOOK = "cells ARRAY<STRUCT<cell_type: STRING, source: STRING>>"
-BATCH_REQUEST = (
-    "custom_id STRING, method STRING, url STRING, "
-    "body STRUCT<model: STRING, messages: ARRAY<STRUCT<role: STRING, content: STRING>>, "
-    "max_tokens: INT, temperature: DOUBLE>"
-)
 BATCH_ASKED = "custom_id STRING, repo_id STRING, rel_path STRING, hash STRING"
 BATCH_RESULT = (
     "custom_id STRING, "

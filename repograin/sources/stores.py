@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from repograin.functions.constants import BATCH_MAX_BYTES, BATCH_MAX_REQUESTS
 from repograin.functions.text import snapshot_label
+from repograin.operators.catalog import build_catalog
 from repograin.operators.history import retention, retention_counts
 from repograin.operators.hierarchy import tree_lines, tree_text
 from repograin.operators.ignore import parse_pattern_lines, sort_patterns
 from repograin.operators.ordered import sorted_row_number
 from repograin.operators.reports import compact_text, parse_compact
 from repograin.operators.requests import chunk_requests, parse_errors, parse_results, request_lines
-from repograin.schemas import BATCH_JOBS, CONTENT_HISTORY, CONTENT_META, IGNORE_PATTERNS, SYMBOL_HISTORY, SYMBOLS
+from repograin.schemas import BATCH_JOBS, CATALOG, CONTENT_HISTORY, CONTENT_META, IGNORE_PATTERNS, SYMBOL_HISTORY, SYMBOLS
 from repograin.session import checkpoint, written
 from repograin.sources import buckets, commits
 from repograin.sources.commits import claim, exists, file_system, numbers
@@ -57,6 +58,16 @@ def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/v{found[-1]}")
 
 
+def save_catalog(landed: DataFrame, path: str) -> int:
+    """The narrow catalog of a run (paths, lengths, times, hashes), in one pass over the contents, which are not copied."""
+    narrow = build_catalog(landed).drop("content")
+    return save_table(narrow.sortWithinPartitions("repo_id", "rel_path"), path)
+
+
+def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return load_table(spark, path, CATALOG)
+
+
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     return buckets.load(spark, path, CONTENT_META)
 
@@ -313,10 +324,10 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "drop_old_versions", "import_history", "load_content_history",
+    "append_jobs", "backup_content", "backup_symbols", "delete_old_history", "drop_old_versions", "import_history", "load_catalog", "load_content_history",
     "load_history", "load_jobs",
     "load_metadata", "load_symbol_history", "load_symbols", "load_table", "read_compact", "read_errors",
-    "read_patterns", "read_results", "read_text_lines", "save_content_history", "save_metadata",
+    "read_patterns", "read_results", "read_text_lines", "save_catalog", "save_content_history", "save_metadata",
     "save_symbol_history", "save_symbols", "save_table", "sort_patterns", "vacuum_history", "vacuum_metadata", "write_compact",
     "write_lines", "write_patterns", "write_requests", "write_trees",
 ]

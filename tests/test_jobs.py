@@ -52,6 +52,71 @@ def test_file_that_vanishes_keeps_a_null_hash(spark, tmp_path):
     assert out[0]["content"].iloc[0] is None
 
 
+def test_flat_folder_is_listed_by_several_tasks(spark, tmp_path):
+    folder = tmp_path / "flat repo"
+    folder.mkdir()
+    for i in range(50_000):
+        (folder / f"f{i}.{'py' if i % 1000 == 0 else 'log'}").touch()
+    (folder / "f7.log").write_bytes(b"seven")
+    listed = tree.list_files(spark, folder.as_uri())
+    by_task = listed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(by_task) == 7 and sum(r["count"] for r in by_task) == 50_000 and max(r["count"] for r in by_task) < 8_000
+    one = tree.with_contents(listed.filter("rel_path = 'f7.log'"), tasks=1).first()
+    assert (one.repo_id, one.length, bytes(one.content)) == ("flat repo", 5, b"seven")
+    reader = tree.TreeReader({"path": str(folder)})
+    kept = list(reader.pushFilters([tree.StringEndsWith(("rel_path",), ".py")]))
+    assert len(kept) == 1 and sum(1 for u in reader.partitions() for _ in reader.read(u)) == 50  # pruned in the walk
+    assert listed.filter(F.col("rel_path").endswith(".py")).count() == 50
+
+
+def test_filters_prune_the_walk(spark, tmp_path, monkeypatch):
+    write_tree(tmp_path / "repo", {f"d{i}/e{j}/f.py": "x" for i in range(5) for j in range(5)} | {"top.py": "y"})
+    listed = tree.list_files(spark, str(tmp_path / "repo"))
+    count = lambda cond: listed.filter(cond).count()
+    assert count("rel_path LIKE 'd3/%'") == 5 and count("rel_path LIKE 'd3/e1%'") == 1 and count("rel_path = 'top.py'") == 1
+    assert count("rel_path IN ('d1/e1/f.py', 'd2/e2/f.py', 'nothing')") == 2 and count("repo_id = 'other'") == 0
+    assert count("repo_id = 'repo'") == 26 and count("rel_path LIKE '%/f.py' AND length = 1") == 25
+    opened = []
+    real = tree.entries
+    monkeypatch.setattr(tree, "entries", lambda folder: opened.append(folder) or real(folder))
+    reader = tree.TreeReader({"path": str(tmp_path / "repo")})
+    list(reader.pushFilters([tree.StringStartsWith(("rel_path",), "d3/e1"), tree.EqualTo(("length",), 1)]))
+    assert [r[1] for u in reader.partitions() for r in reader.read(u)] == ["d3/e1/f.py"]
+    assert {f.removeprefix(str(tmp_path / "repo")) for f in opened} == {"", "/d3", "/d3/e1"}
+
+
+def test_component_mode_equals_the_rule_on_paths(spark, tmp_path):
+    from repograin.operators.ignore import is_ignored_by_component
+
+    names = ["src", ".git", "node_modules", ".20", ".MVHJS", ".abcd", "m.pyc", "a.py", "x.so", "__pycache__"]
+    files = {f"{a}/{b}/{c}" for a in names for b in names for c in names if c not in (".git", "node_modules", "src")}
+    write_tree(tmp_path / "repo", dict.fromkeys(files, "x"))
+    got = {r.rel_path for r in tree.list_files(spark, str(tmp_path / "repo"), mode="component").collect()}
+    df = spark.createDataFrame([(f,) for f in files], "rel_path string")
+    assert got == {r.rel_path for r in df.filter(~is_ignored_by_component()).collect()} and 0 < len(got) < len(files)
+    assert tree.list_files(spark, str(tmp_path / "repo"), [], mode="component").count() > len(got)
+    with pytest.raises(ValueError):
+        tree.list_files(spark, str(tmp_path / "repo"), mode="other")
+
+
+def test_stored_catalog_answers_size_questions_without_contents(spark, tmp_path):
+    from repograin.operators import hierarchy
+
+    rows = landed(spark, [("r", "a/b.py", "one"), ("r", "c.py", "three"), ("q", "a.py", "")])
+    source = str(tmp_path / "landed")
+    rows.write.parquet(source)
+    stores.save_catalog(spark.read.parquet(source), str(tmp_path / "catalog"))
+    stored = stores.load_catalog(spark, str(tmp_path / "catalog"))
+    whole = build_catalog(rows)
+    for job in (hierarchy.dir_rollup, hierarchy.large_repos, hierarchy.tree_lines):
+        plan = job(stored)._jdf.queryExecution().toString()
+        assert "content" not in plan.split("== Physical Plan ==")[1]
+        assert sorted(map(tuple, job(stored).collect()), key=str) == sorted(map(tuple, job(whole).collect()), key=str)
+    assert {(r.rel_path, r.hash) for r in stored.collect()} == {(r.rel_path, r.hash) for r in whole.collect()}
+    listed = build_catalog(rows.drop("content").withColumn("length", F.lit(7)))
+    assert "content" not in listed.columns and {(r.length, r.hash) for r in listed.collect()} == {(7, None)}
+
+
 def landed(spark, rows):
     return spark.createDataFrame([(r, p, c.encode()) for r, p, c in rows], "repo_id string, rel_path string, content binary")
 
