@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ BEFORE, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: stand before a text, an
 SHARD_GRAMS = 1 << 20
 TOP_WORDS = 1 << 18
 HOLD = 1 << 20  # rows a task holds back before it adds up what it has counted
+ROWS, RUN_BYTES = 2000, 1 << 19  # texts and bytes that a task works on at a time
 
 _WORD = ~words.SPACE
 
@@ -97,10 +99,16 @@ class _Counter:
         self.__init__()
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, vocabulary = _Counter(), _Counter()
-    for batch in batches:
-        for run in words.runs(batch.column(0), lower=False):
+    for batch in _few(batches):
+        for run in words.runs(batch.column(0), lower=False, size=RUN_BYTES):
             data, places, _ = _framed(run)
             grams.add(_grams(data, places))
             run.data = words.LOWER[run.data]
@@ -257,11 +265,11 @@ def _groups(code: np.ndarray) -> np.ndarray:
 def _score_part(shared, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, mine, slots, logs = shared.value
-        for batch in batches:
+        for batch in _few(batches):
             n = batch.num_rows
             score, tokens, known, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             rare, rare_count = [], np.zeros(n, np.int64)
-            for part in words.runs(batch.column(1), lower=False):
+            for part in words.runs(batch.column(1), lower=False, size=RUN_BYTES):
                 rows, size = slice(part.first, part.first + len(part)), len(part)
                 data, places, text = _framed(part)
                 code = _grams(data, places)
@@ -285,23 +293,37 @@ def _score_part(shared, with_words: bool):
                 pa.array(np.concatenate([[0], np.cumsum(rare_count)]).astype(np.int32)),
                 pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)),
             )
-            cells = [batch.column(0), *(pa.array(x) for x in (score, tokens, known, base)), lists]
-            yield pa.RecordBatch.from_arrays(cells, ["id", "score", "n_tokens", "n_known", "base", "rare"])
+            cells = [*(batch.column(i) for i in (0, 2, 3)), *(pa.array(x) for x in (score, tokens, known, base)), lists]
+            yield pa.RecordBatch.from_arrays(cells, ["id", *ROW, "score", "n_tokens", "n_known", "base", "rare"])
 
     return run
 
 
+ROW = ["file", "place"]  # of a text in the stored table: the same however a pass splits the files
+
+
+def _stored(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns and each row's place; a table that is not read from files is written first."""
+    place = lambda rows: (rows.metadataColumn("_metadata")[c] for c in ("file_path", "row_index"))
+    try:
+        return docs.select(*columns, *[c.alias(name) for c, name in zip(place(docs), ROW)])
+    except AnalysisException:
+        rows = written(docs.select(*columns), "ppm-texts")
+        return rows.select("*", *[c.alias(name) for c, name in zip(place(rows), ROW)])
+
+
 def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``learn_from`` says which rows the model and the word counts are learned from. Scores are log10 probabilities of the
     whole text; ``base_score`` is the smoothed unigram sum over lower-cased words and one end. Null text is empty: it
     scores its end alone. Without training rows every byte is as likely as any other. Rows with equal ids are scored on
-    their own. ``docs`` is read several times and must be a stored table.
+    their own. ``docs`` is read once per shard; passes are joined by file and row number, so executors may come and go
+    between them.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), learn_from.alias("_learn"))
+    texts = _stored(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), learn_from.alias("_learn"))
     counted = texts.where("_learn").select("text").mapInArrow(_count, "kind tinyint, key bigint, n bigint")
     counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
     grams, vocabulary = counts.where("kind = 0"), counts.where("kind = 1")
@@ -339,28 +361,27 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
         held = grams if mine is None else grams.where(group.isin([int(g) for g in np.flatnonzero(mine & (by_group > 0))]))
         trie = Trie(*_arrays(held), *low)
         shared = spark.sparkContext.broadcast((trie, mine, Slots(top), logs))
-        scored = texts.select("id", "text").mapInArrow(
+        scored = texts.select("id", "text", *ROW).mapInArrow(
             _score_part(shared, s == 0),
-            f"id {kind}, score double, n_tokens bigint, n_known bigint, base double, rare array<bigint>",
+            f"id {kind}, file string, place bigint, score double, n_tokens bigint, n_known bigint, base double, rare array<bigint>",
         )
-        parts.append(written(scored.withColumn("row", F.monotonically_increasing_id()), f"ppm-shard-{s}"))
+        parts.append(written(scored, f"ppm-shard-{s}"))
         shared.unpersist()
     first = parts[0]
     totals = first
     if shards > 1:
-        # Every pass reads the same splits in the same order, so a row has the same number in each.
-        added = parts[1].select("row", "score")
+        added = parts[1].select(*ROW, "score")
         for p in parts[2:]:
-            added = added.unionByName(p.select("row", "score"))
-        added = added.groupBy("row").agg(F.sum("score").alias("_more"))
-        totals = first.join(added, "row").withColumn("score", F.col("score") + F.col("_more")).drop("_more")
-    rare = first.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("m"))
-    looked = rare.join(vocabulary.select("key", "n"), "key", "left").groupBy("row").agg(
+            added = added.unionByName(p.select(*ROW, "score"))
+        added = added.groupBy(*ROW).agg(F.sum("score").alias("_more"))
+        totals = first.join(added, ROW).withColumn("score", F.col("score") + F.col("_more")).drop("_more")
+    rare = first.select(*ROW, F.explode("rare").alias("key")).groupBy(*ROW, "key").agg(F.count(F.lit(1)).alias("m"))
+    looked = rare.join(vocabulary.select("key", "n"), "key", "left").groupBy(*ROW).agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("_known"),
         F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(smooth))).alias("_base"),
     )
     ending = float(np.log10(((train_rows if end else 0) + 0.1) / smooth))
-    return totals.drop("rare").join(looked, "row", "left").select(
+    return totals.drop("rare").join(looked, ROW, "left").select(
         "id",
         (F.col("n_tokens") + 1).alias("n_tokens"),
         (F.col("n_known") + F.coalesce("_known", F.lit(0)) + end).cast("bigint").alias("n_known"),

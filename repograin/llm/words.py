@@ -90,15 +90,15 @@ class Hasher:
         return mix(raw + (end - begin).astype(np.uint64) * _BASE)
 
 
-def runs(column: pa.Array, lower: bool = True) -> Iterator[Run]:
-    """The texts of a string column in runs; null is empty, A-Z become a-z on request."""
+def runs(column: pa.Array, lower: bool = True, size: int = CHUNK_BYTES) -> Iterator[Run]:
+    """The texts of a string column in runs of about ``size`` bytes; null is empty, A-Z become a-z on request."""
     texts = pa.concat_arrays([column.cast(pa.large_string())]) if column.null_count == 0 else column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1)
+        upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
         own = data[offsets[row] : offsets[upto]]
         yield Run(row, LOWER[own] if lower else own, offsets[row : upto + 1] - offsets[row])
         row = upto

@@ -75,3 +75,34 @@ def test_nothing_to_learn_and_empty(spark):
     got = ppm.score(docs, F.lit(False)).first()
     assert round(got.score, 9) == round(-3 * math.log10(256), 9) and (got.n_known, got.train_tokens) == (0, 0)
     assert ppm.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_executors_that_come_and_go_between_passes_change_nothing(spark, monkeypatch, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["red", "green", "blue", "grau", "noir"]) for _ in range(rnd.randint(0, 40)))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(ppm, "SHARD_GRAMS", 100)
+    conf = ["spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes"]
+    old = [spark.conf.get(c, None) for c in conf]
+    learn = F.col("doc_id") % 3 != 0
+
+    def run():
+        got = ppm.score(spark.read.parquet(str(tmp_path / "docs")), learn).collect()
+        return sorted((r.id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in got)
+
+    want = run()
+    assert len(want) == 300
+    real = ppm.written
+
+    def written(df, name):
+        spark.conf.set(conf[1], "1" if name.startswith("ppm-shard") else "7")
+        spark.conf.set(conf[2], "100000" if name.startswith("ppm-shard") else "2000")
+        return real(df, name)
+
+    monkeypatch.setattr(ppm, "written", written)
+    try:
+        spark.conf.set(conf[0], "1")
+        assert run() == want
+    finally:
+        for c, value in zip(conf, old):
+            spark.conf.set(c, value) if value is not None else spark.conf.unset(c)
