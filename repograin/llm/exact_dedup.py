@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograin.llm.columns import guarded
-from repograin.llm.scratch import bucket_of, bucket_table, written
+from repograin.llm.scratch import bucket_of, bucket_table, less_listed, written
 
 PREFIX_BYTES = 64
 
@@ -66,7 +66,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns as they are, less the rows that have an equal text under a larger id.
 
-    Rows to drop are named by id and digest; only they are joined. A row repeated with the same id and text stays as
+    Rows to drop are named by id and digest; only rows with such an id are joined. A row repeated with the same id and text stays as
     often as it occurs.
     """
     marked = refine(docs, id_col, text_col)
@@ -78,6 +78,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def left(rows: DataFrame, key: str, text: str) -> DataFrame:
         own = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
         same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-        return rows.withColumn("_own", own).join(dropped, same, "left_anti")
+        less = lambda some: some.withColumn("_own", own).join(dropped, same, "left_anti").drop("_own")
+        return less_listed(rows, F.col(key), dropped, F.col("_id"), less)
 
     return guarded(docs, left, id_col, text_col)

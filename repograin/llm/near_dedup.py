@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from repograin.llm import words
 from repograin.llm.columns import guarded
 from repograin.llm.components import components
-from repograin.llm.scratch import bucket_of, bucket_table, written
+from repograin.llm.scratch import bucket_of, bucket_table, less_listed, written
 from repograin.llm.ship import ship
 
 SHINGLE = 5
@@ -273,5 +273,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with its columns as they are, one document of each component. ``docs`` must be a stored table."""
     marked = near_duplicates(docs, id_col, text_col, **options)
     dropped = written(marked.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "near-dropped")
-    left = lambda rows, key: rows.join(dropped, F.col(key).cast("bigint") == F.col("_id"), "left_anti")
+
+    def left(rows: DataFrame, key: str) -> DataFrame:
+        own = F.col(key).cast("bigint")
+        return less_listed(rows, own, dropped, F.col("_id"), lambda some: some.join(dropped, own == F.col("_id"), "left_anti"))
+
     return guarded(docs, left, id_col)

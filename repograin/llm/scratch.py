@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograin.session import scratch_path, shared_folder, written
@@ -22,6 +24,23 @@ def bucket_table(keys: DataFrame, *columns: str) -> DataFrame:
     return keys.select(bucket_of(*columns).alias("_bucket")).distinct()
 
 
+MOST_LISTED = 1 << 20  # keys whose hashes are sent to every task
+
+
+def less_listed(rows: DataFrame, key: Column, listed: DataFrame, listed_key: Column, less: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``less(rows)``, where ``less`` removes some of the rows whose key is in the written table ``listed``, and no other.
+
+    Rows stay where they are unless the hash of their key is listed; only those are handed on. Hashes are sent to the
+    tasks while there are at most ``MOST_LISTED``; above that all rows are handed on.
+    """
+    if listed.count() > MOST_LISTED:
+        return less(rows)
+    hashes = F.broadcast(listed.select(F.xxhash64(listed_key).alias("_hash")).distinct())
+    marked = rows.withColumn("_hash", F.xxhash64(key))
+    clear, doubtful = (marked.join(hashes, "_hash", how).drop("_hash") for how in ("left_anti", "left_semi"))
+    return clear.unionByName(less(doubtful))
+
+
 def stored_places(docs: DataFrame, out: str) -> DataFrame:
     """``docs``, a plain read of Parquet files that Spark wrote, with the row number in the order of writing, from 0.
 
@@ -37,4 +56,4 @@ def stored_places(docs: DataFrame, out: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "_file").withColumn(out, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
 
 
-__all__ = ["BUCKETS", "bucket_of", "bucket_table", "scratch_path", "shared_folder", "stored_places", "written"]
+__all__ = ["BUCKETS", "bucket_of", "bucket_table", "less_listed", "scratch_path", "shared_folder", "stored_places", "written"]

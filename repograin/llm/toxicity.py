@@ -49,12 +49,20 @@ def tokens_of(run: words.Run) -> Tokens:
     kinds = [word, *(hashed(begin, np.minimum(end, begin + n)) for n in (3, 4, 5, 6))]
     before, after = np.roll(word, 1), np.roll(word, -1)
     before[first], after[last] = 0, 0
-    features = np.empty((KINDS, len(begin)), np.int64)
+    features = np.empty((KINDS, len(begin)), np.int32)
     for k, value in enumerate((*kinds, before, after)):
         features[k] = words.mix(value + np.uint64(k + 1)) >> np.uint64(64 - BITS)
     return Tokens(begin, end, text, first, features)
 
 
+def _emission(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The sum of each token's weights, one kind after the other."""
+    out = np.zeros(features.shape[1])
+    for kind in features:
+        out += weights[kind]
+    return out
+
+
 def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: float):
     """Probability of tag 1 per token, and the expected number of moves between tags (2 x 2).
 
@@ -117,8 +125,7 @@ class Model:
     curve: np.ndarray  # logistic weights over ``_summary``
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        emission = self.weights[tokens.features].sum(axis=0) + self.bias
-        return chain_marginals(emission, tokens.first, self.move, self.start)[0]
+        return chain_marginals(_emission(self.weights, tokens.features) + self.bias, tokens.first, self.move, self.start)[0]
 
     def scores(self, marginals: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_summary(marginals, text, n) @ self.curve, -30, 30)))
@@ -187,14 +194,14 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
     np.add.at(gold_moves, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     bias, move, start = -3.0, np.zeros((2, 2)), 0.0
     used, place = np.unique(f, return_inverse=True)
-    place = place.reshape(f.shape)
+    place = place.reshape(f.shape).astype(np.int32)
     w, pace = np.zeros(len(used)), np.full(len(used), 1e-2)
     other, other_pace = np.zeros(6), np.full(6, 1e-2)
     for _ in range(rounds):  # steepest ascent of the likelihood with a pace of its own for each weight
         bias, move, start = other[0] - 3.0, other[1:5].reshape(2, 2), other[5]
-        p, moves = chain_marginals(w[place].sum(axis=0) + bias, begin, move, start)
+        p, moves = chain_marginals(_emission(w, place) + bias, begin, move, start)
         gap = y - p
-        slope = np.bincount(place.ravel(), weights=np.tile(gap, KINDS), minlength=len(used)) - 0.02 * w
+        slope = sum(np.bincount(kind, weights=gap, minlength=len(used)) for kind in place) - 0.02 * w
         pace += slope**2
         w += 0.5 * slope / np.sqrt(pace)
         slope = np.array([gap.sum(), *(gold_moves - moves).ravel(), gap[begin].sum()]) - 0.02 * other
@@ -202,7 +209,7 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
         other += 0.3 * slope / np.sqrt(other_pace)
     weights[used] = w
     model = Model(weights, other[0] - 3.0, other[1:5].reshape(2, 2), float(other[5]), np.zeros(4))
-    p, _ = chain_marginals(weights[features].sum(axis=0) + model.bias, first, model.move, model.start)
+    p, _ = chain_marginals(_emission(weights, features) + model.bias, first, model.move, model.start)
     # The sample has as many rows of either label; weights bring back the share of toxic rows among all.
     share = np.array([(~toxic).mean(), toxic.mean()])
     weight = (np.array([1 - toxic_share, toxic_share]) / share)[toxic.astype(int)] if toxic_share else np.ones(len(parts))
@@ -213,13 +220,15 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
 
 def _telling_words(parts: list[Tokens], toxic: np.ndarray, least_share: float, ratio: float) -> np.ndarray:
     """Marks, by feature kind and bucket, the words and heads that toxic documents hold far more often than others."""
-    held = np.zeros((2, 5, 1 << BITS))
-    for part, label in zip(parts, toxic):
-        for k in range(5):
-            held[int(label), k, np.unique(part.features[k])] += 1
     documents = np.array([(~toxic).sum(), toxic.sum()])
-    rate = (held + 0.5) / (documents[:, None, None] + 1)
-    return (held[1] >= max(3.0, least_share * documents[1])) & (rate[1] >= ratio * rate[0])
+    out = np.zeros((5, 1 << BITS), bool)
+    for k in range(5):
+        held = np.zeros((2, 1 << BITS), np.int32)
+        for part, label in zip(parts, toxic):
+            held[int(label), np.unique(part.features[k])] += 1
+        rate = (held + 0.5) / (documents[:, None] + 1)
+        out[k] = (held[1] >= max(3.0, least_share * documents[1])) & (rate[1] >= ratio * rate[0])
+    return out
 
 
 def train(
