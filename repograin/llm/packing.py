@@ -31,6 +31,7 @@ BLOCK_PIECES = 1 << 10  # results depend on it, and so it follows no setting
 PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
 CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers; a full cache starts anew
 
+TAIL = ".,;:!?"  # punctuation that the split rule never joins to a letter or digit before it
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
 
 
@@ -48,6 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[str, bytes | None] = {}  # by stretch, for " " + stretch; None where it may not be cut out
+        self.tails: dict[str, bytes] = {}
         # Tokens of a byte-level vocabulary are spelled with one character per byte.
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
@@ -58,6 +60,9 @@ class Encoder:
 
     def _learn(self, stretches: set[str]) -> None:
         """Encode all stretches as one text; the bytes of its tokens tell where each stretch ends."""
+        # A stretch that ends in punctuation is one without it and a piece of its own.
+        cores = {x: core for x in stretches if x[-1:] in TAIL and (core := x.rstrip(TAIL)) and core[-1].isalnum()}
+        stretches = stretches.difference(cores).union(c for c in cores.values() if c not in self.known)
         new = [x for x in stretches if x == x.strip() != "" and SPECIAL not in x]
         self.known.update(dict.fromkeys(stretches))
         if new:
@@ -66,21 +71,30 @@ class Encoder:
             ends = np.cumsum([len(x.encode()) + 1 for x in new])
             cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
             self.known.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for x, core in cores.items():
+            tail, ids = x[len(core) :], self.known[core]
+            if tail not in self.tails:
+                self.tails[tail] = self._whole([tail])[0]
+            self.known[x] = None if ids is None else ids + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
+            self.tails.clear()
             new = set().union(*cut)
         self._learn(new)
-        known, heads = self.known, self._whole([c[0] for c in cut])
+        look, heads = self.known.__getitem__, self._whole([c[0] for c in cut])
         out = []
         for text, stretches, head in zip(texts, cut, heads):
-            ids = [known[x] for x in stretches]
+            ids = list(map(look, stretches))
             ids[0] = head
-            plain = None not in ids and stretches[0] == stretches[0].rstrip() and SPECIAL not in stretches[0]
-            out.append(b"".join(ids) if plain else self._whole([text])[0])
+            first = stretches[0]
+            try:
+                out.append(b"".join(ids) if first == first.rstrip() and SPECIAL not in first else self._whole([text])[0])
+            except TypeError:  # a stretch that may not be cut out
+                out.append(self._whole([text])[0])
         return out
 
 
