@@ -220,7 +220,7 @@ def _assembled(with_payload: bool):
             digest, size, payload = [], [], []
             for whole, head, length, kind in zip(*(batch.column(n).to_pylist() for n in ("whole", "head", "length", "type"))):
                 body = _payload(whole[head : head + length]) if kind != "revisit" and len(whole) >= head + length else None
-                digest.append(body and hashlib.sha1(body).hexdigest())
+                digest.append(None if body is None else hashlib.sha1(body).hexdigest())
                 size.append(None if body is None else len(body))
                 payload.append(body if with_payload else None)
             names = [n for n in batch.schema.names if n != "whole"]

@@ -61,3 +61,14 @@ def test_a_chain_ends_at_a_broken_record(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_warc(pages(spark, []), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_broken_record_with_an_empty_body_has_the_digest_of_nothing(spark, tmp_path):
+    http = f"HTTP/1.1 200 OK\r\nX-Note: {warc.MAGIC}\r\n\r\n" if "\r\n\r\n" not in warc.MAGIC else None
+    if http is None:  # the magic ends a header, so it can only stand in a body
+        http = f"HTTP/1.1 200 OK\r\n\r\n{warc.MAGIC}"
+    record = f"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 1\r\nContent-Length: {len(http)}\r\n\r\n{http}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record.encode())
+    row = warc.read_warc(spark, str(tmp_path)).first()
+    body = http.split("\r\n\r\n", 1)[1].encode()
+    assert (row.digest, row.bytes) == (hashlib.sha1(body).hexdigest(), len(body))
