@@ -124,3 +124,64 @@ def test_everything_is_registered(pipeline):
     entry = module("__spark_entry__", ROOT / "__spark_entry__.py")
     names = entry.queries().keys()
     assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)}
+
+
+FOLDS = {"op7_ppm": (10, 0), "op8_toxicity": (4, 2), "op9_language": (3, 1)}
+COLUMNS = {
+    "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op4_near_dedup": "doc_id n_shingles component_id kept",
+    "op7_ppm": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op8_toxicity": "doc_id held_out score predicted",
+    "op9_language": "doc_id held_out lang_pred score",
+    "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_query_without_sql_keeps_its_contract(spark, name):
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.QUERIES[name](spark, SF)
+    assert set(COLUMNS[name].split()) <= set(found.columns)
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == docs.keys()
+    if name in FOLDS:
+        parts, held = FOLDS[name]
+        assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == held) for r in rows)
+    if name == "op1_packing":
+        for i in docs:
+            own = sorted((r.start, r.length) for r in rows if r.doc_id == i)
+            assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+            assert {sum(n for _, n in own)} == {r.doc_tokens for r in rows if r.doc_id == i}
+    if name == "op12_token_counts":
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(queries.tokenizer_file())
+        got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows}
+        sizes = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
+        assert got == {i: (len(t.encode()), sizes[i], sizes[i] > 1024) for i, t in docs.items()}
+    if name == "op8_toxicity":
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_stages_take_nulls_repeated_rows_long_texts_and_empty_tables(spark, pipeline, tmp_path):
+    long = "The river ran on and on past hill " * 6000
+    rows = [(i, f"some plain words number {i} stand here as a text of its own", "en", f"src{i % 3}", 9, "k") for i in range(30)]
+    rows += [(40, None, None, None, None, None), (41, "", "en", "src1", 0, "k"), (None, "no id but words enough for a set here", "de", "src2", 3, "k")]
+    rows += [(42, long, "en", "src0", 5, "k"), (43, long + "end", "en", None, 5, "k"), (7, rows[7][1], "en", "src1", 9, "k"), (44, rows[3][1], "en", "other", 9, "k")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string"
+    for folder, given in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame(given, schema).withColumnRenamed("lang", "_hash")
+        for number, (name, stage) in enumerate(pipeline.STAGES):
+            path = str(tmp_path / f"{folder}{number}")
+            stage(spark, docs, SF).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert number == len(pipeline.STAGES) - 1 or after.columns == docs.columns
+            docs = after
+            if folder == "full" and name == "exact dedup":
+                kept = [r.doc_id for r in docs.collect()]
+                assert 3 not in kept and {44, 42, 43, None, 41} <= set(kept) and kept.count(7) == 2 and 40 not in kept
+            if folder == "full" and name == "near dedup":
+                assert {42, 43} & {r.doc_id for r in docs.collect()} == {42}
+        assert (docs.count() == 0) == (folder == "none")
