@@ -88,18 +88,6 @@ DEFAULT_PATTERNS = [
     ".tox/", ".coverage", "htmlcov/", ".idea/", ".vscode/", "*.swp", "*.swo", "*~", STORE_DIR + "/",
 ]
 
-# Patterns a new store starts with.
-STARTER_PATTERNS = [
-    ".git", ".github", "LICENSE", ".svn", ".hg",
-    "node_modules", "venv", "env", "__pycache__", ".pytest_cache",
-    "build", "dist", "out", "target", "*.o", "*.so", "*.dll", "*.exe", "*.md",
-    ".vscode", ".idea", "*.swp", "*.swo", "*~",
-    "*.log", "*.tmp", "*.temp", "*.bak",
-    ".DS_Store", "Thumbs.db", "desktop.ini",
-    "*.jpg", "*.jpeg", "*.png", "*.gif", "*.svg", "*.ico", "*.pdf", "*.zip", "*.tar.gz", "*.mp3", "*.mp4",
-    "*.json", "*.txt", "*.sh",
-]
-
 # Patterns of the component-wise ignore mode.
 COMPONENT_PATTERNS = [
     ".git", ".nuxt", ".output", "node_modules", "__pycache__",
@@ -112,17 +100,18 @@ COMPONENT_PATTERNS = [
 # Names of temporary and build-hash files, as regular expressions on one path component.
 COMPONENT_NAME_REGEXES = [r"\.[0-9]+", r"\.[A-Za-z0-9]{5,}"]
 
-# The name-set ignore mode. Suffixes are the names written with a leading star.
+# Folders and files of the name-set ignore mode.
 NAME_SET_FOLDERS = [
     ".git", ".svn", ".hg", "node_modules", "venv", "env", "__pycache__", ".pytest_cache",
     "build", "dist", "out", "target", ".vscode", ".idea", ".Trash", "$Recycle.Bin",
 ]
 NAME_SET_FILES = [
-    ".DS_Store", "Thumbs.db", ".gitignore", ".editorconfig", ".env", ".*.swp",
-    ".vscode", ".idea", "desktop.ini", ".directory",
+    ".DS_Store", "Thumbs.db", "*.tmp", "*.temp",
+    ".gitignore", ".editorconfig", ".env", "*.log",
+    "*.swp", "*.swo", "*~", ".*.swp",
+    ".vscode", ".idea", "*.sublime-*",
+    "desktop.ini", ".directory",
 ]
-NAME_SET_SUFFIXES = [".tmp", ".temp", ".log", ".swp", ".swo", "~", ".sublime-*"]
-NAME_SET_PREFIXES = ["*.sublime-"]
 
 # Limits and estimates.
 LARGE_REPO_FILES = 1000

@@ -13,10 +13,6 @@ META = set("*?[")
 _QUOTE = set("\\^$.|?*+()[]{}-&#~")
 
 
-def has_meta(pattern: str) -> bool:
-    return any(ch in META for ch in pattern)
-
-
 def _quote(ch: str) -> str:
     return "\\" + ch if ch in _QUOTE else ch
 

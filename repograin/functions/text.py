@@ -23,11 +23,6 @@ def lines(text: Column | str) -> Column:
     return F.split(_col(text), "\n", -1)
 
 
-def newline_count(text: Column | str) -> Column:
-    c = _col(text)
-    return F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
-
-
 def token_estimate(total_chars: Column) -> Column:
     """Integer division of an already summed character count."""
     return F.floor(total_chars / F.lit(CHARS_PER_TOKEN))
@@ -74,10 +69,6 @@ def table_tag(symbol_type: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, c), short_tag(c))
 
 
-def strip_quotes(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r'^"+|"+$', "")
-
-
 def summary_from_answer(answer: Column | str, mode: str = "single") -> Column:
     """Summary text from a model answer.
 

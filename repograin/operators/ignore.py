@@ -18,8 +18,6 @@ from repograin.functions.constants import (
     DEFAULT_PATTERNS,
     NAME_SET_FILES,
     NAME_SET_FOLDERS,
-    NAME_SET_PREFIXES,
-    NAME_SET_SUFFIXES,
 )
 from repograin.functions.globs import component_closure, prefix_closure
 from repograin.operators.ordered import salted_join
@@ -103,16 +101,20 @@ def is_ignored_by_component(patterns: Sequence[str] = COMPONENT_PATTERNS, path:
 
 
 def is_ignored_by_name(path: Column | str = "rel_path") -> Column:
-    """Name-set mode: a folder above has a listed name, or the file name is listed or has a listed ending."""
+    """Name-set mode: a folder above has a listed name, or the file name is listed.
+
+    A star in front stands for any beginning and one behind for any end, one at a time; all else is plain text.
+    """
     c = F.col(path) if isinstance(path, str) else path
     parts = paths.components(c)
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     name = paths.base_name(c)
     cond = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in NAME_SET_FOLDERS])) | name.isin(NAME_SET_FILES)
-    for end in NAME_SET_SUFFIXES:
-        cond = cond | name.endswith(end)
-    for start in NAME_SET_PREFIXES:
-        cond = cond | name.startswith(start)
+    for listed in NAME_SET_FILES:
+        if listed.startswith("*"):
+            cond = cond | name.endswith(listed[1:])
+        if listed.endswith("*"):
+            cond = cond | name.startswith(listed[:-1])
     return cond
 
 

@@ -146,15 +146,17 @@ def chunk_requests(
     """Chunk numbers for narrow ``(keys, bytes)`` rows in global order; ``sizes`` should be a stored table.
 
     ``chunk`` counts by requests. ``part`` splits a chunk further by bytes: lines go by where they start, in steps of
-    the limit less the longest line but one byte, so no part exceeds the limit. A line above the limit is an error.
+    the limit less the longest line but one byte, so no part exceeds the limit. Lines above half the limit do not count
+    there; each has a part of its own, with the negative ``seq`` as its number. A line above the limit stays alone, too;
+    whoever sends it has to refuse it (``stores.write_requests`` does).
     """
-    longest = sizes.agg(F.max("bytes")).first()[0] or 1
-    if longest > max_bytes:
-        raise ValueError(f"a request has {longest} bytes; a file may have {max_bytes}")
-    room = max_bytes - longest + 1
-    numbered = sorted_row_number(sizes, list(order), "seq", {"start_byte": "bytes"})
+    small = F.col("bytes") * 2 <= max_bytes
+    longest = sizes.agg(F.max(F.when(small, F.col("bytes")))).first()[0] or 1
+    counted = sizes.withColumn("_small", F.when(small, F.col("bytes")).otherwise(0))
+    numbered = sorted_row_number(counted, list(order), "seq", {"start_byte": "_small"}).drop("_small")
+    part = F.when(small, F.floor(F.col("start_byte") / F.lit(max_bytes - longest + 1))).otherwise(-F.col("seq"))
     return numbered.withColumn("chunk", F.floor((F.col("seq") - 1) / F.lit(max_requests)).cast("bigint")).withColumn(
-        "part", F.floor(F.col("start_byte") / F.lit(room)).cast("bigint")
+        "part", part.cast("bigint")
     )
 
 

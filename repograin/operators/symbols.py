@@ -242,6 +242,31 @@ def symbols_by_file(symbols: DataFrame) -> DataFrame:
     )
 
 
+def grouped_symbols(symbols: DataFrame, per_row: int = SYMBOLS_PER_LINE) -> DataFrame:
+    """Symbols listed by base name, files of one name merged: ``repo_id, name, part, n_symbols, symbols``.
+
+    ``symbols`` is an array of ``file, line, type, name`` in the total order; a name with more than ``per_row`` symbols
+    has further parts, so no row grows with the table. The order is found by slices, not by a window over a name.
+    """
+    order = ["repo_id", "base", "file", "line", "type_ord", "pos"]
+    placed = sorted_row_number(symbols.withColumn("base", paths.base_name("file")), order, "_n")
+    placed = written(placed.select("repo_id", "base", "_n", "file", "line", "type", "name"), "grouped-symbols")
+    first = placed.groupBy("repo_id", "base").agg(F.min("_n").alias("_first"))
+    listed = F.struct("_n", "file", "line", "type", "name")
+    return (
+        placed.join(first, ["repo_id", "base"])
+        .groupBy("repo_id", "base", F.floor((F.col("_n") - F.col("_first")) / per_row).cast("bigint").alias("part"))
+        .agg(F.count(F.lit(1)).alias("n_symbols"), F.array_sort(F.collect_list(listed)).alias("_s"))
+        .select(
+            "repo_id",
+            F.col("base").alias("name"),
+            "part",
+            "n_symbols",
+            F.transform("_s", lambda s: F.struct(s["file"].alias("file"), s["line"].alias("line"), s["type"].alias("type"), s["name"].alias("name"))).alias("symbols"),
+        )
+    )
+
+
 def file_profile(symbols: DataFrame) -> DataFrame:
     """Structural profile: functions, classes, variables and other symbols per file."""
     main = ["function", "class", "variable"]

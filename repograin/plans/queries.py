@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from repograin.functions import paths
 from repograin.functions.constants import COMPONENT_PATTERNS, DEFAULT_PATTERNS
-from repograin.functions.text import size_label, summary_from_answer, time_label
+from repograin.functions.text import decode, size_label, summary_from_answer, time_label
 from repograin.operators import catalog, changes, hierarchy, history, ignore, reports, requests, symbols
-from repograin.operators.ordered import block_running_sum
+from repograin.operators.ordered import block_running_sum, sorted_row_number
 from repograin.operators.rules import rules_frame
 from repograin.plans import bindings as B
-from repograin.plans import sql_functions
+from repograin.plans import sql_functions, updates
 from repograin.plans.bindings import with_bindings as w
 from repograin.plans.updates import summarise
+from repograin.schemas import BATCH_ASKED
 from repograin.session import checkpoint, scratch_path
 from repograin.sources import stores
 from repograin.streaming import incremental
@@ -466,6 +467,17 @@ def pattern_add(spark, sf):
     return ignore.sort_patterns(ignore.add_patterns(_stored_patterns(spark, sf), _suggested(spark, sf)))
 
 
+@register(
+    "pattern_order",
+    w("sug", f"""SELECT * FROM (WITH {STORED}, {ALL_SUGGESTED}, u AS (SELECT pattern FROM stored UNION SELECT pattern FROM alls)
+      SELECT pattern, row_number() OVER (ORDER BY suffix(pattern, '/') DESC, pattern) AS place FROM u)"""),
+)
+def pattern_order(spark, sf):
+    """The order in which an ignore file lists the patterns."""
+    every = ignore.add_patterns(_stored_patterns(spark, sf), _suggested(spark, sf))
+    return sorted_row_number(every, [F.desc("is_dir"), "pattern"], "place").select("pattern", "place")
+
+
 @register(
     "pattern_counts",
     w("sug", f"SELECT * FROM (WITH {ALL_SUGGESTED} SELECT suffix(pattern, '/') AS is_dir, count(*) AS n_patterns FROM alls GROUP BY 1)"),
@@ -519,6 +531,18 @@ def symbols_by_file(spark, sf):
     return symbols.symbols_by_file(_prose(spark, sf))
 
 
+@register(
+    "symbols_grouped",
+    w(SYM, """SELECT repo_id, name, part, count(*) AS n_symbols, string_agg(item, ' ' ORDER BY rn) AS symbols FROM (
+      SELECT *, CAST((rn - 1) // 100 AS BIGINT) AS part FROM (SELECT repo_id, string_split(file, '/')[-1] AS name,
+        file || ':' || line || ':' || type || ':' || sym.name AS item,
+        row_number() OVER (PARTITION BY repo_id, string_split(file, '/')[-1] ORDER BY file, line, type_ord, pos) AS rn FROM sym)) GROUP BY ALL"""),
+)
+def symbols_grouped(spark, sf):
+    item = lambda s: F.concat_ws(":", s["file"], s["line"].cast("string"), s["type"], s["name"])
+    return symbols.grouped_symbols(_prose(spark, sf)).withColumn("symbols", F.array_join(F.transform("symbols", item), " "))
+
+
 @register(
     "file_profile",
     w(SYM, """SELECT repo_id, file, count(*) FILTER (type = 'function') AS n_function, count(*) FILTER (type = 'class') AS n_class,
@@ -826,6 +850,38 @@ def summary_report(spark, sf):
     return reports.summary_report(B.stored_metadata(spark, sf))
 
 
+@register(
+    "summary_order",
+    w("docs lab page_files meta", """SELECT repo_id, rel_path, row_number() OVER (ORDER BY repo_id, rel_path) AS place FROM meta WHERE summary <> ''"""),
+)
+def summary_order(spark, sf):
+    """The order of a listing of all summaries."""
+    rows = reports.summary_report(B.stored_metadata(spark, sf))
+    return sorted_row_number(rows, ["repo_id", "rel_path"], "place").select("repo_id", "rel_path", "place")
+
+
+@register(
+    "summary_json",
+    w("docs lab page_files meta", """SELECT repo_id, rel_path, '{"file":' || to_json(rel_path) || ',"summary":' || to_json(summary) ||
+      CASE WHEN last_updated IS NULL THEN '' ELSE ',"last_updated":"' || strftime(last_updated, '%Y-%m-%dT%H:%M:%S') || '.000Z"' END || '}' AS value
+      FROM meta WHERE summary <> ''"""),
+)
+def summary_json(spark, sf):
+    return reports.summary_json(B.stored_metadata(spark, sf))
+
+
+@register(
+    "text_replaced",
+    "SELECT doc_id, length(text) + 5 AS n_chars, md5(chr(65533) || text || 'x' || chr(65533) || '(' || chr(65533)) AS text_md5 FROM documents",
+)
+def text_replaced(spark, sf):
+    """Documents with malformed bytes around them: a lone continuation byte, a broken and a cut-off sequence."""
+    bad = lambda code: F.unhex(F.lit(code))
+    content = F.concat(bad("80"), F.encode("text", "UTF-8"), bad("78C328E282"))
+    text = decode(content)
+    return B.table(spark, sf, "documents").select("doc_id", F.char_length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
 @register(
     "summary_query",
     w("docs lab page_files meta", f"""SELECT repo_id, rel_path, summary, {SQL_LABEL} AS last_updated FROM meta
@@ -893,6 +949,21 @@ def tree_lines(spark, sf):
     return hierarchy.tree_lines(_page_catalog(spark, sf)).select("repo_id", "path", "is_file", "line")
 
 
+@register(
+    "tree_order",
+    w("page_files", """SELECT * FROM (
+      WITH dirs AS (SELECT DISTINCT repo_id, unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS path
+          FROM (SELECT repo_id, string_split(rel_path, '/') AS s FROM page_files)),
+        every AS (SELECT repo_id, path, 0 AS f FROM dirs UNION ALL SELECT repo_id, rel_path, 1 FROM page_files),
+        keyed AS (SELECT *, list_transform(string_split(path, '/'), lambda x, i: {'k': CASE WHEN f = 1 AND i = len(string_split(path, '/')) THEN 1 ELSE 0 END, 'name': x}) AS key FROM every)
+      SELECT repo_id, path, row_number() OVER (ORDER BY repo_id, key) AS place FROM keyed)"""),
+)
+def tree_order(spark, sf):
+    """The order of all tree lines: depth first, folders before files."""
+    lines = hierarchy.tree_lines(_page_catalog(spark, sf)).select("repo_id", "path", "sort_key")
+    return sorted_row_number(lines, ["repo_id", "sort_key"], "place").select("repo_id", "path", "place")
+
+
 @register("tree_folders", _tree_sql(False, None))
 def tree_folders(spark, sf):
     return hierarchy.tree_lines(_page_catalog(spark, sf), include_files=False).select("repo_id", "path", "is_file", "line")
@@ -960,14 +1031,14 @@ def summarise_changed(spark, sf):
     "request_chunk_sizes",
     w("docs", """SELECT chunk, part, count(*) AS n_requests, CAST(sum(b) AS BIGINT) AS bytes FROM (
       SELECT b, (row_number() OVER (ORDER BY repo_id, rel_path) - 1) // 100 AS chunk,
-        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // (500001 - max(b) OVER ()) AS BIGINT) AS part
+        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // (524288001 - max(b) OVER ()) AS BIGINT) AS part
       FROM (SELECT repo_id, rel_path, octet_length(encode(text)) AS b FROM docs)) GROUP BY chunk, part"""),
 )
 def request_chunk_sizes(spark, sf):
     sizes = _docs(spark, sf).select(
         "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
     )
-    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100, max_bytes=500_000))
+    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100))
 
 
 @register(
@@ -1004,7 +1075,7 @@ def batch_cost(spark, sf):
 
 @register(
     "request_chunks",
-    w("docs", """SELECT repo_id, custom_id, seq, (seq - 1) // 100 AS chunk, CAST(start_byte // (500001 - longest) AS BIGINT) AS part FROM (
+    w("docs", """SELECT repo_id, custom_id, seq, (seq - 1) // 100 AS chunk, CAST(start_byte // (524288001 - longest) AS BIGINT) AS part FROM (
       SELECT repo_id, rel_path AS custom_id, row_number() OVER o AS seq, max(octet_length(encode(text))) OVER () AS longest,
         coalesce(sum(octet_length(encode(text))) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_byte
       FROM docs WINDOW o AS (ORDER BY repo_id, rel_path))"""),
@@ -1013,7 +1084,7 @@ def request_chunks(spark, sf):
     sizes = _docs(spark, sf).select(
         "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
     )
-    return requests.chunk_requests(sizes, max_requests=100, max_bytes=500_000).select("repo_id", "custom_id", "seq", "chunk", "part")
+    return requests.chunk_requests(sizes, max_requests=100).select("repo_id", "custom_id", "seq", "chunk", "part")
 
 
 def _result_lines(spark, sf, repo=""):
@@ -1039,6 +1110,44 @@ def batch_results(spark, sf):
     return requests.parse_results(_result_lines(spark, sf))
 
 
+@register(
+    "result_files",
+    """SELECT 'conv_' || conv_id || '.md' AS custom_id, arg_max(text, (turn % 2) * 1000000 + turn) AS summary
+       FROM conversations WHERE role <> 'user' AND text <> '' GROUP BY conv_id""",
+)
+def result_files(spark, sf):
+    """Two batches' result folders on disk, even and odd turns; the last line of the last folder answers."""
+    home = scratch_path(spark, "results")
+    lines = _result_lines(spark, sf).withColumn("_id", F.get_json_object("value", "$.custom_id"))
+    for part in (0, 1):
+        some = lines.filter(F.col("line_no") % 2 == part)
+        some.orderBy("_id", "line_no").select("value").write.text(f"{home}/{part}")
+    return requests.last_summaries(stores.read_results(spark, f"{home}/0", f"{home}/1"))
+
+
+@register(
+    "batch_update",
+    w("docs", """SELECT repo_id, rel_path, md5(text) AS hash, 'of ' || repo_id || '::' || rel_path AS summary, doc_id % 5 = 0 AS due FROM docs"""),
+)
+def batch_update(spark, sf):
+    """Requests for all documents, answers to all of them, and every fifth document changed in between."""
+    home = scratch_path(spark, "batch")
+    docs = _docs(spark, sf)
+    updates.prepare_batch(spark, B.files_of(docs), f"{home}/store", f"{home}/requests")
+    asked = stores.load_table(spark, f"{home}/store/asked", BATCH_ASKED)
+    content = F.to_json(F.struct(F.concat(F.lit("of "), "custom_id").alias("summary")))
+    choices = F.array(F.struct(F.struct(content.alias("content")).alias("message")))
+    answer = F.to_json(F.struct("custom_id", F.struct(F.struct(choices.alias("choices")).alias("body")).alias("response")))
+    asked.select(answer.alias("value")).write.text(f"{home}/results")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    now = B.files_of(docs.withColumn("text", text))
+    updates.finish_batch(spark, now, f"{home}/store", f"{home}/results", "2024-06-01")
+    state = stores.load_metadata(spark, f"{home}/store/content")
+    due = changes.files_to_update(catalog.build_catalog(now).select("repo_id", "rel_path", "hash"), state)
+    marked = state.join(due.select("repo_id", "rel_path", F.lit(True).alias("_due")), ["repo_id", "rel_path"], "left")
+    return marked.select("repo_id", "rel_path", "hash", "summary", F.coalesce("_due", F.lit(False)).alias("due"))
+
+
 @register(
     "summary_merge",
     """WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),

@@ -105,14 +105,16 @@ def prepare_batch(
     return R.batch_cost(requests)
 
 
-def finish_batch(spark: SparkSession, landed: DataFrame, store: str, results: str, as_of: str) -> DataFrame:
+def finish_batch(spark: SparkSession, landed: DataFrame, store: str, results: str | Sequence[str], as_of: str) -> DataFrame:
     """Second half: read result files, merge answers with the hashes they were asked for, drop deleted, snapshot.
 
+    ``results`` is one folder or file, or several batches' in the order in which they came; the last answer counts.
     A file that changed after its request takes the answer with the old hash and so stays due.
     """
     files = _catalog(spark, landed, store)
     meta = stores.load_metadata(spark, f"{store}/content")
-    answers = R.last_summaries(stores.read_results(spark, results))
+    folders = [results] if isinstance(results, str) else results
+    answers = R.last_summaries(stores.read_results(spark, *folders))
     asked = stores.load_table(spark, f"{store}/asked", BATCH_ASKED)
     asked = C.files_to_update(C.live_metadata(asked, files), meta)
     summaries = asked.join(answers, "custom_id").select(*C.KEY, "hash", "summary")

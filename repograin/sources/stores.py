@@ -286,10 +286,16 @@ def write_trees(files: DataFrame, path: str, ignore: list[str]) -> dict[str, str
 def write_requests(
     requests: DataFrame, path: str, max_requests: int = BATCH_MAX_REQUESTS, max_bytes: int = BATCH_MAX_BYTES,
 ) -> None:
-    """JSON-lines files, one folder per chunk. A chunk is bounded in rows and bytes, so one task can write it."""
+    """JSON-lines files, one folder per chunk. A chunk is bounded in rows and bytes, so one task can write it.
+
+    A request above ``max_bytes`` is an error: no file could hold it.
+    """
     lines = request_lines(requests)
     # Numbering reads its input more than once: the narrow size table is written first.
     sizes = written(lines.select("repo_id", "custom_id", "bytes"), "request-sizes")
+    longest = sizes.agg(F.max("bytes")).first()[0] or 0
+    if longest > max_bytes:
+        raise ValueError(f"a request has {longest} bytes; a file may have {max_bytes}")
     chunks = chunk_requests(sizes, max_requests=max_requests, max_bytes=max_bytes)
     numbered = lines.join(chunks.select("repo_id", "custom_id", "seq", "chunk", "part"), ["repo_id", "custom_id"])
     (
@@ -300,8 +306,21 @@ def write_requests(
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_results(read_text_lines(spark, path))
+def read_results(spark: SparkSession, *paths: str) -> DataFrame:
+    """Answers of result files. ``line_no`` orders them: by the folder in the order given, by file name, by place in the file.
+
+    Nothing is sorted or numbered for that: it is what a line knows of itself when it is read. Inside a split, ids grow
+    from line to line, whatever number Spark starts from.
+    """
+    parts = []
+    for number, path in enumerate(paths):
+        split = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start")]
+        place = F.struct(F.lit(number).alias("folder"), split[0].alias("file"), split[1].alias("start"), F.monotonically_increasing_id().alias("id"))
+        parts.append(spark.read.text(path).select("value", place.alias("line_no")))
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return parse_results(lines)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:

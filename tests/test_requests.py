@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from repograin.functions.paths import split_ext, suffix
 from repograin.functions.text import summary_from_answer, time_label
 from repograin.operators import requests as R
+from repograin.sources import stores
 
 
 def test_requests_truncate_and_skip_empty(spark):
@@ -56,11 +57,31 @@ def test_chunks_respect_both_limits(spark):
     assert sorted(j.chunk_index for j in jobs) == list(range(1, jobs[0].total_chunks + 1)) and len(jobs) == jobs[0].total_chunks
 
 
-def test_a_line_above_the_limit_is_an_error(spark):
-    sizes = spark.createDataFrame([("r", "a", 50), ("r", "b", 61)], "repo_id string, custom_id string, bytes bigint")
+def test_lines_near_or_above_the_limit_stay_alone(spark, tmp_path):
+    rows = [("r", f"f{i:03d}", b) for i, b in enumerate([50, 61, 5, 5, 700, 30, 31, 60] * 5)]
+    sizes = spark.createDataFrame(rows, "repo_id string, custom_id string, bytes bigint")
+    got = {r.custom_id: r for r in R.chunk_requests(sizes, max_bytes=60).collect()}
+    assert len(got) == len(rows) and sorted(r.seq for r in got.values()) == list(range(1, 41))
+    parts = {}
+    for r in got.values():
+        parts.setdefault((r.chunk, r.part), []).append(r.bytes)
+    assert all(len(p) == 1 or sum(p) <= 60 for p in parts.values())
+    assert all((got[c].part < 0) == (b > 30) for _, c, b in rows)
+    wide = spark.createDataFrame([("r", "a", "POST", "u", "x" * 100)], "repo_id string, custom_id string, method string, url string, body string")
     with pytest.raises(ValueError):
-        R.chunk_requests(sizes, max_bytes=60)
-    assert {r.bytes for r in R.chunk_sizes(R.chunk_requests(sizes, max_bytes=61)).collect()} == {50, 61}
+        stores.write_requests(wide, str(tmp_path / "out"), max_bytes=60)
+
+
+def test_results_of_several_folders_keep_their_order(spark, tmp_path):
+    line = lambda i, text: json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": json.dumps({"summary": text})}}]}}})
+    files = {"b/part-1": [("x", "early"), ("y", "b1")], "b/part-2": [("x", "late"), ("z", "z1"), ("z", "z2")], "a/part-0": [("y", "a0")], "a/part-1": [("y", "a1")]}
+    for name, rows in files.items():
+        target = tmp_path / name
+        target.parent.mkdir(exist_ok=True)
+        target.write_text("\n".join([*(line(*r) for r in rows), "{broken", ""]))
+    read = lambda *folders: {r.custom_id: r.summary for r in R.last_summaries(stores.read_results(spark, *[str(tmp_path / f) for f in folders])).collect()}
+    assert read("b") == {"x": "late", "y": "b1", "z": "z2"}
+    assert read("b", "a") == {"x": "late", "y": "a1", "z": "z2"} and read("a", "b")["y"] == "b1"
 
 
 def test_types_come_from_the_path(spark):
