@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Labels are per document. Token labels come from them: a word (or the beginning of a word) that toxic documents of the
-sample hold far more often than others marks a token of a toxic document as toxic; all other tokens are clean. The
-field has two tags and hashed features of a token and its neighbours. Forward-backward marginals give each token's
-probability; a logistic curve over a document's marginals, fitted on held-back rows of the sample, gives its score.
+Labels are per document, so token labels are soft: a clean document has no toxic token, a toxic one has at least one.
+A first guess spreads over the words (and beginnings of words) that toxic documents of the sample hold more often than
+others; from then on the field's own marginals, given that constraint, are the labels it is drawn towards. No language
+and no word needs a share of the sample. The field has two tags and hashed features of a token and its neighbours.
+Forward-backward marginals give each token's probability; a logistic curve over a document's marginals, fitted on
+held-back rows of the sample, gives its score.
 
 Training sees a bounded sample on the driver. The model has a fixed size. Both recursions run over many documents at
 once: products of 2 x 2 matrices are associative, so a long sequence is cut into columns that advance side by side.
@@ -63,15 +65,15 @@ def _emission(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return out
 
 
-def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: float):
-    """Probability of tag 1 per token, and the expected number of moves between tags (2 x 2).
+def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each tag per token (2 x tokens), and of each pair of tags per token that follows another.
 
     ``emission`` is the score of tag 1 against tag 0; ``move`` holds the transition scores; ``first`` marks where a
     sequence begins, which forgets all before it.
     """
     n = len(emission)
     if not n:
-        return np.zeros(0), np.zeros((2, 2))
+        return np.zeros((2, 0)), np.zeros((2, 2, 0))
     rows = min(ROWS, n)
     columns = -(-n // rows)
     e = np.exp(np.clip(emission, -30, 30))
@@ -110,10 +112,31 @@ def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, s
         b = b / b.sum(axis=0)
     forward, backward = forward.reshape(2, -1)[:, :n], backward.reshape(2, -1)[:, :n]
     joint = forward * backward
-    marginal = joint[1] / joint.sum(axis=0)
+    joint /= joint.sum(axis=0)
     inner = np.flatnonzero(~first)
     pair = forward[:, None, inner - 1] * m[:, :, inner] * backward[None, :, inner]
-    return marginal, (pair / pair.sum(axis=(0, 1))).sum(axis=2)
+    pair /= pair.sum(axis=(0, 1))
+    return joint, pair
+
+
+def given_labels(single: np.ndarray, pair: np.ndarray, first: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the marginals become under the labels: tag 1 nowhere in a clean document, at least once in a toxic one.
+
+    Returns the probability of tag 1 per token and the expected number of moves between tags (2 x 2). ``doc`` is the
+    document of each token, ``toxic`` the label of each document. Both are exact: the chance of no tag 1 at all is the
+    product of the chances that tag 0 follows tag 0.
+    """
+    tiny, inner = 1e-300, np.flatnonzero(~first)
+    stay = np.log(np.maximum(single[0], tiny))
+    stay[inner] = np.log(np.maximum(pair[0, 0], tiny)) - np.log(np.maximum(single[0, inner - 1], tiny))
+    clean = np.minimum(np.bincount(doc, weights=stay, minlength=len(toxic)), 0)
+    none, some = np.exp(clean), np.maximum(-np.expm1(clean), 1e-9)
+    marginal = np.where(toxic[doc], np.minimum(single[1] / some[doc], 1), 0.0)
+    under = toxic[doc[inner]]
+    moves = pair[:, :, under] / some[doc[inner[under]]]
+    moves = moves.sum(axis=2)
+    moves[0, 0] += (~under).sum() - (none / some)[doc[inner[under]]].sum()
+    return marginal, moves
 
 
 @dataclass
@@ -125,7 +148,7 @@ class Model:
     curve: np.ndarray  # logistic weights over ``_summary``
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        return chain_marginals(_emission(self.weights, tokens.features) + self.bias, tokens.first, self.move, self.start)[0]
+        return chain_marginals(_emission(self.weights, tokens.features) + self.bias, tokens.first, self.move, self.start)[0][1]
 
     def scores(self, marginals: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_summary(marginals, text, n) @ self.curve, -30, 30)))
@@ -157,78 +180,87 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarra
     return w
 
 
-def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int = 600_000, rounds: int = 40, least_share: float = 0.03, ratio: float = 30.0) -> Model:
+def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int = 600_000, rounds: int = 60, guessed: int = 10) -> Model:
     """Train on ``(label, text)`` rows, label 1 for toxic. Rows beyond ``most_tokens`` tokens are left out.
 
-    ``toxic_share`` is the share of toxic rows that scores are to reflect, where it differs from the sample's.
+    ``toxic_share`` is the share of toxic rows that scores are to reflect, where it differs from the sample's. The
+    first ``guessed`` of ``rounds`` steps use the first guess of the token labels.
 
     With no rows, or of one label only, the model gives every document the score that this label has (0 without rows).
     """
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(1 << BITS, np.float32)
     if len({int(label) for label, _ in sample}) < 2:
         sure = 8.0 if sample and int(sample[0][0]) else -8.0
         return Model(weights, -20.0, np.zeros((2, 2)), 0.0, np.array([sure, 0.0, 0.0, 0.0]))
     parts, toxic, seen = [], [], 0
     for label, text in sample:
-        run = next(words.runs(pa.array([text], pa.string())))
-        part = tokens_of(run)
+        part = tokens_of(next(words.runs(pa.array([text], pa.string()))))
         seen += len(part.begin)
         if seen > most_tokens and len(set(toxic)) == 2:
             break
-        parts.append(part)
+        parts.append((part.first, part.features))
         toxic.append(bool(label))
     toxic = np.array(toxic)
-    telling = _telling_words(parts, toxic, least_share, ratio)
-    text = np.repeat(np.arange(len(parts)), [len(p.begin) for p in parts])
-    first = np.concatenate([p.first for p in parts])
-    features = np.concatenate([p.features for p in parts], axis=1)
-    marked = np.zeros(features.shape[1], bool)
-    for k in range(5):
-        marked |= telling[k, features[k]]
-    gold = (marked & toxic[text]).astype(float)
-    held = np.arange(len(parts)) % 4 == 3  # for the curve
+    text = np.repeat(np.arange(len(toxic)), [len(p[0]) for p in parts])
+    first = np.concatenate([p[0] for p in parts])
+    features = np.concatenate([p[1] for p in parts], axis=1)
+    del parts
+    held = np.arange(len(toxic)) % 4 == 3  # for the curve
     learn = ~held[text]
-    f, y, begin = features[:, learn], gold[learn], first[learn]
+    begin, doc = first[learn], text[learn]
+    used = np.zeros(1 << BITS, bool)
+    for kind in features:
+        used[kind[learn]] = True
+    used = np.flatnonzero(used)
+    dense = np.zeros(1 << BITS, np.int32)
+    dense[used] = np.arange(len(used))
+    place = np.stack([dense[kind[learn]] for kind in features])
+    guess = _first_guess(place[:5], len(used), doc, toxic, held)
     inner = np.flatnonzero(~begin)
-    gold_moves = np.zeros((2, 2))
-    np.add.at(gold_moves, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-    bias, move, start = -3.0, np.zeros((2, 2)), 0.0
-    used, place = np.unique(f, return_inverse=True)
-    place = place.reshape(f.shape).astype(np.int32)
+    guess_moves = np.array([[(a[inner - 1] * b[inner]).sum() for b in (1 - guess, guess)] for a in (1 - guess, guess)])
     w, pace = np.zeros(len(used)), np.full(len(used), 1e-2)
     other, other_pace = np.zeros(6), np.full(6, 1e-2)
-    for _ in range(rounds):  # steepest ascent of the likelihood with a pace of its own for each weight
+    for step in range(rounds):  # steepest ascent of the labels' likelihood with a pace of its own for each weight
         bias, move, start = other[0] - 3.0, other[1:5].reshape(2, 2), other[5]
-        p, moves = chain_marginals(_emission(w, place) + bias, begin, move, start)
-        gap = y - p
+        single, pair = chain_marginals(_emission(w, place) + bias, begin, move, start)
+        wanted, wanted_moves = (guess, guess_moves) if step < guessed else given_labels(single, pair, begin, doc, toxic)
+        gap = wanted - single[1]
         slope = sum(np.bincount(kind, weights=gap, minlength=len(used)) for kind in place) - 0.02 * w
         pace += slope**2
         w += 0.5 * slope / np.sqrt(pace)
-        slope = np.array([gap.sum(), *(gold_moves - moves).ravel(), gap[begin].sum()]) - 0.02 * other
+        slope = np.array([gap.sum(), *(wanted_moves - pair.sum(axis=2)).ravel(), gap[begin].sum()]) - 0.02 * other
         other_pace += slope**2
         other += 0.3 * slope / np.sqrt(other_pace)
     weights[used] = w
     model = Model(weights, other[0] - 3.0, other[1:5].reshape(2, 2), float(other[5]), np.zeros(4))
-    p, _ = chain_marginals(_emission(weights, features) + model.bias, first, model.move, model.start)
+    p = chain_marginals(_emission(weights, features) + model.bias, first, model.move, model.start)[0][1]
     # The sample has as many rows of either label; weights bring back the share of toxic rows among all.
     share = np.array([(~toxic).mean(), toxic.mean()])
-    weight = (np.array([1 - toxic_share, toxic_share]) / share)[toxic.astype(int)] if toxic_share else np.ones(len(parts))
-    rest = held if held.any() and len(set(toxic[held])) == 2 else np.ones(len(parts), bool)
-    model.curve = _logistic(_summary(p, text, len(parts))[rest], toxic[rest].astype(float), weight[rest], CURVE)
+    weight = (np.array([1 - toxic_share, toxic_share]) / share)[toxic.astype(int)] if toxic_share else np.ones(len(toxic))
+    rest = held if held.any() and len(set(toxic[held])) == 2 else np.ones(len(toxic), bool)
+    model.curve = _logistic(_summary(p, text, len(toxic))[rest], toxic[rest].astype(float), weight[rest], CURVE)
     return model
 
 
-def _telling_words(parts: list[Tokens], toxic: np.ndarray, least_share: float, ratio: float) -> np.ndarray:
-    """Marks, by feature kind and bucket, the words and heads that toxic documents hold far more often than others."""
-    documents = np.array([(~toxic).sum(), toxic.sum()])
-    out = np.zeros((5, 1 << BITS), bool)
-    for k in range(5):
-        held = np.zeros((2, 1 << BITS), np.int32)
-        for part, label in zip(parts, toxic):
-            held[int(label), np.unique(part.features[k])] += 1
-        rate = (held + 0.5) / (documents[:, None] + 1)
-        out[k] = (held[1] >= max(3.0, least_share * documents[1])) & (rate[1] >= ratio * rate[0])
-    return out
+def _first_guess(place: np.ndarray, buckets: int, doc: np.ndarray, toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """A first probability of each token: how its best word or beginning compares with the best of its toxic document.
+
+    A bucket counts by the lower end (5 %) of its log odds between toxic and clean documents, so what one document holds by
+    chance does not count, and no least share or ratio decides.
+    """
+    documents = np.array([(~toxic & ~held).sum(), (toxic & ~held).sum()])
+    odds = np.zeros(buckets)
+    for kind in place:
+        bucket, of = np.divmod(np.unique(kind * np.int64(len(toxic)) + doc), len(toxic))
+        count = np.stack([np.bincount(bucket[toxic[of] == label], minlength=buckets) for label in (False, True)]) + 0.5
+        rate = np.log(count / (documents[:, None] + 1))
+        odds = np.maximum(odds, rate[1] - rate[0] - 1.64 * np.sqrt((1 / count).sum(axis=0)))
+    best = np.zeros(len(doc))
+    for kind in place:
+        np.maximum(best, odds[kind], out=best)
+    top = np.zeros(len(toxic))
+    np.maximum.at(top, doc, best)
+    return np.where(toxic[doc] & (best > 0.3), np.exp(3 * (best - top[doc])), 0.0)
 
 
 def train(

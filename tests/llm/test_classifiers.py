@@ -1,7 +1,9 @@
 """Toxicity, language identification and their sampling: exact recursions, held-out accuracy, edge cases."""
 
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -27,8 +29,12 @@ def test_marginals_equal_enumeration(monkeypatch):
     lengths = [1, 5, 2, 7]
     first = np.concatenate([[True] + [False] * (n - 1) for n in lengths])
     emission, move, start = rnd.normal(size=len(first)), rnd.normal(size=(2, 2)), 0.7
-    got, moves = toxicity.chain_marginals(emission, first, move, start)
+    single, pair = toxicity.chain_marginals(emission, first, move, start)
+    doc, toxic = np.repeat(np.arange(4), lengths), np.array([True, False, True, True])
+    given, given_moves = toxicity.given_labels(single, pair, first, doc, toxic)
+    got, moves = single[1], pair.sum(axis=2)
     want, want_moves, at = [], np.zeros((2, 2)), 0
+    labelled, labelled_moves = [], np.zeros((2, 2))
     for n in lengths:
         paths = list(itertools.product((0, 1), repeat=n))
         weight = []
@@ -40,8 +46,15 @@ def test_marginals_equal_enumeration(monkeypatch):
         for w, p in zip(weight, paths):
             for a, b in zip(p, p[1:]):
                 want_moves[a, b] += w
+        allowed = np.array([any(p) == toxic[doc[at]] for p in paths])
+        weight = weight * allowed / (weight * allowed).sum()
+        labelled += [sum(w for w, p in zip(weight, paths) if p[i]) for i in range(n)]
+        for w, p in zip(weight, paths):
+            for a, b in zip(p, p[1:]):
+                labelled_moves[a, b] += w
         at += n
-    assert np.allclose(got, want) and np.allclose(moves, want_moves)
+    assert np.allclose(single.sum(axis=0), 1) and np.allclose(got, want) and np.allclose(moves, want_moves)
+    assert np.allclose(given, labelled) and np.allclose(given_moves, labelled_moves)
 
 
 def corpus(n=600):
@@ -75,6 +88,59 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.tag(frame.limit(0), model).count() == 0
 
 
+def plain_tags(model, text):
+    """Score and spans of one text by the two recursions, token after token."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"[a-zA-Zé]+", text)]
+    tokens = toxicity.tokens_of(next(words.runs(pa.array([text]))))
+    assert len(found) == len(tokens.begin)
+    if not found:
+        p = np.zeros(0)
+    else:
+        local = [np.exp([0.0, sum(model.weights[k] for k in column) + model.bias]) for column in tokens.features.T]
+        move = np.exp(model.move)
+        forward = [np.array([1.0, np.exp(model.start)]) * local[0]]
+        for now in local[1:]:
+            forward.append(forward[-1] @ move * now)
+        backward = [np.ones(2)]
+        for now in local[:0:-1]:
+            backward.insert(0, move @ (now * backward[0]))
+        both = [f * b for f, b in zip(forward, backward)]
+        p = np.array([x[1] / x.sum() for x in both])
+    top, expected = max([1e-6, *np.clip(p, 1e-6, 1 - 1e-6)]), p.sum()
+    total = model.curve @ [1, math.log(top / (1 - top)), math.log(1e-3 + expected), math.log1p(expected)]
+    return 1 / (1 + math.exp(-max(-30, min(30, total)))), [(*at, x) for at, x in zip(found, p) if x >= 0.5]
+
+
+def test_scores_and_spans_equal_a_plain_version(spark):
+    rows = corpus(240)
+    model = toxicity.fit([(label, text) for _, text, label in rows])
+    texts = [text for _, text, _ in rows[:40]] + ["", "12", "é vile! vile", "rotten", None, "Vile vile"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = toxicity.tag(frame.unionAll(frame), model).collect()  # repeated rows are rows
+    assert len(got) == 2 * len(texts)
+    for row in got:
+        score, spans = plain_tags(model, row.text or "")
+        assert abs(row.toxic_score - score) < 1e-6
+        assert [(s.start, s.end) for s in row.toxic_spans] == [s[:2] for s in spans]
+        assert np.allclose([s.p for s in row.toxic_spans], [s[2] for s in spans], atol=1e-6)
+
+
+def test_a_rare_language_learns_words_that_clean_rows_hold_too():
+    rnd = random.Random(3)
+    plain, other = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], [f"palabr{chr(97 + i)}" for i in range(20)]
+    rows = [(label, " ".join(rnd.choices(plain, k=30) + (["vile"] if label else []))) for label in (0, 1) for _ in range(200)]
+    for i in range(60):  # few rows; the beginning of the telling word is in clean rows as well
+        tail = ["ascoso"] if i % 4 == 0 else ["ascado"] if i % 4 == 1 else []
+        rows.append((int(i % 4 == 0), " ".join(rnd.choices(other, k=20) + tail + rnd.choices(other, k=5))))
+    rnd.shuffle(rows)
+    model = toxicity.fit(rows)
+    def score(text):
+        tokens = toxicity.tokens_of(next(words.runs(pa.array([text]))))
+        return model.scores(model.marginals(tokens), tokens.text, 1)[0]
+    assert score("palabra ascoso palabrb") > 0.5 > 0.3 > score("palabra ascado palabrb")
+    assert score("wordaa vile wordbb") > 0.5 > 0.3 > score("wordaa palabra wordbb")
+
+
 def test_toxicity_with_nothing_to_learn():
     for sample, low in (([], True), ([(0, "a")], True), ([(1, "a")], False)):
         model = toxicity.fit(sample)
@@ -109,7 +175,7 @@ def test_sample_is_bounded_and_counts_copies_once(spark):
 def test_sample_ranks_few_rows_above_the_planners_limit(spark):
     n, most = 30000, 1500  # Spark cuts partitions before a window for limits of up to 1,000 only
     docs = spark.range(n).selectExpr("id AS doc_id", "cast(id AS string) AS text", "cast(id % 100 = 0 AS int) AS toxic")
-    heads = docs.selectExpr("toxic AS label", "xxhash64(text) AS head", "doc_id AS id", "text").localCheckpoint()
+    heads = docs.selectExpr("toxic AS label", "xxhash64(text) AS head", "doc_id AS id", "text").cache()
     first = {x: sorted(r.head for r in heads.where(f"label = {x}").collect())[:most] for x in (0, 1)}
     kept = sampling.first_ranges(heads, most).collect()
     for x in (0, 1):

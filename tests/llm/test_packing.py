@@ -81,7 +81,7 @@ def test_empty_table(spark):
 
 
 def test_settings_do_not_change_the_packing(spark):
-    pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 1024 AS length").localCheckpoint()
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 1024 AS length").cache()
     seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for parts in ("1", "9"):
