@@ -6,7 +6,7 @@ expressions are written as SQL text: nested lambdas parse in one call.
 
 from __future__ import annotations
 
-from repograin.operators.rules import PAREN
+from repograin.operators.rules import MEMBER, PAREN
 
 ROUNDS = 4  # rounds that most texts need; what is deeper goes on until a round changes nothing
 
@@ -102,6 +102,15 @@ def blank_tokens(text: str, regex: str) -> str:
     return rebuild(text, regex, f"concat({head}, {newlines_of('m')})")
 
 
+def nesting(text: str, brackets: str) -> str:
+    """``top``, how deep the brackets nest (an opener without end counts), and ``d``, how many stay open; in one pass."""
+    level = "if(c in ('(', '[', '{'), a.d + 1, greatest(a.d - 1, 0))"
+    return (
+        f"aggregate(regexp_extract_all({text}, {lit(brackets)}, 0), struct(0 as d, 0 as top), "
+        f"(a, c) -> {let(level, 'l', 'struct(l as d, greatest(a.top, l) as top)')})"
+    )
+
+
 def collapse_groups(text: str, one_line: str, any_lines: str, more: str, rounds: int = ROUNDS) -> str:
     """Collapse bracket groups to ``PAREN``, whole nests at once; deeper nests take another round.
 
@@ -117,19 +126,33 @@ def collapse_groups(text: str, one_line: str, any_lines: str, more: str, rounds:
         return let(f"regexp_replace({t}, {lit(one_line)}, {lit(PAREN)})", "t", rebuild("t", to_line_end, spread))
 
     first = f"aggregate(sequence(1, {rounds}), {text}, (acc, n) -> if(rlike(acc, {lit(more)}), {once('acc')}, acc))"
-    # How deep the brackets nest that are left (an opener without end counts), from one pass over them.
-    level = "if(c in ('(', '[', '{'), a.d + 1, greatest(a.d - 1, 0))"
-    deepest = (
-        f"aggregate(regexp_extract_all(f, {lit(r'[()\[\]{}]')}, 0), struct(0 as d, 0 as top), "
-        f"(a, c) -> {let(level, 'l', 'struct(l as d, greatest(a.top, l) as top)')}, a -> a.top)"
-    )
     further = (
-        f"aggregate(sequence(1, 1 + ceil({deepest} / {DEPTH})), struct(f as t, true as go), "
+        f"aggregate(sequence(1, 1 + ceil({nesting('f', r'[()\[\]{}]')}.top / {DEPTH})), struct(f as t, true as go), "
         f"(a, n) -> if(a.go and rlike(a.t, {lit(more)}), {let(once('a.t'), 'u', 'struct(u as t, u <> a.t as go)')}, a), a -> a.t)"
     )
     return let(first, "f", f"if(rlike(f, {lit(more)}), {further}, f)")
 
 
+# Braces that are dealt with change into other signs, so that each round meets the innermost ones that are left.
+_RAW, _DONE, _PLAIN_SIGNS = "{;\x05}", "\x04\x06\x07\x05", "{};}"
+_BLOCK_WITH_HEAD = r"(?<![^;{}\x04-\x07])[^;{}\x04-\x07]*+\{[^{}]*+\}"
+_HOLDS_FIELDS = rf"\A[^{{]*?(?:\b(?:class|enum|record)\s+[A-Za-z_$][^{{]*|\bnew\s+[^;={{}}]*{PAREN}\s*)\{{"
+_MEMBER_START = rf"([{{;\x05](?:\s|@[\w.]++(?:\s*+{PAREN})?)*+)"
+
+
+def mark_members(text: str) -> str:
+    """Write ``MEMBER`` where a member of a class, enum, record or anonymous class may begin, behind its annotations.
+
+    Blocks are met from the inside out, a round for each level: what stands in front of a block tells whether it holds
+    fields, and only its own statements are marked. A block that never closes is closed at the end of the text. Other
+    rules see ``MEMBER`` as white space.
+    """
+    done = f"translate(if(rlike(m, {lit(_HOLDS_FIELDS)}), regexp_replace(m, {lit(_MEMBER_START)}, {lit('$1' + MEMBER)}), m), {lit(_RAW)}, {lit(_DONE)})"
+    levels = f"aggregate(sequence(1, greatest(1, b.top)), concat(t, repeat('}}', b.d)), (acc, n) -> {rebuild('acc', _BLOCK_WITH_HEAD, done)})"
+    marked = let(nesting("t", r"[{}]"), "b", f"translate({levels}, {lit('\x04\x05\x06\x07')}, {lit(_PLAIN_SIGNS)})")
+    return let(f"translate({text}, {lit(MEMBER + '\x04\x05\x06\x07')}, '     ')", "t", marked)
+
+
 def mask_text(text: str, lang: str) -> str:
     """SQL expression for the masked form of a text in a known language."""
     steps = []
@@ -141,6 +164,8 @@ def mask_text(text: str, lang: str) -> str:
         steps.append(lambda t: rebuild(t, PRELUDE[lang], f"concat({newlines_of('m')}, {head})"))
     if lang in COLLAPSE:
         steps.append(lambda t: collapse_groups(t, *COLLAPSE[lang]))
+    if lang == "java":
+        steps.append(mark_members)
     out = text
     for number, step in enumerate(steps):
         out = let(out, f"s{number}", step(f"s{number}"))

@@ -2,7 +2,7 @@
 
 Rules are data. ``LINE_RULES`` holds ``(lang, type, regex)``; the first capturing group is the name and an empty
 name is dropped. Rules run on masked text (see ``masks.py``): comments are blank, string literals are empty and a
-parenthesised group without braces is the single character ``PAREN``.
+parenthesised group without braces is the single character ``PAREN``; in Java, ``MEMBER`` marks where members begin.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from repograin.schemas import LANG_RULES
 
 PAREN = "\u0002"
+MEMBER = "\u000b"  # white space for all rules that do not ask for it
 _OPEN = f"[({PAREN}]"
 _JS_NAME = r"[A-Za-z_$][\w$]*+"
 _CSHARP = "public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial|extern|unsafe|readonly"
@@ -92,15 +93,16 @@ LINE_RULES: list[tuple[str, str, str]] = [
     (
         "java",
         "function",
-        rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*+(?:(?:{_JAVA})\s+)*+(?:<[^>]*>\s*)?(?!(?:{_NOT_TYPE}|{_JAVA})\b)"
+        rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*+(?:(?:{_JAVA})\s+)*+(?:<[^>]*>\s*)?(?!(?:{_NOT_TYPE}|{_JAVA}|record)\b)"
         rf"[A-Za-z_][\w.]*(?:<[^;={PAREN}]*>)?(?:\[\])*+\s+([A-Za-z_]\w*)\s*{PAREN}\s*(?:throws\s[^{{;]+)?(?:\{{|;|$)",
     ),
     ("java", "class", rf"(?:^|[;{{}}])\s*(?:@\w+{PAREN}?\s*)*+(?:(?:{_JAVA})\s+)*+class\s+([A-Za-z_]\w*)"),
     (
         "java",
         "variable",
-        rf"^\s*(?:@\w+{PAREN}?\s*)*+(?=[^;]*\b(?:public|private|protected|static|volatile|transient)\s)(?:(?:{_JAVA})\s+)++"
-        rf"(?!(?:{_NOT_TYPE}|{_JAVA})\b)[A-Za-z_][\w.]*(?:<[^;=]*>)?(?:\[\])*+\s+([A-Za-z_]\w*)\s*(?:\[\])*+\s*[=;,]",
+        rf"(?:{MEMBER}\s*(?:(?:@\w+{PAREN}?|{_JAVA})\s+)*+"
+        rf"(?!(?:{_NOT_TYPE}|{_JAVA})\b)[A-Za-z_$][\w$.]*(?:<[^;={PAREN}]*>)?(?:\s*\[\s*\])*+\s+|"
+        rf"(?!^)\G\s*(?:\[\s*\]\s*)*+(?:=[^,;{{}}]*)?,\s*)([A-Za-z_$][\w$]*+)(?=\s*(?:\[\s*\]\s*)*+[=;,])",
     ),
     ("json", "key", r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?=\s*:)|"[^"\\]*+(?:\\.[^"\\]*+)*+"'),
     ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+(?!#+[ \t]*$)(.+?)(?:[ \t]+#+)?[ \t]*\r?$"),

@@ -148,7 +148,7 @@ CASES = {
             interface Inner { void signature(); }
         }
         ''',
-        "8:function:close 12:function:names 17:function:signature 3:class:Account 4:variable:CACHE 5:variable:balance",
+        "8:function:close 12:function:names 17:function:signature 3:class:Account 4:variable:CACHE 5:variable:balance 5:variable:limit",
     ),
     "go": (
         "m.go",
@@ -282,6 +282,62 @@ def frame(spark, *rows):
     return spark.createDataFrame(rows, "repo_id string, rel_path string, text string")
 
 
+JAVA_SCOPES = """
+package p;
+import a.b.C;
+@Service
+class Store<T extends Comparable<T>> implements Closeable {
+    int count, limit = 3, grid[][] = {{1}, {2}};
+    final List<Map<String, Integer>> rows = new ArrayList<Map<String, Integer>>();
+    @Inject
+    Clock clock;
+    @Value("x") long[] sizes;
+    String label = "int fake = 1;"; boolean open;
+    { int inBlock = 1; }
+    static { long inStatic = 2; String s; }
+    Store(int a) { int local = a; final int fixed = 1; this.count = local; }
+    int sum(List<Integer> xs) {
+        int total = 0;
+        for (int i = 0; i < 3; i++) { int step = i; total += step; }
+        Runnable job = new Runnable() {
+            int calls;
+            public void run() { int once = 1; calls += once; }
+        };
+        xs.forEach(x -> { int twice = 2 * x; });
+        submit(new Task(1) { Object held = null; void go() { Object gone = null; } });
+        class Inside { char mark; }
+        return total;
+    }
+    enum Level {
+        LOW, HIGH(2) ;
+        int weight;
+        Level() { int w = 1; }
+    }
+    record Point(int x, int y) { static int made; Point { int seen = x; } }
+    interface Shape { int SIDES = 4; class Unit { int one; } }
+    Runnable later = () -> { int hidden = 1; }; int after;
+    int last;
+"""
+
+
+def test_java_fields_are_told_from_locals_by_their_scope(spark):
+    deep = "class D { void f() { " + "if (a) { int no; " * 60 + "new A() { int yes; };" + "}" * 60 + " } int end; }"
+    odd = "class E { \x0b int\x0bodd; \x04 int \x05 real; void f() { \x0b int no; } }"
+    rows = S.extract_symbols(frame(spark, *((1, *r) for r in (("a.java", JAVA_SCOPES), ("deep.java", deep), ("odd.java", odd), ("none.java", "int x;"), ("empty.java", "")))))
+    got = {}
+    for r in rows.where("type = 'variable'").orderBy("file", "line", "pos").collect():
+        got.setdefault(r.file, []).append(f"{r.line}:{r.name}")
+    assert " ".join(got["a.java"]) == (
+        "6:count 6:limit 6:grid 7:rows 9:clock 10:sizes 11:label 11:open 19:calls 23:held 24:mark 29:weight 32:made "
+        "33:one 34:later 34:after 35:last"
+    )
+    assert [x.split(":")[1] for x in got["deep.java"]] == ["yes", "end"]
+    assert [x.split(":")[1] for x in got["odd.java"]] == ["odd", "real"] and set(got) == {"a.java", "deep.java", "odd.java"}
+    functions = [r.name for r in rows.where("type = 'function' AND file = 'a.java'").orderBy("line", "pos").collect()]
+    classes = [r.name for r in rows.where("type = 'class' AND file = 'a.java'").orderBy("line", "pos").collect()]
+    assert functions == ["sum", "run", "go"] and classes == ["Store", "Inside", "Unit"]
+
+
 def test_unknown_and_case_sensitive_suffixes_give_nothing(spark):
     files = frame(spark, ("r", "a.PY", "x = 1"), ("r", "b.txt", "x = 1"), ("r", ".py", "x = 1"), ("r", "noext", "x = 1"))
     assert S.extract_symbols(files).count() == 0
