@@ -29,7 +29,7 @@ WINDOW = 1024
 END_ID = 0
 BLOCK_PIECES = 1 << 10  # results depend on it, and so it follows no setting
 PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
-CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers; a full cache starts anew
+CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers, some 170 bytes each; a full cache starts anew
 
 TAIL = ".,;:!?"  # punctuation that the split rule never joins to a letter or digit before it
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
@@ -44,10 +44,11 @@ class Encoder:
     encoded by themselves.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.cache_words = cache_words
         self.known: dict[str, bytes | None] = {}  # by stretch, for " " + stretch; None where it may not be cut out
         self.tails: dict[str, bytes] = {}
         # Tokens of a byte-level vocabulary are spelled with one character per byte.
@@ -80,7 +81,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.cache_words:
             self.known.clear()
             self.tails.clear()
             new = set().union(*cut)
@@ -98,18 +99,19 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}  # of this worker process, which Spark keeps for later tasks
+_encoders: dict[tuple[str, int], Encoder] = {}  # of this worker process, which Spark keeps for later tasks
 
 
-def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool):
+def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool, cache_words: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task; Spark runs the tasks
-        encoder = _encoders.setdefault(file, None) or Encoder(file)
-        _encoders[file] = encoder
+        if (file, cache_words) not in _encoders:
+            _encoders[file, cache_words] = Encoder(file, cache_words)
+        encoder = _encoders[file, cache_words]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -140,10 +142,11 @@ def document_pieces(
     end_id: int = END_ID,
     with_ids: bool = False,
     place_col: str | None = None,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``place``, ``ids``) per piece: full windows, then the tail.
 
-    Null text is empty: such a document is its end id alone.
+    Null text is empty: such a document is its end id alone. ``cache_words`` bounds what a worker remembers, not the result.
     """
     placed = place_col is not None
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -151,7 +154,7 @@ def document_pieces(
     ship(docs.sparkSession)
     place = [F.col(place_col).cast("bigint")] if placed else []
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *place)
-    return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids, placed), schema)
+    return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids, placed, cache_words), schema)
 
 
 class BestFit:

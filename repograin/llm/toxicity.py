@@ -27,6 +27,7 @@ from repograin.llm.ship import ship
 
 BITS = 20
 KINDS = 7  # feature kinds: word, heads of 3, 4, 5 and 6 bytes, previous and next word
+RUN_BYTES = 1 << 19  # texts are worked off in runs of about this size; bounds the arrays of a task
 ROWS = 256  # tokens a column of the recursion has at most
 
 
@@ -65,11 +66,11 @@ def _emission(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return out
 
 
-def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: float, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each tag per token (2 x tokens), and of each pair of tags per token that follows another.
 
     ``emission`` is the score of tag 1 against tag 0; ``move`` holds the transition scores; ``first`` marks where a
-    sequence begins, which forgets all before it.
+    sequence begins, which forgets all before it. Without ``pairs`` only the tokens' own probabilities are found.
     """
     n = len(emission)
     if not n:
@@ -113,6 +114,8 @@ def chain_marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray, s
     forward, backward = forward.reshape(2, -1)[:, :n], backward.reshape(2, -1)[:, :n]
     joint = forward * backward
     joint /= joint.sum(axis=0)
+    if not pairs:
+        return joint, np.zeros((2, 2, 0))
     inner = np.flatnonzero(~first)
     pair = forward[:, None, inner - 1] * m[:, :, inner] * backward[None, :, inner]
     pair /= pair.sum(axis=(0, 1))
@@ -148,7 +151,7 @@ class Model:
     curve: np.ndarray  # logistic weights over ``_summary``
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        return chain_marginals(_emission(self.weights, tokens.features) + self.bias, tokens.first, self.move, self.start)[0][1]
+        return chain_marginals(_emission(self.weights, tokens.features) + self.bias, tokens.first, self.move, self.start, pairs=False)[0][1]
 
     def scores(self, marginals: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_summary(marginals, text, n) @ self.curve, -30, 30)))
@@ -233,7 +236,7 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
         other += 0.3 * slope / np.sqrt(other_pace)
     weights[used] = w
     model = Model(weights, other[0] - 3.0, other[1:5].reshape(2, 2), float(other[5]), np.zeros(4))
-    p = chain_marginals(_emission(weights, features) + model.bias, first, model.move, model.start)[0][1]
+    p = chain_marginals(_emission(weights, features) + model.bias, first, model.move, model.start, pairs=False)[0][1]
     # The sample has as many rows of either label; weights bring back the share of toxic rows among all.
     share = np.array([(~toxic).mean(), toxic.mean()])
     weight = (np.array([1 - toxic_share, toxic_share]) / share)[toxic.astype(int)] if toxic_share else np.ones(len(toxic))
@@ -297,7 +300,7 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", span_at: float =
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
             scores, counts, starts, ends, odds = np.zeros(batch.num_rows), np.zeros(batch.num_rows, int), [], [], []
-            for part in words.runs(batch.column(batch.schema.get_field_index(text_col))):
+            for part in words.runs(batch.column(batch.schema.get_field_index(text_col)), size=RUN_BYTES):
                 tokens = tokens_of(part)
                 p = own.marginals(tokens)
                 rows = slice(part.first, part.first + len(part))

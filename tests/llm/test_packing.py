@@ -80,6 +80,13 @@ def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string"), FILE).count() == 0
 
 
+def test_a_small_cache_gives_the_same_ids():
+    texts = [" ".join(f"word{i * j % 97}, é{i}" for j in range(30)) for i in range(40)]
+    small, large = packing.Encoder(FILE, 50), packing.Encoder(FILE)
+    assert [small.encode([t]) for t in texts] == [large.encode([t]) for t in texts]
+    assert len(small.known) <= 150 < len(large.known)  # a batch and the cores of its stretches may exceed the bound
+
+
 def test_settings_do_not_change_the_packing(spark):
     pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 1024 AS length").cache()
     seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
