@@ -28,6 +28,7 @@ from repograin.llm.ship import ship
 BITS = 20
 KINDS = 7  # feature kinds: word, heads of 3, 4, 5 and 6 bytes, previous and next word
 RUN_BYTES = 1 << 19  # texts are worked off in runs of about this size; bounds the arrays of a task
+CAUTION = 1.64  # a first guess counts a word from the lower end (5 %) of its log odds
 ROWS = 256  # tokens a column of the recursion has at most
 
 
@@ -169,7 +170,7 @@ def _summary(marginals: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 CURVE = np.array([0.0, 1.0, 0.0, 0.0])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, ridge: float = 5.0, rounds: int = 30) -> np.ndarray:
     """Logistic weights, drawn towards ``prior`` where there are few rows."""
     w, loss = prior.copy(), lambda v: (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + ridge / 2 * ((v - prior) ** 2).sum()
     for _ in range(rounds):
@@ -219,6 +220,9 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
     dense[used] = np.arange(len(used))
     place = np.stack([dense[kind[learn]] for kind in features])
     guess = _first_guess(place[:5], len(used), doc, toxic, held)
+    marked = np.bincount(doc, weights=guess, minlength=len(toxic)) > 0
+    use = (~toxic | marked)[doc]  # a toxic document in which nothing stands out could only be learned by heart
+    begin, doc, place, guess = begin[use], doc[use], place[:, use], guess[use]
     inner = np.flatnonzero(~begin)
     guess_moves = np.array([[(a[inner - 1] * b[inner]).sum() for b in (1 - guess, guess)] for a in (1 - guess, guess)])
     w, pace = np.zeros(len(used)), np.full(len(used), 1e-2)
@@ -248,7 +252,7 @@ def fit(sample: list[tuple], toxic_share: float | None = None, most_tokens: int
 def _first_guess(place: np.ndarray, buckets: int, doc: np.ndarray, toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
     """A first probability of each token: how its best word or beginning compares with the best of its toxic document.
 
-    A bucket counts by the lower end (5 %) of its log odds between toxic and clean documents, so what one document holds by
+    A bucket counts by the lower end (``CAUTION`` deviations) of its log odds between toxic and clean documents, so what one document holds by
     chance does not count, and no least share or ratio decides.
     """
     documents = np.array([(~toxic & ~held).sum(), (toxic & ~held).sum()])
@@ -257,7 +261,7 @@ def _first_guess(place: np.ndarray, buckets: int, doc: np.ndarray, toxic: np.nda
         bucket, of = np.divmod(np.unique(kind * np.int64(len(toxic)) + doc), len(toxic))
         count = np.stack([np.bincount(bucket[toxic[of] == label], minlength=buckets) for label in (False, True)]) + 0.5
         rate = np.log(count / (documents[:, None] + 1))
-        odds = np.maximum(odds, rate[1] - rate[0] - 1.64 * np.sqrt((1 / count).sum(axis=0)))
+        odds = np.maximum(odds, rate[1] - rate[0] - CAUTION * np.sqrt((1 / count).sum(axis=0)))
     best = np.zeros(len(doc))
     for kind in place:
         np.maximum(best, odds[kind], out=best)
