@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from repograin.llm import words
 from repograin.llm.columns import guarded
 from repograin.llm.components import components
+from repograin.llm.memory import tidy
 from repograin.llm.scratch import bucket_of, bucket_table, less_listed, written
 from repograin.llm.ship import ship
 
@@ -187,7 +188,7 @@ def near_duplicates(
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(
-        texts.mapInArrow(_sketches(shingle), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"),
+        texts.mapInArrow(tidy(_sketches(shingle)), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"),
         "near-sketches",
     )
     key = ["n", "h1", "h2"]
@@ -232,7 +233,7 @@ def near_duplicates(
     wanted = written(wanted.withColumnRenamed("c", "doc_id"), "near-wanted")
     nearby = texts.withColumn("_bucket", bucket_of("doc_id")).join(F.broadcast(bucket_table(wanted, "doc_id")), "_bucket", "left_semi")
     bodies = nearby.join(wanted, "doc_id")
-    sets = written(bodies.select("doc_id", "text").mapInArrow(_full_sets(shingle), "c bigint, s array<bigint>"), "near-sets")
+    sets = written(bodies.select("doc_id", "text").mapInArrow(tidy(_full_sets(shingle)), "c bigint, s array<bigint>"), "near-sets")
     links = written(_verified(likely, sets, percent), "near-links")
 
     found = components(links)

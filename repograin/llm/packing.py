@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograin.llm.memory import tidy
 from repograin.llm.scratch import written
 from repograin.llm.ship import ship
 from repograin.operators.ordered import block_running_sum
@@ -154,7 +155,7 @@ def document_pieces(
     ship(docs.sparkSession)
     place = [F.col(place_col).cast("bigint")] if placed else []
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *place)
-    return rows.mapInArrow(_pieces(tokenizer_file, window, end_id, with_ids, placed, cache_words), schema)
+    return rows.mapInArrow(tidy(_pieces(tokenizer_file, window, end_id, with_ids, placed, cache_words)), schema)
 
 
 class BestFit:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograin.llm import words
+from repograin.llm.memory import tidy
 from repograin.llm.sampling import labelled_sample
 from repograin.llm.ship import ship
 
@@ -303,28 +304,21 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", span_at: float =
         own = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            scores, counts, starts, ends, odds = np.zeros(batch.num_rows), np.zeros(batch.num_rows, int), [], [], []
             for part in words.runs(batch.column(batch.schema.get_field_index(text_col)), size=RUN_BYTES):
                 tokens = tokens_of(part)
                 p = own.marginals(tokens)
-                rows = slice(part.first, part.first + len(part))
-                scores[rows] = own.scores(p, tokens.text, len(part))
+                scores = own.scores(p, tokens.text, len(part))
                 hit = np.flatnonzero(p >= span_at)
-                counts[rows] = np.bincount(tokens.text[hit], minlength=len(part))
+                counts = np.bincount(tokens.text[hit], minlength=len(part))
                 characters = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
                 base = characters[part.offsets[tokens.text[hit]]]
-                starts.append(characters[tokens.begin[hit]] - base)
-                ends.append(characters[tokens.end[hit]] - base)
-                odds.append(p[hit])
-            join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            cells = pa.StructArray.from_arrays(
-                [pa.array(join(starts, np.int32)), pa.array(join(ends, np.int32)), pa.array(join(odds, float))],
-                fields=list(kind.value_type),
-            )
-            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), cells)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores), spans.cast(kind)], [*batch.schema.names, "toxic_score", "toxic_spans"]
-            )
+                starts, ends = ((characters[x[hit]] - base).astype(np.int32) for x in (tokens.begin, tokens.end))
+                cells = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), pa.array(p[hit])], fields=list(kind.value_type))
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), cells)
+                own_rows = batch.slice(part.first, len(part))  # a batch per run: neither side holds a second copy of a whole one
+                yield pa.RecordBatch.from_arrays(
+                    [*own_rows.columns, pa.array(scores), spans.cast(kind)], [*batch.schema.names, "toxic_score", "toxic_spans"]
+                )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, toxic_score double, toxic_spans array<struct<start:int,end:int,p:double>>")
+    return docs.mapInArrow(tidy(run), f"{kinds}, toxic_score double, toxic_spans array<struct<start:int,end:int,p:double>>")

@@ -102,7 +102,3 @@ def runs(column: pa.Array, lower: bool = True, size: int = CHUNK_BYTES) -> Itera
         own = data[offsets[row] : offsets[upto]]
         yield Run(row, LOWER[own] if lower else own, offsets[row : upto + 1] - offsets[row])
         row = upto
-
-
-def segment_sums(values: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(segment, weights=values, minlength=n)
