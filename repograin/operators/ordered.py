@@ -15,9 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repograin.session import checkpoint
+from repograin.session import checkpoint, written
 
 BLOCK = 1 << 16
+SLICE_ROWS = 1 << 21  # rows that one task sorts, about
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
@@ -90,9 +91,14 @@ def block_row_number(
 
 
 def sorted_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Globally sorted rows with ``_slice`` (range partition) and ``_at`` (place in the global order)."""
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    """Globally sorted rows with ``_slice`` (range partition) and ``_at`` (place in the global order).
+
+    Rows are written first: a range sort reads its input twice (sample, then sort), and their count gives the number
+    of slices, so that a slice has about ``SLICE_ROWS`` rows at most, whatever the session's shuffle setting.
+    """
+    rows = written(df, "unsorted")
+    n = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
+    placed = checkpoint(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
     return placed.withColumn("_at", F.monotonically_increasing_id()).withColumn(
         "_slice", F.shiftright("_at", _SLICE_BITS)
     )

@@ -70,6 +70,22 @@ def test_sorted_row_number_with_sums(frame, slices):
     assert len(rows) == len(ROWS)
 
 
+def test_slices_follow_the_number_of_rows(frame, monkeypatch):
+    setting = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = O.sorted_slices(frame, ["k", "pos"])
+    assert few.select("_slice").distinct().count() <= setting
+    monkeypatch.setattr(O, "SLICE_ROWS", max(1, len(ROWS) // (4 * setting)))
+    sizes = [r["count"] for r in O.sorted_slices(frame, ["k", "pos"]).groupBy("_slice").count().collect()]
+    assert sum(sizes) == len(ROWS)
+    assert len(sizes) > 2 * setting
+    rows = O.sorted_row_number(frame, ["k", "pos"], "rn").collect()
+    assert [r.rn for r in sorted(rows, key=lambda r: (r.k, r.pos))] == list(range(1, len(ROWS) + 1))
+
+
+def test_slices_of_an_empty_table(frame):
+    assert O.sorted_row_number(frame.where("false"), ["k", "pos"], "rn", {"before": "v"}).collect() == []
+
+
 @pytest.mark.parametrize("slices", [1, 5, 40])
 def test_sorted_previous(frame, slices):
     rows = sorted(O.sorted_previous(frame, ["k"], ["pos"], "v", "prev", slices).collect(), key=lambda r: (r.k, r.pos))
