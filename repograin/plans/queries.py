@@ -1030,15 +1030,17 @@ def summarise_changed(spark, sf):
 @register(
     "request_chunk_sizes",
     w("docs", """SELECT chunk, part, count(*) AS n_requests, CAST(sum(b) AS BIGINT) AS bytes FROM (
-      SELECT b, (row_number() OVER (ORDER BY repo_id, rel_path) - 1) // 100 AS chunk,
-        CAST(coalesce(sum(b) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // (524288001 - max(b) OVER ()) AS BIGINT) AS part
-      FROM (SELECT repo_id, rel_path, octet_length(encode(text)) AS b FROM docs)) GROUP BY chunk, part"""),
+      SELECT b, (seq - 1) // 100 AS chunk, CAST(CASE WHEN b * 2 <= 60000 THEN start_byte // (60001 - longest) ELSE -seq END AS BIGINT) AS part
+      FROM (SELECT b, row_number() OVER (ORDER BY repo_id, rel_path) AS seq, max(small) OVER () AS longest,
+          coalesce(sum(small) OVER (ORDER BY repo_id, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_byte
+        FROM (SELECT *, CASE WHEN b * 2 <= 60000 THEN b ELSE 0 END AS small
+          FROM (SELECT repo_id, rel_path, octet_length(encode(text)) AS b FROM docs)))) GROUP BY chunk, part"""),
 )
 def request_chunk_sizes(spark, sf):
     sizes = _docs(spark, sf).select(
         "repo_id", F.col("rel_path").alias("custom_id"), F.octet_length("text").cast("bigint").alias("bytes")
     )
-    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100))
+    return requests.chunk_sizes(requests.chunk_requests(sizes, max_requests=100, max_bytes=60_000))
 
 
 @register(

@@ -1,5 +1,7 @@
 import json
+from collections import Counter
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from repograin.functions.paths import split_ext, suffix
 from repograin.functions.text import summary_from_answer, time_label
 from repograin.operators import requests as R
+from repograin.plans.queries import ORACLES, QUERIES
 from repograin.sources import stores
 
 
@@ -72,6 +75,21 @@ def test_lines_near_or_above_the_limit_stay_alone(spark, tmp_path):
         stores.write_requests(wide, str(tmp_path / "out"), max_bytes=60)
 
 
+def test_request_chunk_sizes_splits_by_bytes(spark, tmp_path):
+    sizes = [(i * 7919) % 9000 for i in range(250)] + [30_000, 30_001, 60_000, 60_001, 90_000, 0]
+    rows = [(i, "é" * (n // 2) + "x" * (n % 2), "en", f"s{i % 3}") for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame([*rows, (len(rows), None, "en", "s0")], "doc_id bigint, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    columns = ["chunk", "part", "n_requests", "bytes"]
+    got = [tuple(r) for r in QUERIES["request_chunk_sizes"](spark, str(tmp_path)).select(columns).collect()]
+    assert all(n == 1 or b <= 60_000 for _, _, n, b in got)
+    assert all(n <= 100 for _, _, n, _ in got) and any(n > 1 and part > 0 for _, part, n, _ in got)
+    assert sum(r[2] for r in got) == len(rows) + 1 and sum(r[3] or 0 for r in got) == sum(sizes)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert Counter(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['request_chunk_sizes']})").fetchall()) == Counter(got)
+
+
 def test_results_of_several_folders_keep_their_order(spark, tmp_path):
     line = lambda i, text: json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": json.dumps({"summary": text})}}]}}})
     files = {"b/part-1": [("x", "early"), ("y", "b1")], "b/part-2": [("x", "late"), ("z", "z1"), ("z", "z2")], "a/part-0": [("y", "a0")], "a/part-1": [("y", "a1")]}
