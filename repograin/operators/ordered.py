@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from repograin.session import checkpoint, written
 
 BLOCK = 1 << 16
+TASK_ROWS = 1 << 18  # rows that one task ranks or gathers into lists, about
 SLICE_ROWS = 1 << 21  # rows that one task sorts, about
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -70,23 +71,48 @@ def block_carry_last(
     )
 
 
+def _block_ranked(
+    df: DataFrame, keys: list[str], position: str, order: Sequence[str], out: str, block: int
+) -> tuple[DataFrame, int]:
+    """``block_row_number`` and the number of tasks it deals the rows out to."""
+    rows = df.withColumn("_blk", _block_of(position, block))
+    counts = checkpoint(rows.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n")))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    partials = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    ranked = rows.repartition(tasks, *keys, "_blk").withColumn("_in", F.row_number().over(inside))
+    # Both sides are dealt out alike and the rows are sorted already, so a merge join needs no further sort of them.
+    carried = _join_partials(ranked, partials.repartition(tasks, *keys, "_blk").hint("merge"), [*keys, "_blk"])
+    return carried.withColumn(out, F.col("_carry") + F.col("_in")).drop("_blk", "_carry", "_in"), tasks
+
+
 def block_row_number(
     df: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], out: str, block: int = BLOCK
 ) -> DataFrame:
-    """1-based row number in the key by ``order``; ``position`` must be the leading order column."""
+    """1-based row number in the key by ``order``; ``position`` must be the leading order column.
+
+    A task sorts about ``TASK_ROWS`` rows (more where one block has more), whatever the session's shuffle setting.
+    """
+    return _block_ranked(df, list(keys), position, order, out, block)[0]
+
+
+def block_lists(
+    df: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], value: Column, per_row: int, block: int = BLOCK
+) -> DataFrame:
+    """``value`` of each key as arrays in ``order`` of at most ``per_row`` entries: ``keys, part, values``, none dropped."""
     keys = list(keys)
-    rows = df.withColumn("_blk", _block_of(position, block))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    partials = (
-        rows.groupBy(*keys, "_blk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
-    )
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    ranked, tasks = _block_ranked(df, keys, position, order, "_rn", block)
     return (
-        _join_partials(rows, partials, [*keys, "_blk"])
-        .withColumn(out, F.col("_carry") + F.row_number().over(inside))
-        .drop("_blk", "_carry")
+        ranked.select(
+            *keys, F.floor((F.col("_rn") - 1) / per_row).cast("bigint").alias("part"),
+            F.struct("_rn", value.alias("v")).alias("_s"),
+        )
+        .repartition(tasks, *keys, "part")
+        .groupBy(*keys, "part")
+        .agg(F.array_sort(F.collect_list("_s")).alias("_l"))  # at most per_row entries
+        .select(*keys, "part", F.transform("_l", lambda s: s["v"]).alias("values"))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repograin.functions import paths
 from repograin.functions.constants import EXT_LANG, SYMBOLS_PER_LINE
 from repograin.functions.text import preview, short_tag, time_label
-from repograin.operators.ordered import block_carry_last, block_row_number
+from repograin.operators.ordered import block_carry_last, block_lists
 
 SYMBOL_TABLE_HEAD = ["| File | Line | Type | Name |", "|------|------|------|------|"]
 SUMMARY_TABLE_HEAD = ["| File | Summary | Last Updated |", "|------|---------|--------------|"]
@@ -60,19 +60,10 @@ def symbols_json(symbols: DataFrame) -> DataFrame:
 
 def symbols_compact(symbols: DataFrame, per_line: int = SYMBOLS_PER_LINE) -> DataFrame:
     """Compact lines ``line:tag:name line:tag:name ...``, at most ``per_line`` symbols each, none dropped."""
-    ranked = block_row_number(symbols, ["repo_id", "file"], "line", ["line", "type_ord", "pos"], "_rn", LINE_BLOCK)
     token = F.concat_ws(":", F.col("line").cast("string"), short_tag("type"), F.col("name"))
-    return (
-        ranked.select(
-            "repo_id", "file", F.floor((F.col("_rn") - 1) / per_line).cast("bigint").alias("part"),
-            F.struct("_rn", token.alias("t")).alias("_s"),
-        )
-        .groupBy("repo_id", "file", "part")
-        .agg(F.array_sort(F.collect_list("_s")).alias("_l"))  # at most per_line entries
-        .select(
-            "repo_id", "file", "part", F.size("_l").alias("n_symbols"),
-            F.array_join(F.transform("_l", lambda s: s["t"]), " ").alias("value"),
-        )
+    order = ["line", "type_ord", "pos"]
+    return block_lists(symbols, ["repo_id", "file"], "line", order, token, per_line, LINE_BLOCK).select(
+        "repo_id", "file", "part", F.size("values").alias("n_symbols"), F.array_join("values", " ").alias("value")
     )
 
 

@@ -16,7 +16,7 @@ from repograin.functions import paths
 from repograin.functions.constants import SYMBOLS_PER_LINE
 from repograin.functions.text import short_tag, table_tag
 from repograin.operators.masks import let, lit, mask_by_language, mask_text, newlines_of, rebuild
-from repograin.operators.ordered import block_row_number, sorted_row_number
+from repograin.operators.ordered import block_lists, sorted_row_number
 from repograin.operators.rules import LINE_RULES, rules_frame
 from repograin.schemas import NOTEBOOK
 from repograin.session import written
@@ -278,13 +278,8 @@ def file_profile(symbols: DataFrame) -> DataFrame:
 
 def profile_names(symbols: DataFrame, per_row: int = SYMBOLS_PER_LINE) -> DataFrame:
     """Names per file and type in line order, in rows of at most ``per_row`` names."""
-    ranked = block_row_number(symbols, [*KEY, "type"], "line", ["line", "pos"], "_rn", LINE_BLOCK)
-    return (
-        ranked.withColumn("part", F.floor((F.col("_rn") - 1) / per_row).cast("bigint"))
-        .groupBy(*KEY, "type", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", "name"))).alias("_s"))
-        .select(*KEY, "type", "part", F.transform("_s", lambda x: x["name"]).alias("names"))
-    )
+    lists = block_lists(symbols, [*KEY, "type"], "line", ["line", "pos"], F.col("name"), per_row, LINE_BLOCK)
+    return lists.withColumnRenamed("values", "names")
 
 
 def delimited_lines(files: DataFrame, delimiter: str = "$$") -> DataFrame:

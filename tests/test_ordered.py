@@ -59,6 +59,26 @@ def test_block_row_number(frame, block):
     assert got == want
 
 
+def test_tasks_of_block_row_number_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(O, "TASK_ROWS", 200, raising=False)
+    rows = spark.range(20_000).select((F.col("id") % 500).alias("k"), F.floor(F.col("id") / 500).alias("pos"))
+    ranked = O.block_row_number(rows, ["k"], "pos", ["pos"], "out").withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in ranked.groupBy("task").count().collect()]
+    assert sum(tasks) == 20_000 and max(tasks) <= 1_000
+    assert ranked.filter(F.col("out") != F.col("pos") + 1).isEmpty()
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_block_lists(frame, block):
+    lists = O.block_lists(frame, ["k"], "pos", ["pos"], F.col("v"), 30, block)
+    got = {(r.k, r.part): r["values"] for r in lists.collect()}
+    want = {}
+    for key, rows in by_key().items():
+        for n, (_, _pos, v, _tag) in enumerate(sorted(rows, key=lambda r: r[1])):
+            want.setdefault((key, n // 30), []).append(v)
+    assert got == want
+
+
 @pytest.mark.parametrize("slices", [1, 5])
 def test_sorted_row_number_with_sums(frame, slices):
     rows = O.sorted_row_number(frame, ["k", "pos"], "rn", {"before": "v"}, slices).collect()
