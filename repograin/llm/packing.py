@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ BLOCK_PIECES = 1 << 10  # results depend on it, and so it follows no setting
 PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
 CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers, some 170 bytes each; a full cache starts anew
 
+RUN_TEXTS, RUN_BYTES = 2048, 1 << 22  # texts that are encoded together, at most (a longer text by itself)
 TAIL = ".,;:!?"  # punctuation that the split rule never joins to a letter or digit before it
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
 
@@ -40,18 +42,24 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     The vocabulary never merges across the pieces of its split rule, and a single space always goes to what follows
-    it. So a text is cut at its spaces, and each distinct stretch, with its space, is encoded once and remembered. Where
-    white space meets a space the rule looks farther; such texts, and those that spell the special token out, are
-    encoded by themselves.
+    it. So texts are cut at their spaces, Arrow finds the distinct stretches of a run of texts, and the ids of the texts
+    are gathered from those of the stretches. A stretch is taken apart further at single line feeds and before
+    punctuation at its end; what is left, its cores, is encoded once and remembered. Where white space meets a space the
+    rule looks farther; such texts, and those that spell the special token out, are encoded by themselves.
     """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # its own memory of words only costs where each is asked for once
         self.cache_words = cache_words
-        self.known: dict[str, bytes | None] = {}  # by stretch, for " " + stretch; None where it may not be cut out
+        self.known: dict[str, bytes] = {}  # cores and stretches put together of them, for " " + stretch
+        self.bare: dict[str, bytes] = {}  # cores without a space before them: after a line feed or where a text begins
+        self.joined: list[str] = []  # what is put together; an eighth of the memory, and the first to be forgotten
         self.tails: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
         # Tokens of a byte-level vocabulary are spelled with one character per byte.
         size = self.tokenizer.get_vocab_size()
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
@@ -60,45 +68,134 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Encode all stretches as one text; the bytes of its tokens tell where each stretch ends."""
-        # A stretch that ends in punctuation is one without it and a piece of its own.
-        cores = {x: core for x in stretches if x[-1:] in TAIL and (core := x.rstrip(TAIL)) and core[-1].isalnum()}
-        stretches = stretches.difference(cores).union(c for c in cores.values() if c not in self.known)
-        new = [x for x in stretches if x == x.strip() != "" and SPECIAL not in x]
-        self.known.update(dict.fromkeys(stretches))
-        if new:
-            ids = self._whole([" " + " ".join(new)])[0]
-            token_ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
-            ends = np.cumsum([len(x.encode()) + 1 for x in new])
-            cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
-            self.known.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
-        for x, core in cores.items():
-            tail, ids = x[len(core) :], self.known[core]
-            if tail not in self.tails:
-                self.tails[tail] = self._whole([tail])[0]
-            self.known[x] = None if ids is None else ids + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.cache_words:
-            self.known.clear()
-            self.tails.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        look, heads = self.known.__getitem__, self._whole([c[0] for c in cut])
+    def _learn(self, store: dict[str, bytes], before: str, cores: list[str]) -> None:
+        """Encode all cores as one text; the bytes of its tokens tell where each core ends."""
+        if not cores:
+            return
+        ids = self._whole([before + before.join(cores)])[0]
+        token_ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
+        ends = np.cumsum([len(x.encode()) + 1 for x in cores])
+        cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
+        skip = len(self.feed) if before == "\n" else 0  # a line feed is a piece of its own, a space is not
+        store.update(zip(cores, [ids[a + skip : b] for a, b in zip(cuts, cuts[1:])]))
+
+    def _forget_joined(self) -> None:
+        for x in self.joined:
+            del self.known[x]
+        self.joined.clear()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self._whole([tail])[0]
+        return self.tails[tail]
+
+    @staticmethod
+    def _cut(x: str) -> tuple[str, ...] | None:
+        """Core and punctuation in turn, a pair for each stretch between line feeds; None if ``x`` may not be cut out."""
+        lines, out = x.split("\n"), []
+        for line in lines:
+            core = line.rstrip(TAIL)
+            if not core.isalnum():
+                break
+            out += [core, line[len(core) :]]
+        else:
+            return tuple(out)
+        if x != x.strip() or x == "" or SPECIAL in x:
+            return None
+        if len(lines) > 1 and not all(line and line == line.strip() for line in lines):
+            return x, ""  # white space meets a line feed: this stretch stays whole
         out = []
-        for text, stretches, head in zip(texts, cut, heads):
-            ids = list(map(look, stretches))
-            ids[0] = head
-            first = stretches[0]
-            try:
-                out.append(b"".join(ids) if first == first.rstrip() and SPECIAL not in first else self._whole([text])[0])
-            except TypeError:  # a stretch that may not be cut out
-                out.append(self._whole([text])[0])
+        for line in lines:
+            core = line.rstrip(TAIL)
+            core = core if core and core[-1].isalnum() else line
+            out += [core, line[len(core) :]]
+        return tuple(out)
+
+    def _ids(self, stretches: list[str], bare: bool = False) -> list[bytes | None]:
+        """Ids of distinct stretches, each with the space before it unless ``bare``; None where one may not be cut out."""
+        first = self.bare if bare else self.known
+        ids = list(map(first.get, stretches))
+        left = [at for at, x in enumerate(ids) if x is None]
+        plain = [x for at in left if (x := stretches[at]).isalnum()]
+        apart = {at: cut for at in left if not (x := stretches[at]).isalnum() and (cut := self._cut(x))}
+        after_space = set(plain).union([cut[0] for cut in apart.values()]).difference(first)
+        after_feed = {core for cut in apart.values() if len(cut) > 2 for core in cut[2::2]}.difference(self.bare)
+        new = len(self.bare) + len(after_space) + len(after_feed)
+        if len(self.known) + new > self.cache_words:
+            self._forget_joined()
+        if len(self.known) + new > self.cache_words:
+            for store in (self.known, self.bare, self.joined, self.tails):
+                store.clear()
+            return self._fresh(stretches, bare)
+        self._learn(first, "\n" if bare else " ", list(after_space))
+        self._learn(self.bare, "\n", list(after_feed.difference(self.bare)))  # ``first`` may be the same
+        if len(self.joined) + len(apart) > self.cache_words // 8:
+            self._forget_joined()
+        for at, cut in apart.items():
+            x = first[cut[0]]
+            if cut[1]:
+                x += self._tail(cut[1])
+            for core, tail in zip(cut[2::2], cut[3::2]):
+                x += self.feed + self.bare[core] + (self._tail(tail) if tail else b"")
+            ids[at] = x
+            if not bare and len(cut) + len(cut[1]) > 2:
+                self.known[stretches[at]] = x
+                self.joined.append(stretches[at])
+        for at in left:
+            if ids[at] is None:
+                x = stretches[at]
+                ids[at] = first.get(x) if x else b"" if bare else None
+        return ids
+
+    def _fresh(self, stretches: list[str], bare: bool) -> list[bytes | None]:
+        """``_ids`` with an empty memory; what does not fit into it goes in halves."""
+        if len(stretches) > max(1, self.cache_words // 16):
+            half = len(stretches) // 2
+            return self._ids(stretches[:half], bare) + self._ids(stretches[half:], bare)
+        kept, self.cache_words = self.cache_words, 1 << 62
+        try:
+            return self._ids(stretches, bare)
+        finally:
+            self.cache_words = kept
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        starts = pieces.offsets.to_numpy()
+        which = coded.indices.to_numpy().copy()
+        stretches = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # What a text begins with has no space before it.
+        heads = [stretches[x] for x in which[starts[:-1]].tolist()]
+        which[starts[:-1]] = np.arange(len(stretches), len(stretches) + len(texts))
+        of_stretch = self._ids(stretches)
+        of_stretch += self._ids(heads, bare=True)
+        size = np.array([-1 if x is None else len(x) // 4 for x in of_stretch], np.int32)
+        alone = np.minimum.reduceat(size[which], starts[:-1]) < 0
+        np.maximum(size, 0, out=size)
+        vocabulary = np.frombuffer(b"".join([x or b"" for x in of_stretch]), "<u4")
+        lengths = size[which]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - (ends - lengths), lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = vocabulary[places].tobytes()
+        cuts = [0, *(4 * ends[starts[1:] - 1].astype(np.int64)).tolist()]
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for at in np.flatnonzero(alone).tolist():
+            out[at] = self._whole([texts[at]])[0]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        run: list[str] = []
+        size = 0
+        for text in texts:
+            if run and (len(run) == RUN_TEXTS or size + len(text) > RUN_BYTES):
+                out += self._run(run)
+                run, size = [], 0
+            run.append(text)
+            size += len(text)
+        return out + self._run(run) if run else out
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}  # of this worker process, which Spark keeps for later tasks
 
@@ -114,8 +211,8 @@ def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool, c
             _encoders[file, cache_words] = Encoder(file, cache_words)
         encoder = _encoders[file, cache_words]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, RUN_TEXTS):
+                part = batch.slice(at, RUN_TEXTS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 out: list[tuple] = []
                 heads = list(zip(*(part.column(i).to_pylist() for i in (0, 2)[: 1 + placed])))

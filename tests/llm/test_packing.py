@@ -87,6 +87,30 @@ def test_a_small_cache_gives_the_same_ids():
     assert len(small.known) <= 150 < len(large.known)  # a batch and the cores of its stretches may exceed the bound
 
 
+def test_cores_are_encoded_once():
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = ["x " + " ".join(f"{a}{end}\n{b}{end} {b}{end}" for a in words) for b in words for end in (",", ".")]
+    encoder = packing.Encoder(FILE)
+    whole, given = encoder._whole, []
+    encoder._whole = lambda texts: given.extend(texts) or whole(texts)
+    got = [ids for at in range(0, len(texts), 16) for ids in encoder.encode(texts[at : at + 16])]
+    assert sum(map(len, given)) < 10 * sum(map(len, words))
+    assert got == whole(texts)
+
+
+def test_runs_and_odd_stretches_keep_the_ids(monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(packing, "RUN_BYTES", 200)
+    parts = ["word", "Ärger", "x1", "a)", "(b", "'s", "", "½", "e\u0301", "tab\tin", "***", "日本", packing.SPECIAL]
+    ends = ["", ",", ".", "...", "?!", ";:", "\n", ".\n", "\n\n", "\r\n", ",\nnext", ".\nNext.\nmore,", "\n,", "\x0b"]
+    stretch = lambda: rnd.choice(parts) + rnd.choice(ends)
+    texts = [" ".join(stretch() for _ in range(rnd.randint(0, 4))) for _ in range(3000)] + ["word, " * 100 + "end.\n"]
+    whole = tokenizers.Tokenizer.from_file(FILE).encode_batch(texts, add_special_tokens=False)
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in whole]
+    assert packing.Encoder(FILE).encode(texts) == want
+    assert packing.Encoder(FILE, 30).encode(texts) == want
+
+
 def test_settings_do_not_change_the_packing(spark):
     pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 1024 AS length").cache()
     seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
