@@ -41,11 +41,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in windows of 1024 tokens; windows follow the stored mixed order."""
     placed = stored_places(docs.select("doc_id", "text"), "place")
-    return packing.pack_documents(placed, queries.tokenizer_file(), place_col="place", cache_words=CACHE_WORDS)
+    own = {"cache_words": CACHE_WORDS, "run_bytes": RUN_BYTES}
+    return packing.pack_documents(placed, queries.tokenizer_file(), place_col="place", **own)
 
 
-#: Stretches that a packing worker remembers: workers and executors have done other stages before and keep some memory.
-CACHE_WORDS = 1 << 17
+#: Stretches that a packing worker remembers, and bytes of text it encodes at once: workers and executors have done other
+#: stages before and keep some memory.
+CACHE_WORDS, RUN_BYTES = 1 << 17, 1 << 19
 
 STAGES = [
     ("toxicity", drop_toxic),

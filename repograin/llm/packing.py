@@ -34,6 +34,7 @@ PLACE_BLOCK = 1 << 14  # documents whose piece counts are summed in one task
 CACHE_WORDS = 1 << 20  # stretches whose ids a worker remembers, some 170 bytes each; a full cache starts anew
 
 RUN_TEXTS, RUN_BYTES = 2048, 1 << 22  # texts that are encoded together, at most (a longer text by itself)
+LEARN_CORES = 1 << 12  # cores that the tokenizer gets as one text; it notes hundreds of bytes on each token of a text
 TAIL = ".,;:!?"  # punctuation that the split rule never joins to a letter or digit before it
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token
 
@@ -48,13 +49,14 @@ class Encoder:
     rule looks farther; such texts, and those that spell the special token out, are encoded by themselves.
     """
 
-    def __init__(self, file: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, file: str, cache_words: int = CACHE_WORDS, run_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # its own memory of words only costs where each is asked for once
         self.cache_words = cache_words
+        self.run_bytes = run_bytes or RUN_BYTES
         self.known: dict[str, bytes] = {}  # cores and stretches put together of them, for " " + stretch
         self.bare: dict[str, bytes] = {}  # cores without a space before them: after a line feed or where a text begins
         self.joined: list[str] = []  # what is put together; an eighth of the memory, and the first to be forgotten
@@ -69,15 +71,15 @@ class Encoder:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _learn(self, store: dict[str, bytes], before: str, cores: list[str]) -> None:
-        """Encode all cores as one text; the bytes of its tokens tell where each core ends."""
-        if not cores:
-            return
-        ids = self._whole([before + before.join(cores)])[0]
-        token_ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
-        ends = np.cumsum([len(x.encode()) + 1 for x in cores])
-        cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
+        """Encode ``LEARN_CORES`` cores at a time as one text; the bytes of its tokens tell where each core ends."""
         skip = len(self.feed) if before == "\n" else 0  # a line feed is a piece of its own, a space is not
-        store.update(zip(cores, [ids[a + skip : b] for a, b in zip(cuts, cuts[1:])]))
+        for at in range(0, len(cores), LEARN_CORES):
+            part = cores[at : at + LEARN_CORES]
+            ids = self._whole([before + before.join(part)])[0]
+            token_ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
+            ends = np.cumsum([len(x.encode()) + 1 for x in part])
+            cuts = [0, *((np.searchsorted(token_ends, ends) + 1) * 4).tolist()]
+            store.update(zip(part, [ids[a + skip : b] for a, b in zip(cuts, cuts[1:])]))
 
     def _forget_joined(self) -> None:
         for x in self.joined:
@@ -189,7 +191,7 @@ class Encoder:
         run: list[str] = []
         size = 0
         for text in texts:
-            if run and (len(run) == RUN_TEXTS or size + len(text) > RUN_BYTES):
+            if run and (len(run) == RUN_TEXTS or size + len(text) > self.run_bytes):
                 out += self._run(run)
                 run, size = [], 0
             run.append(text)
@@ -197,22 +199,32 @@ class Encoder:
         return out + self._run(run) if run else out
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}  # of this worker process, which Spark keeps for later tasks
+_encoders: dict[tuple[str, int, int], Encoder] = {}  # of this worker process, which Spark keeps for later tasks
 
 
-def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool, cache_words: int):
+def _slices(batch: pa.RecordBatch, run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with the texts of one run; so a task holds one run as Python objects, not a whole batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, before + run_bytes, side="right"))
+        upto = min(max(upto, at + 1), at + RUN_TEXTS)
+        yield batch.slice(at, upto - at)
+        at, before = upto, ends[upto - 1]
+
+
+def _pieces(file: str, window: int, end_id: int, with_ids: bool, placed: bool, cache_words: int, run_bytes: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task; Spark runs the tasks
-        if (file, cache_words) not in _encoders:
-            _encoders[file, cache_words] = Encoder(file, cache_words)
-        encoder = _encoders[file, cache_words]
+        if (file, cache_words, run_bytes) not in _encoders:
+            _encoders[file, cache_words, run_bytes] = Encoder(file, cache_words, run_bytes)
+        encoder = _encoders[file, cache_words, run_bytes]
         for batch in batches:
-            for at in range(0, batch.num_rows, RUN_TEXTS):
-                part = batch.slice(at, RUN_TEXTS)
+            for part in _slices(batch, run_bytes):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 out: list[tuple] = []
                 heads = list(zip(*(part.column(i).to_pylist() for i in (0, 2)[: 1 + placed])))
@@ -241,10 +253,12 @@ def document_pieces(
     with_ids: bool = False,
     place_col: str | None = None,
     cache_words: int = CACHE_WORDS,
+    run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``place``, ``ids``) per piece: full windows, then the tail.
 
-    Null text is empty: such a document is its end id alone. ``cache_words`` bounds what a worker remembers, not the result.
+    Null text is empty: such a document is its end id alone. ``cache_words`` bounds what a worker remembers and
+    ``run_bytes`` what it encodes at once, not the result.
     """
     placed = place_col is not None
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -252,7 +266,7 @@ def document_pieces(
     ship(docs.sparkSession)
     place = [F.col(place_col).cast("bigint")] if placed else []
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *place)
-    return rows.mapInArrow(tidy(_pieces(tokenizer_file, window, end_id, with_ids, placed, cache_words)), schema)
+    return rows.mapInArrow(tidy(_pieces(tokenizer_file, window, end_id, with_ids, placed, cache_words, run_bytes)), schema)
 
 
 class BestFit:

@@ -2,16 +2,22 @@
 
 import collections
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from repograin.llm import packing
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 FILE = P.path("byte_bpe_50k.json")
+ROOT = Path(packing.__file__).resolve().parents[2]
 
 
 def test_ids_equal_the_tokenizers(spark):
@@ -121,3 +127,57 @@ def test_settings_do_not_change_the_packing(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def _growth_of_a_worker(run_bytes: int) -> float:
+    """MB by which one worker process grows at most while it cuts a batch of 12 MB into pieces, packed as the pipeline does."""
+    code = f"""
+import random, resource
+import pyarrow as pa
+from repograin.llm import packing
+rnd = random.Random(1)
+words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60_000)]
+texts = [" ".join(rnd.choices(words, k=200)) for _ in range(6_500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+del texts
+size = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+run = packing._pieces({FILE!r}, 1024, 0, False, False, 1 << 17, {run_bytes})
+assert sum(x.num_rows for x in run(iter([batch.slice(0, 1)]))) == 1
+before = size()
+assert sum(x.num_rows for x in run(iter([batch]))) >= batch.num_rows
+print(size() - before)
+"""
+    return float(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=ROOT).stdout)
+
+
+def test_a_worker_stays_small_in_small_runs():
+    assert _growth_of_a_worker(corpus_pipeline.RUN_BYTES) < 45
+
+
+def test_slices_have_the_texts_of_one_run():
+    texts = [None, "", "é" * 40, "b" * 200, None, "c" * 30, "d" * 60, "e", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [x.column(1).to_pylist() for x in packing._slices(batch.slice(1), 100)]
+    assert got == [["", "é" * 40], ["b" * 200], [None, "c" * 30, "d" * 60, "e", ""]]
+    assert list(packing._slices(batch.slice(0, 0), 100)) == []
+    many = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([None] * 5000, pa.string())], ["doc_id", "text"])
+    assert [x.num_rows for x in packing._slices(many, 100)] == [2048, 2048, 904]
+
+
+def test_run_bytes_do_not_change_the_pieces(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["word", "x,", "Ärger.\n", "end.", "日本"]) for _ in range(rnd.choice([0, 5, 90, 3000]))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    pieces = [sorted(map(tuple, packing.document_pieces(docs, FILE, run_bytes=n).collect())) for n in (1, 1 << 10, 1 << 22)]
+    assert pieces[0] == pieces[1] == pieces[2]
+
+
+def test_cores_are_learned_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "LEARN_CORES", 7)
+    texts = [" ".join(f"w{i}x{j}, é{j}\nnext{i}." for j in range(30)) for i in range(20)]
+    encoder = packing.Encoder(FILE)
+    whole, given = encoder._whole, []
+    encoder._whole = lambda texts: given.extend(texts) or whole(texts)
+    got = encoder.encode(texts)
+    assert max(x.count(" ") + x.count("\n") for x in given) <= 7
+    assert got == whole(texts)
