@@ -14,8 +14,19 @@ from repograin.llm.columns import guarded
 from repograin.llm.scratch import stored_places, written
 
 
+#: Bytes of an Arrow batch on its way to a worker. At Spark's 64 MiB a whole task of texts is one batch, which executor
+#: and worker both hold; rows and results do not depend on it.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set ``BATCH_BYTES`` for the session, unless it has a setting of its own: a stage is written after it returned."""
+    spark.conf.set(BATCH, spark.conf.get(BATCH, str(BATCH_BYTES)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold. Null and empty texts have nothing toxic and stay."""
+    small_batches(spark)
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keep = lambda rows, text: toxicity.tag(rows, model, text).where(F.col("toxic_score") < queries.TOXIC_AT)
     return guarded(docs, keep, "text")
@@ -28,6 +39,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more over five-word shingles."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -40,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in windows of 1024 tokens; windows follow the stored mixed order."""
+    small_batches(spark)
     placed = stored_places(docs.select("doc_id", "text"), "place")
     own = {"cache_words": CACHE_WORDS, "run_bytes": RUN_BYTES}
     return packing.pack_documents(placed, queries.tokenizer_file(), place_col="place", **own)

@@ -7,13 +7,16 @@ import re
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from repograin.llm import mixing, queries
-from repograin.llm.scratch import stored_places
+from repograin.llm import mixing, near_dedup, queries
+from repograin.llm.scratch import stored_places, written
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -185,3 +188,32 @@ def test_stages_take_nulls_repeated_rows_long_texts_and_empty_tables(spark, pipe
             if folder == "full" and name == "near dedup":
                 assert {42, 43} & {r.doc_id for r in docs.collect()} == {42}
         assert (docs.count() == 0) == (folder == "none")
+
+
+def test_workers_get_small_batches_and_the_same_rows(spark, pipeline, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 2)  # so that groups are larger than a batch of 1 KiB
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).union(spark.createDataFrame(
+        [(10_000 + i, " ".join(f"w{j + (j % 9 == i % 9) * i}" for j in range(300)), "en", "web", 0) for i in range(30)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    ))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    try:
+        spark.conf.unset(BATCH)
+        pipeline.drop_toxic(spark, docs, SF)
+        long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("some text "), 300).alias("text"))  # 9 MB in one task
+        assert max(r.bytes for r in long.mapInArrow(sizes, "bytes bigint").collect()) < 3 << 20
+        seen = []
+        for size in ("1k", "64m"):
+            spark.conf.set(BATCH, size)
+            stored = written(docs, "small-batches")
+            kept = pipeline.drop_near(spark, stored, SF).select("doc_id").collect()
+            packed = pipeline.pack(spark, stored.coalesce(1).orderBy("doc_id").transform(lambda d: written(d, "in-order")), SF)
+            seen.append((sorted(kept), sorted(map(tuple, packed.collect()))))
+            assert spark.conf.get(BATCH) == size  # a session's own setting stays
+        assert seen[0] == seen[1] and 0 < len(seen[0][0]) < 90
+    finally:
+        spark.conf.unset(BATCH)
